@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrove.llm import bpe, exact_dedup
+from sourcegrove.llm import bpe, exact_dedup, language_id, license_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,35 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
+def remainder(key: str, by: int) -> Column:
+    return F.crc32(F.col(key).cast("string")) % by
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coder = language_id.learn(docs.filter(remainder("doc_id", 3) != 1))
+    found = language_id.language_id(docs, coder)
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels.filter(remainder("doc_id", 4) != 2))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, sf_dir, "documents"), toxicity_lexicon(spark, sf_dir))
+    return found.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "n_hits")
+
+
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op5_bpe": op5_bpe,
+    "op7_license_scan": op7_license_scan,
+    "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
