@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrove.llm import bpe, decontaminate, exact_dedup, language_id, license_scan, ngram_join, suffix_dedup, toxicity
+from sourcegrove.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, license_scan, ngram_join, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,
+    "op6_html_extract": op6_html_extract,
     "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_language_id": op9_language_id,
