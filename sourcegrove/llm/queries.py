@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrove.llm import bpe, decontaminate, exact_dedup, html_extract, language_id, license_scan, ngram_join, suffix_dedup, toxicity
+from sourcegrove.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, ngram_join, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_chat_format": op2_chat_format,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op5_bpe": op5_bpe,

@@ -19,12 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost. keep: clear() leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    if not keep:
+        _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,6 +32,8 @@ LENGTHS = range(3, 13)
 #: At most so many candidates reach the driver.
 CANDIDATES = 20_000
 THRESHOLD = 0.3
+#: Odd factors whose smallest products with a row's shingles sign the row: near copies share one of three.
+_SIGNS = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOKALIKES = {
@@ -126,18 +128,27 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     chosen = chosen.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null")
-    sample = rows.join(F.broadcast(chosen), "k").select("t", "y")  # bounded: sample_rows keys
+    sample = rows.join(F.broadcast(chosen), "k")  # bounded: sample_rows keys
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lows = np.zeros((batch.num_rows, 3), np.int64)
-            for r, s in shingle_sets(batch.column(0)):
+            for r, s in shingle_sets(batch.column(1)):
                 if len(s):
-                    lows[r] = [int(s[0]) >> 1, int((s * np.uint64(0x9E3779B97F4A7C15)).min()) >> 1, int((s * np.uint64(0xC2B2AE3D27D4EB4F)).min()) >> 1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(lows[:, i]) for i in range(3)]], ["t", "y", "a", "b", "c"])
-
-    once = sample.mapInArrow(signed, "t string, y int, a long, b long, c long").dropDuplicates(["y", "a"]).dropDuplicates(["y", "b"]).dropDuplicates(["y", "c"])
-    once = stage.written(once.select("t", "y"), "toxicity-sample")
+                    lows[r] = [int((s * m).min()) >> 1 for m in _SIGNS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(lows[:, i]) for i in range(3)]], ["k", "y", "a", "b", "c"])
+
+    schema = f"k {rows.schema['k'].dataType.simpleString()}, y int, a long, b long, c long"
+    seen: set[tuple[int, int, int]] = set()
+    alone = []
+    for r in sorted(sample.mapInArrow(signed, schema).collect(), key=lambda r: (r.k, r.a, r.b, r.c)):  # bounded as above
+        marks = {(r.y, i, x) for i, x in enumerate((r.a, r.b, r.c))}
+        if not marks & seen:
+            alone.append((r.k, r.y))
+        seen |= marks
+    spark = docs.sparkSession
+    kept = spark.createDataFrame(alone, f"k {rows.schema['k'].dataType.simpleString()}, y int")
+    once = stage.written(rows.join(F.broadcast(kept), "k").select("t", "y"), "toxicity-sample")
 
     def counted(batches: Iterator[pa.RecordBatch], only: set[str] | None) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
@@ -211,3 +222,16 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str =
             )
 
     return rows.mapInArrow(scored, f"k {kind}, score double, predicted int, n_hits long").withColumnRenamed("k", key)
+
+
+def clean_rows(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below threshold; all columns stay, and nothing is shuffled."""
+    packed = json.dumps(lexicon.__getstate__())
+    at = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(**{k: tuple(v) if k == "exceptions" else v for k, v in json.loads(packed).items()})
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(own.feature(t.as_py() or "")[0]) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
