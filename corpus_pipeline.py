@@ -1,26 +1,60 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+Toxic documents go, then exact copies, then all but one of each group of near copies, then documents with benchmark
+passages; what remains is encoded, one row of token counts and digests for each document.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from sourcegrove.llm import exact_dedup, stage
+
+from sourcegrove.llm import bpe, decontaminate, exact_dedup, ngram_join, queries, stage, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = queries.table(spark, sf_dir, "labels").filter(queries.remainder("doc_id", 4) != 2)
+    return toxicity.clean_rows(docs, toxicity.learn(docs, labels))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stage.clear(spark)  # what earlier stages left; their results are written by now
     return exact_dedup.kept_rows(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stage.clear(spark)
+    return ngram_join.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stage.clear(spark)
+    return decontaminate.clean_rows(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stage.clear(spark)
+    return bpe.bpe_tokens(docs, queries.tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("BPE encoding and decoding", encode),
+]
 
+#: SQL can express neither the learned lexicon nor byte-pair encoding.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents."""
+    docs = queries.table(spark, sf_dir, "documents")
     for k, (_, step) in enumerate(STAGES):
-        docs = stage.written(step(spark, docs, sf_dir), f"pipeline-{k}")
+        docs = stage.written(step(spark, docs, sf_dir), f"pipeline-{k}", keep=True)
     return docs
