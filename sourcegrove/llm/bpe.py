@@ -12,13 +12,14 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+# Letters and numbers of Unicode 16 that Python's tables don't have yet, and capitals of Unicode 16 and 17 with their small letters.
+NEWER = {
+    "L": [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)],
+    "N": [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)],
+}
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {0x10D50 + i: 0x10D70 + i for i in range(22)} | {0x16EA0 + i: 0x16EBB + i for i in range(25)}
+_NEW_CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+@cache
+def _ranges(category: str) -> str:
+    """A regular expression's ranges of all code points of a general category."""
+    out: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == category:
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in [*out, *NEWER[category]])
+
+
 class Vocabulary:
     """A tokenizer file of kind BPE with an end-of-word suffix, ready to encode and decode."""
 
@@ -91,9 +114,10 @@ class Vocabulary:
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self._valid: dict[tuple[int, int], bool] = {}
         self._words: dict[str, bytes] = {}
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + _WS + r"\p{L}\p{N}]+")
+        letters, numbers = _ranges("L"), _ranges("N")
+        self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WS}{letters}{numbers}]+")
         assert all(t.startswith("<|") for t in self.specials), "special tokens are expected to start with <|"
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging leaves `left` and `right` side by side."""
@@ -181,6 +205,8 @@ class Vocabulary:
         """The ids of a stretch of text without special tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # no final sigma: letters are lowered one by one
+            if not text.isprintable() and _NEW_CAPITAL.search(text):  # code points that Python doesn't know are not printable
+                text = text.translate(SMALL)
         text = text.lower()
         tokens = text.split() if not _CONTROL.search(text) else [t for t in _SPLIT.split(text) if t]
         found = list(map(self._words.get, tokens))
