@@ -154,3 +154,27 @@ CANDIDATES_PER_VARIANT, MAX_CANDIDATES, MAX_VARIANTS = 35, 12, 4
 DISTANCE_THRESHOLD = 0.43
 CHUNK_CHARS, CHUNK_OVERLAP = 2400, 300
 BM25_K1, BM25_B, LEAST_IDF = 1.2, 0.75, 1e-6
+
+# Marks of meeting contributions, and where a document's identity stands.
+MEETING_MARKS = ["3gpp tsg-", "meeting #", "sp-", "rp-", "cp-", "gp-"]
+MEETING_LINES, IDENTITY_LINES = 50, 80
+# Network functions whose naming asks for a second search, and words that are no end of a reference point.
+SECOND_SEARCH_FUNCTIONS = ["amf", "smf", "upf", "ausf", "udm", "pcf", "nssf", "nrf"]
+NO_ENDPOINTS = ["5G", "5GS", "TS", "TR", "RFC", "REFERENCE", "POINT", "INTERFACE", "HTTP", "IETF", "ILE", "ARASINDAKI", "ARASINDA", "HANGISIDIR", "NEDIR", "HANGI", "BETWEEN", "AND", "THE"]
+RAN_NAMES = ["GNB", "GNODEB", "ENB", "NG-RAN", "(R)AN"]
+# Phrases for questions of known intent: (lists of words of which each list needs one, words that must not be there, phrases).
+PRECISION_PHRASES = [
+    ([["service request"]], [], ["Service Request procedure is used"]),
+    ([["uplink"], ["yeniden etkinleştir", "tekrar etkinleştir", "tekrar aktif", "activate", "reactivate"]], [], ["Service Request procedure is used"]),
+    ([["http/3", "http3"], ["rfc", "standart", "standard", "doküman", "document", "tanımlan", "defined"]], ["websocket", "qpack"], ["This document defines HTTP/3"]),
+    ([["quic"], ["kayıp", "loss", "congestion", "recovery"]], [], ["This document describes loss detection and congestion control mechanisms for QUIC"]),
+    ([["cell broadcast", "warning message", "uyarı mesaj"], ["iptal", "cancel", "stop", "durdur"]], [], ["The cancel warning message delivery procedure takes place"]),
+    ([["5g"], ["mimarisi", "architecture", "sistem mimarisi"], ["şartname", "sartname", "standart", "standard", "doküman", "document"]], [], ["System Architecture for the 5G System", "3GPP TS 23.501"]),
+]
+# Answer sentences by type.
+ANSWER_SENTENCES = {
+    "SİSTEM": "İlgili sistem %s'dır.", "PROSEDÜR": "İlgili prosedür %s'dür.", "MESAJ": "İlgili mesaj %s'tır.", "STANDART / DOKÜMAN": "İlgili standart veya doküman %s'dır.",
+    "ARAYÜZ / REFERANS NOKTASI": "İlgili arayüz veya referans noktası %s'dır.", "PROTOKOL": "İlgili protokol %s'dür.", "NETWORK FUNCTION": "İlgili network function %s'dır.", "DEĞER / LİMİT": "Kaynakta belirtilen değer %s'dır.",
+}
+SYSTEM_USED, SYSTEM_FOR = "%s %s içinde kullanılır.", "%s için ilgili sistem %s'dır."
+SYSTEM_QUESTION = r"\bhangi\s+(?:sistem(?:de|den|da|dan)?|şebeke(?:de|den|da|dan)?|network(?:te|ten|de|den)?)\b"

@@ -65,18 +65,16 @@ def word_query(question: Column, pattern: str = r"([A-Za-z0-9]+)", least: int =
 
 
 def reference_point_queries(question: Column) -> Column:
-    """AND queries (arrays of phrases) for a reference point: by its name if the question has one, else by its two ends."""
-    q = F.upper(F.coalesce(question, F.lit("")))
-    point = F.regexp_extract(q, r"\b(N\d{1,3})\b", 1)
-    found = F.regexp_extract_all(q, F.lit(r"\b(UE|AMF|SMF|UPF|AUSF|UDM|PCF|NSSF|AF|NG-RAN|RAN)\b"), F.lit(1))
-    ends = F.array_distinct(F.transform(found, lambda x: F.when(x == "NG-RAN", "RAN").otherwise(x)))
+    """AND queries (arrays of phrases) for a reference point: by its name if the question has one, else by its two ends, else null."""
+    q = F.coalesce(question, F.lit(""))
+    point = F.upper(F.regexp_extract(q, r"(?i)\b(N\d{1,3})\b", 1))
+    named = F.transform(F.regexp_extract_all(q, F.lit(r"\b(NG-RAN|gNB|gNodeB|eNB|[A-Za-z0-9/\-]{2,})\b"), F.lit(1)), F.upper)
+    ends = F.array_distinct(F.transform(F.filter(named, lambda x: ~x.isin(rules.NO_ENDPOINTS)), lambda x: F.when(x.isin(rules.RAN_NAMES), "RAN").otherwise(x)))
     a, b = F.try_element_at(ends, F.lit(1)), F.try_element_at(ends, F.lit(2))
-    pair = F.array(
-        F.array(F.concat(F.lit("reference point between the "), a, F.lit(" and the "), b)),
-        F.array(F.concat(F.lit("reference point between the "), b, F.lit(" and the "), a)),
-        F.array(F.lit("reference point"), a, b),
-    )
-    return F.when(point != "", F.array(F.array(point, F.lit("reference point")))).when(F.size(ends) >= 2, pair)
+    other = F.when(a == "RAN", b).otherwise(a)
+    radio = F.array(*[F.array(F.lit(p), other) for p in ("Reference point between", "Reference points", "(R)AN", "NG-RAN", "N2")])
+    pair = F.array(F.array(F.lit("reference point between"), a, b), F.array(F.lit("reference point"), a, b), F.array(a, b, F.lit("reference point")))
+    return F.when(point != "", F.array(F.array(point, F.lit("reference point")))).when(F.size(ends) >= 2, F.when((a == "RAN") | (b == "RAN"), radio).otherwise(pair))
 
 
 def first_with_hits(hits: DataFrame, question: str = "question", number: str = "query_no") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sourcegrove.functions import rules
 from sourcegrove.functions.text import blank
-from sourcegrove.operators import chunking, evidence, history, ingest, lexical, questions, references, results, vector
+from sourcegrove.operators import chunking, evidence, gates, history, ingest, lexical, questions, references, results, vector
 from sourcegrove.sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -554,3 +554,52 @@ def conversation_edit(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     new = values(spark, [(1, 0, "user", "one more"), (2, 0, "user", "one more")], "conv_id long, turn long, role string, text string")
     return history.appended(history.deleted(c, "conv_id", F.lit(3)), new)
+
+
+# ---------------------------------------------------------------- gates
+
+
+@query("SELECT doc_id, ((contains(h, 'sp-')::INTEGER + contains(h, 'rp-')::INTEGER + contains(h, 'cp-')::INTEGER + contains(h, 'gp-')::INTEGER + contains(h, 'meeting #')::INTEGER + contains(h, '3gpp tsg-')::INTEGER) >= 2) AS contribution FROM (SELECT doc_id, lower(array_to_string(string_split(text, chr(10))[1:50], chr(10))) AS h FROM documents)")
+def meeting_contributions(spark, sf_dir):
+    """F10 A10."""
+    return table(spark, sf_dir, "documents").select("doc_id", gates.is_meeting_contribution(F.col("text")).alias("contribution"))
+
+
+IDENTITIES = [(1, "RFC 9000", "Scope", "This document defines X"), (2, "3GPP TS 23.501", "References", "x"), (3, "etsi tr 102.900", "Overview of scope", "The present document  describes"), (4, "other", None, None)]
+
+
+@query("SELECT * FROM (VALUES (1, 'IETF', '9000', 20.0::DOUBLE), (2, '3GPP', 'TS 23.501', -10.0), (3, 'ETSI', 'TR 102.900', 27.0), (4, NULL, NULL, 0.0)) t(id, org, code, quality)")
+def document_sources(spark, sf_dir):
+    """Q8g Q8h T5 J12."""
+    rows = values(spark, IDENTITIES, "id int, answer string, title string, text string")
+    return rows.select("id", gates.document_identity(F.col("answer")).alias("d"), gates.source_quality(F.col("title"), F.col("text")).alias("quality")).select("id", "d.org", "d.code", "quality")
+
+
+ANSWERS = [
+    (1, "Cell Broadcast hangi sistemde kullanılır?", "SİSTEM", "5G system", "high"), (2, "Hangi sistem?", "SİSTEM", "5G system", "high"), (3, "E.164 kaç basamak?", "DEĞER / LİMİT", "15", "high"),
+    (4, "QUIC hangi RFC?", "STANDART / DOKÜMAN", "RFC 9000", "high"), (5, "x", "PROTOKOL", "QUIC", "medium"), (6, "E.164 15 mi, kaç?", "DEĞER / LİMİT", "15", "high"),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 'Cell Broadcast 5G System içinde kullanılır.', false), (2, 'İlgili sistem 5G System''dır.', false), (3, 'Kaynakta belirtilen değer 15''dır.', false), (4, 'İlgili standart veya doküman RFC 9000''dır.', false), (5, NULL, false), (6, 'Kaynakta belirtilen değer 15''dır.', true)) t(id, reply, second_search)")
+def answer_rendering(spark, sf_dir):
+    """Q10 F15 F16 F22 F23 Q2d."""
+    rows = values(spark, ANSWERS, "id int, question string, kind string, answer string, confidence string")
+    reply = gates.rendered(F.col("question"), F.col("kind"), F.col("answer"), F.col("confidence"))
+    return rows.select("id", reply.alias("reply"), gates.needs_second_search(F.col("question"), F.col("kind"), F.col("confidence"), F.col("answer"), reply.isNotNull()).alias("second_search"))
+
+
+@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false)) t(id, wins)")
+def evidence_arbitration(spark, sf_dir):
+    """F17 F18 A5."""
+    rows = [(1, "q", ("TR 1", "t", 9.0), ("TS 2", "t", 1.0)), (2, "AMF?", ("TS 1", "SMF clause", 9.0), ("TS 2", "AMF", 1.0)), (3, "q", ("TS 1", "t", 9.0), ("TS 2", "t", 1.0)), (4, "q", ("TS 1", "t", None), ("TS 2", "t", 1.0)), (5, "q", ("TS 1", "t", 1.0), None)]
+    hit = "struct<code:string,clause_title:string,best:double>"
+    return values(spark, rows, f"id int, question string, normal {hit}, second {hit}").select("id", gates.second_wins(F.col("question"), F.col("normal"), F.col("second")).alias("wins"))
+
+
+@query("SELECT 1 AS id, 'N1|reference point' AS queries UNION ALL SELECT 2, 'reference point between|AMF|SMF;reference point|AMF|SMF;AMF|SMF|reference point' UNION ALL SELECT 3, 'Reference point between|AMF;Reference points|AMF;(R)AN|AMF;NG-RAN|AMF;N2|AMF' UNION ALL SELECT 4, NULL")
+def reference_point_queries(spark, sf_dir):
+    """L6 L9."""
+    rows = [(1, "N1 reference point between UE and AMF"), (2, "AMF SMF between the reference point"), (3, "NG-RAN AMF"), (4, "x")]
+    q = lexical.reference_point_queries(F.col("question"))
+    return values(spark, rows, "id int, question string").select("id", F.array_join(F.transform(q, lambda x: F.array_join(x, "|")), ";").alias("queries"))
