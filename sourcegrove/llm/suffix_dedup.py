@@ -29,6 +29,8 @@ from sourcegrove.llm.textblocks import byte_blocks, mixed
 LENGTH, GRAM = 400, 64
 #: Bytes of spans that one suffix array holds on average.
 BUCKET_BYTES = 2_000_000
+#: An anchor with more different spans than this is too hot for one suffix array: its strings are counted one by one, by their hashes.
+HOT = 2_000
 
 _rng = np.random.default_rng(41)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -164,7 +166,25 @@ def intervals(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(x == 1), np.flatnonzero(x == -1) - 1
 
 
-def repeated_strings(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def hot_repeats(spans: DataFrame, length: int) -> DataFrame:
+    """(h, o, n, s, a, b) of the strings of rows (h, o, n, s, span) that stand in more than one span of their anchor.
+
+    One short row a string, dealt by its hash: however many spans an anchor has, no task holds more than its share.
+    """
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                w = window_hashes(np.frombuffer(batch.column(4)[r].as_buffer(), np.uint8), length)
+                at = pa.array(np.full(len(w), r))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(at) for i in range(4)], pa.array(np.arange(len(w))), pa.array(w.view(np.int64))], ["h", "o", "n", "s", "a", "w"])
+
+    each = spans.select("h", "o", "n", "s", "span").mapInArrow(strings, "h long, o int, n int, s long, a long, w long").withColumn("back", F.col("o") - F.col("a"))
+    again = each.groupBy("h", "back", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h", "back", "w")
+    return each.join(again, ["h", "back", "w"]).select("h", "o", "n", "s", "a", F.col("a").alias("b"))
+
+
+def repeated_strings(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> DataFrame:
     """(k, a, b): runs of starts of strings of rows (k, t) that stand in more than one place."""
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,12 +210,13 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bu
     among = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("m").alias("m")).filter("m > 1")
     kinds = stage.written(kinds.join(among.select("h", "kinds"), "h"), "suffix-kinds")
     # Of each kind under an anchor with several kinds, one span is compared byte by byte.
-    chosen = kinds.filter("kinds > 1").select(F.col("one.k").alias("k"), F.struct("h", "o", "n", "s", F.col("one.x").alias("x"), "m").alias("p"))
+    chosen = kinds.filter("kinds > 1").select(F.col("one.k").alias("k"), F.struct("h", "o", "n", "s", F.col("one.x").alias("x"), "m", "kinds").alias("p"))
     chosen = chosen.groupBy("k").agg(F.collect_list("p").alias("ps"))  # no more than a text's own anchors
     cut = rows.join(chosen, "k").select(
         F.encode(F.coalesce("t", F.lit("")), "UTF-8").alias("u"), F.explode("ps").alias("p")
-    ).select("p.h", "p.o", "p.n", "p.s", "p.m", F.expr(f"substring(u, p.x + 1, p.n + {length})").alias("span"))
+    ).select("p.h", "p.o", "p.n", "p.s", "p.kinds", F.expr(f"substring(u, p.x + 1, p.n + {length})").alias("span"))
     cut = stage.written(cut, "suffix-spans")
+    hot_spans, cut = cut.filter(F.col("kinds") > hot), cut.filter(F.col("kinds") <= hot)
     total = cut.agg(F.coalesce(F.sum(F.length("span")), F.lit(0))).first()[0]
     buckets = max(16, -(-int(total) // bucket_bytes))
 
@@ -210,13 +231,14 @@ def repeated_strings(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bu
 
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
     parts = dealt.groupBy("bucket").applyInArrow(compared, "h long, o int, n int, s long, a long, b long")
+    parts = parts.union(hot_repeats(hot_spans, length))
     alone = kinds.filter("kinds > 1 and m = 1").select("h", "o", "n", "s").join(parts, ["h", "o", "n", "s"])
     whole = kinds.filter("m > 1").select("h", "o", "n", "s", F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("b"))
     marked = stage.written(alone.union(whole), "suffix-marked")
     return seen.join(marked, ["h", "o", "n", "s"]).select("k", (F.col("x") + F.col("a")).alias("a"), (F.col("x") + F.col("b")).alias("b"))
 
 
-def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """key, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text adds kept (the bytes that remain).
 
     Removed is each byte covered by a string of `length` bytes that also starts anywhere else, in this text or another, overlaps
@@ -225,8 +247,8 @@ def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     compared with nothing and keep their bytes. An empty table gives an empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    found = repeated_strings(rows.filter("k is not null"), length, gram)
-    runs = found.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # no more than a text's own anchors
+    found = repeated_strings(rows.filter("k is not null"), length, gram, hot=hot)
+    runs = found.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # no more than a text's own strings
     more = ", kept binary" if with_text else ""
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
