@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sourcegrove.llm.textblocks import byte_blocks
 
-#: At most so many rows of each language are learned from, the first by a hash of the key, and so many languages.
+#: About so many rows of each language are learned from (a share of them by a hash of the key), and so many languages, the largest.
 ROWS_PER_LANGUAGE, MOST_LANGUAGES = 1000, 256
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 12
@@ -101,12 +101,13 @@ SCALE = 50.0
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Coder | None:
-    """A coder from rows with text and language; None if there are none. Bounded by rows_per_language and MOST_LANGUAGES."""
+    """A coder from rows with text and language; None if there are none. Bounded by rows_per_language and MOST_LANGUAGES; each language's rows
+    spread around rows_per_language as hashes do."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y")).filter("t is not null and y is not null")
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    few = rows.select("k", "y").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows_per_language).select("k", "y")
-    few = few.orderBy("y", "k").limit(rows_per_language * MOST_LANGUAGES)
-    sample = rows.join(F.broadcast(few), ["k", "y"])  # bounded: rows_per_language * MOST_LANGUAGES keys
+    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGUAGES).collect()
+    # Of a language with n rows, those whose hash is in the first rows_per_language / n of all hashes: no ranking, so no hot language.
+    shares = docs.sparkSession.createDataFrame([(r.y, min(1 << 31, (rows_per_language << 31) // r.n)) for r in sizes], "y string, share long")
+    sample = rows.join(F.broadcast(shares), "y").filter(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < F.col("share"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
