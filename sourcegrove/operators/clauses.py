@@ -1,4 +1,4 @@
-"""Specifications with a table of contents, split into clauses.
+"""Documents split into clauses by organisation (C1): specifications (C2, C3), RFCs (C4), others.
 
 A body line opens a clause if it agrees with the table of contents; what counts as agreement depends on the clauses opened before, so a
 document is read in one go, one document at a time.
@@ -159,16 +159,140 @@ def spec_clauses(text: str) -> list[tuple[str, str, str]]:
     return [(n, t, "\n".join(body).strip()) for n, t, body in out]
 
 
-def clauses(docs: DataFrame, text: str = "text") -> DataFrame:
+# The forms of RFC sections and entries of their table of contents, and its limits.
+RFC_NUMBER = re.compile(r"([1-9]\d?(?:\.\d+)*)\.?")
+RFC_HEADING = re.compile(r"([1-9]\d?(?:\.\d+)*)\.?[ \t]+(.+)")
+RFC_ENTRY = re.compile(r"([1-9]\d?(?:\.\d+)*)\.?\s+(.+?)(?:\s+\.{2,}\s*|\s{2,})(\d+)")
+RFC_ENTRY_LIKE = re.compile(r"\s*\d+(?:\.\d+)*\.?\s+.+?\s+(?:\.{2,}\s*)?\d{1,4}\s*$")
+RFC_PAGE = re.compile(r"\d{1,4}")
+RFC_TOC_LINES, RFC_TOC_GAP, RFC_TITLE_LINES, RFC_FIRST_ENTRIES = 3000, 150, 8, 10
+
+
+def rfc_title(text: str) -> str:
+    return " ".join(re.sub(r"\s*(?:\.\s*){2,}$", "", re.sub(r"^\.\s*", "", text.strip())).split())
+
+
+def is_title(title: str) -> bool:
+    return bool(re.search("[A-Za-z]", title)) and not re.fullmatch(r"\d+(?:\.\d+)*\.?", title)
+
+
+def rfc_entry(lines: list[str], i: int, end: int) -> tuple[str, str, int] | None:
+    """(number, title, last line) of an entry that begins at line i: on one line, as number / "." / title, or as number, title lines, page."""
+    line = lines[i].strip()
+    if (m := RFC_ENTRY.fullmatch(line)) and is_title(rfc_title(m[2])):
+        return m[1], rfc_title(m[2]), i
+    m = RFC_NUMBER.fullmatch(line)
+    if not m:
+        return None
+    if i + 2 < end and lines[i + 1].replace("Â", "").replace("\xa0", "").strip() == ".":
+        title = rfc_title(lines[i + 2])
+        if not RFC_NUMBER.fullmatch(lines[i + 2].strip()) and is_title(title):
+            return m[1], title, i + 2
+    parts: list[str] = []
+    stop = min(len(lines), i + RFC_TITLE_LINES)
+    for j in range(i + 1, stop):
+        part = lines[j].strip()
+        if not part:
+            if parts and j + 1 < stop:
+                continue
+            return None
+        if RFC_PAGE.fullmatch(part):
+            title = rfc_title(" ".join(parts))
+            return (m[1], title, j) if parts and is_title(title) else None
+        if RFC_NUMBER.fullmatch(part) and parts:
+            return None
+        parts.append(part)
+    return None
+
+
+def rfc_opens(lines: list[str], i: int, toc: dict[str, str]) -> tuple[str, int] | None:
+    """(number, lines used) where a body heading on one line or two agrees with the table of contents."""
+    line = lines[i].strip()
+
+    def same(n: str, title: str) -> bool:
+        return n in toc and rfc_title(title).casefold() == rfc_title(toc[n]).casefold()
+
+    if (m := RFC_HEADING.fullmatch(line)) and same(m[1], m[2]):
+        return m[1], 1
+    if (m := RFC_NUMBER.fullmatch(line)) and i + 1 < len(lines) and same(m[1], lines[i + 1]):
+        return m[1], 2
+    return None
+
+
+def rfc_contents(lines: list[str]) -> tuple[dict[str, str], int]:
+    """C4: number -> title in order, and the line behind the last entry; it ends where the first section begins again."""
+    start = next((i for i, x in enumerate(lines) if x.strip().casefold() in ("contents", "table of contents")), None)
+    found: dict[str, str] = {}
+    if start is None:
+        return found, 0
+    i, last, end = start + 1, start, min(len(lines), start + RFC_TOC_LINES)
+    while i < end:
+        if lines[i].strip():
+            if found and RFC_NUMBER.fullmatch(lines[i].strip()) and rfc_opens(lines, i, found):
+                break
+            if entry := rfc_entry(lines, i, end):
+                found.setdefault(entry[0], entry[1])
+                i = last = entry[2]
+            elif found and i - last > RFC_TOC_GAP:
+                break
+        i += 1
+    return found, last + 1
+
+
+def rfc_clauses(text: str) -> list[tuple[str, str, str]]:
+    """C4, and C4b without a table of contents: headings at the first column that don't look like entries of one."""
+    lines = text.splitlines()
+    toc, start = rfc_contents(lines)
+    out: list[tuple[str, str, list[str]]] = []
+    seen: set[str] = set()
+    if toc:
+        early = set(list(toc)[:RFC_FIRST_ENTRIES])
+        i = next((k for k in range(start, len(lines)) if (x := rfc_opens(lines, k, toc)) and x[0] in early), start)
+        while i < len(lines):
+            found = rfc_opens(lines, i, toc)
+            if found and found[0] not in seen:
+                seen.add(found[0])
+                out.append((found[0], toc[found[0]], []))
+                i += found[1]
+                continue
+            if out:
+                out[-1][2].append(lines[i])
+            i += 1
+    else:
+        for line in lines:
+            m = None if line[:1].isspace() or RFC_ENTRY_LIKE.match(line.rstrip()) else RFC_HEADING.match(line.rstrip())
+            if m:
+                out.append((m[1], rfc_title(m[2]), []))
+            elif out:
+                out[-1][2].append(line)
+    return [(n, t, "\n".join(body).strip()) for n, t, body in out]
+
+
+def plain_clauses(text: str) -> list[tuple[str, str, str]]:
+    """C5 for one text, as `chunking.sections` does for a table."""
+    out: list[tuple[str, str, list[str]]] = []
+    for line in text.splitlines():
+        if m := re.fullmatch(r"(\d+(?:\.\d+)*)[ \t]+(.+)", line):
+            out.append((m[1], m[2].strip(), []))
+        elif out and line.strip():
+            out[-1][2].append(line)
+    return [(n, t, "\n".join(body).strip()) for n, t, body in out]
+
+
+SPLITTERS = {"3GPP": spec_clauses, "IETF": rfc_clauses}
+
+
+def clauses(docs: DataFrame, text: str = "text", org: str = "org") -> DataFrame:
     """The rows of docs with clause_no, clause, clause_title and body in place of text. Null and empty texts give no rows."""
     keys = [c for c in docs.columns if c != text]
     n = len(keys)
+    which = keys.index(org)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rows = [], []
-            for r, t in enumerate(batch.column(n)):
-                for k, clause in enumerate(spec_clauses(t.as_py() or "")):
+            for r, (o, t) in enumerate(zip(batch.column(which).to_pylist(), batch.column(n), strict=True)):
+                for k, clause in enumerate(SPLITTERS.get((o or "").strip().upper(), plain_clauses)(t.as_py() or "")):
                     at.append(r)
                     rows.append((k, *clause))
             take = pa.array(at, pa.int64())

@@ -45,7 +45,44 @@ def test_scores():
     assert C.alike("", "x") == 0.0 and C.alike("abc", "xyz") < 0.3
 
 
+RFC = """Request for Comments: 9999
+Table of Contents
+   1.  Introduction ........ 3
+   2.  Streams  ............ 4
+2.1
+.
+Stream Types
+3
+Very long
+title here
+7
+
+1.  Introduction
+Hello there.
+2
+Streams
+All about streams.
+2.1.  Stream Types
+kinds
+2.  Streams
+again
+3.  Very long title here
+end
+"""
+
+
+def test_rfc_with_contents():
+    got = C.rfc_clauses(RFC)
+    assert [(n, t) for n, t, _ in got] == [("1", "Introduction"), ("2", "Streams"), ("2.1", "Stream Types"), ("3", "Very long title here")]
+    assert got[1][2] == "All about streams." and got[2][2] == "kinds\n2.  Streams\nagain"
+
+
+def test_rfc_without_contents():
+    got = C.rfc_clauses("x\n1.  Intro\nbody\n  2.  indented\n3.  Entry like ..... 12\n2.  Next\nz")
+    assert got == [("1", "Intro", "body\n  2.  indented\n3.  Entry like ..... 12"), ("2", "Next", "z")]
+
+
 def test_clauses_rows(spark):
-    df = spark.createDataFrame([(1, SPEC), (2, None), (3, "")], "id int, text string")
+    df = spark.createDataFrame([(1, "3GPP", SPEC), (2, "IETF", RFC), (3, "3GPP", None), (4, None, "1 A\nb\n\n2 C"), (5, "X", "")], "id int, org string, text string")
     got = C.clauses(df).collect()
-    assert {r.id for r in got} == {1} and [r.clause_no for r in sorted(got, key=lambda r: r.clause_no)] == list(range(6))
+    assert {i: sum(r.id == i for r in got) for i in range(1, 6)} == {1: 6, 2: 4, 3: 0, 4: 2, 5: 0}
