@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+#: Short rows of one file.
+FILE_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,14 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost. keep: clear() leaves it."""
+def written(df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and safe when executors are lost. keep: clear() leaves it.
+
+    rows: as many rows as there can be, for tables of short rows: they are written in files of up to FILE_ROWS rows.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     if not keep:
         _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
