@@ -16,11 +16,16 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pages of a host that are compared at a time; larger hosts are dealt into such groups.
 GROUP = 128
+#: The salts by which the pages of a host find their host's page count.
+SALTS = 32
+#: Up to so many hosts, their page counts are broadcast; beyond it they are joined by (host, salt), so that no host is hot.
+MOST_HOSTS = 100_000
 #: A valid class has so many tokens and stands in so many pages, and in this share of the group's.
 CLASS_SIZE, SUPPORT, SHARE = 3, 3, 0.5
 
@@ -249,15 +254,27 @@ def html_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("u", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     counts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("parts"))
-    # A host's pages are dealt over as many groups as it needs; the counts come back by (host, salt), so no key is hot.
-    salts = 32
-    spread = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("k", "u"), F.lit(salts)).cast("int")).join(spread, ["host", "salt"])
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("u", "k"), F.col("parts"))).select("k", "u", "t", "host", "part")
+    # A host's pages are dealt over as many groups as it needs.
     kind = rows.schema["k"].dataType.simpleString()
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pages compressed one by one: what is dealt to the groups is a fraction of the html."""
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = pa.array([z.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw, batch.column(3), batch.column(4)], ["k", "u", "t", "host", "salt"])
+
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("k", "u"), F.lit(SALTS)).cast("int")).mapInArrow(packed, f"k {kind}, u string, t binary, host string, salt int")
+    few = counts.limit(MOST_HOSTS + 1).collect()
+    if len(few) <= MOST_HOSTS:
+        dealt = rows.join(F.broadcast(pages.sparkSession.createDataFrame(few, counts.schema)), "host")  # checked: MOST_HOSTS short rows
+    else:
+        dealt = rows.join(counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("u", "k"), F.col("parts"))).select("k", "u", "t", "host", "part")
+
     def extracted(table: pa.Table) -> pa.Table:
-        read = [read_page(t.as_py()) for t in table.column("t")]
+        z = zstandard.ZstdDecompressor()
+        read = [read_page(z.decompress(t.as_py()).decode()) for t in table.column("t")]
         words = template_words(read)
         texts = [main_text(p, words) for p in read]
         return pa.table({"k": table.column("k"), "u": table.column("u"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
