@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sourcegrove.functions import rules
 from sourcegrove.functions.text import blank
-from sourcegrove.operators import chunking, evidence, gates, history, ingest, lexical, questions, references, results, vector
+from sourcegrove.operators import chunking, clauses, contexts, evidence, gates, history, ingest, lexical, questions, references, results, vector
+from sourcegrove.plans import answering
 from sourcegrove.sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -603,3 +604,58 @@ def reference_point_queries(spark, sf_dir):
     rows = [(1, "N1 reference point between UE and AMF"), (2, "AMF SMF between the reference point"), (3, "NG-RAN AMF"), (4, "x")]
     q = lexical.reference_point_queries(F.col("question"))
     return values(spark, rows, "id int, question string").select("id", F.array_join(F.transform(q, lambda x: F.array_join(x, "|")), ";").alias("queries"))
+
+
+# ---------------------------------------------------------------- contexts and clauses
+
+
+@query("SELECT doc_id, CASE WHEN strpos(lower(text), 'the ') > 0 THEN substr(text, greatest(strpos(lower(text), 'the ') - 180, 1)::BIGINT, (least(strpos(lower(text), 'the ') - 1, 180) + 4 + 180)::BIGINT) END AS context FROM documents")
+def character_window(spark, sf_dir):
+    """W5."""
+    return table(spark, sf_dir, "documents").select("doc_id", contexts.around(F.col("text"), F.lit("the ")).alias("context"))
+
+
+@query(r"""WITH p AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM benchmark)
+SELECT item_id, (i - 1)::INTEGER AS seq, array_to_string(s[greatest(i - 1, 1):i + 1], ' ') AS window_text FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM p)""")
+def sentence_window(spark, sf_dir):
+    """W4 Q4."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", evidence.sentences(F.col("text")).alias("s"))
+    each = b.select("item_id", "s", F.posexplode("s").alias("seq", "x"))
+    return each.select("item_id", "seq", contexts.neighbours(F.col("s"), F.col("seq")).alias("window_text"))
+
+
+@query("SELECT * FROM (VALUES (1, '3GPP TS 23.501', 2::BIGINT), (1, 'RFC 9000', 1)) t(question, candidate, n)")
+def document_mentions(spark, sf_dir):
+    """J9."""
+    refs = values(spark, [(1, "TS 23.501"), (1, "3gpp ts 23"), (1, "rfc 9000"), (2, "RFC 1")], "question int, ref string")
+    return contexts.mentioned(refs, values(spark, [(1, "3GPP TS 23.501"), (1, "RFC 9000"), (2, "TS 1")], "question int, candidate string"))
+
+
+@query("SELECT * FROM (VALUES (1, 'AMF|SMF', 24), (2, 'AMF|RAN', 4), (3, 'UPF', 0)) t(id, ends, score)")
+def endpoint_scores(spark, sf_dir):
+    """J11 D9."""
+    rows = values(spark, [(1, "AMF-SMF", ["SMF", "AMF"]), (2, "NG-RAN / AMF", ["AMF"]), (3, "upf", ["UE"])], "id int, label string, entities array<string>")
+    ends = contexts.endpoints(F.col("label"))
+    return rows.select("id", F.array_join(ends, "|").alias("ends"), contexts.endpoint_score(ends, F.col("entities")).alias("score"))
+
+
+SPECS = [
+    (1, "3GPP", "Contents\n1\tScope\t5\n4.1\tGeneral\t6\n1\tScope\nthe scope\n4.1\tGeneral\nbody"), (2, "IETF", "Table of Contents\n1.  Introduction ..... 3\n1.  Introduction\nhello"),
+    (3, "ETSI", "intro\n1 Scope\nx\n2 References\ny"), (4, "3GPP", "A.1\tFirst\nq"),
+]
+
+
+@query("SELECT * FROM (VALUES (1, 0, '1', 'Scope', 'the scope'), (1, 1, '4.1', 'General', 'body'), (2, 0, '1', 'Introduction', 'hello'), (3, 0, '1', 'Scope', 'x'), (3, 1, '2', 'References', 'y'), (4, 0, 'A.1', 'First', 'q')) t(id, clause_no, clause, clause_title, body)")
+def clause_split(spark, sf_dir):
+    """C1 C2 C3 C4 C5 C8 W8 W9 J6 J7."""
+    return clauses.clauses(values(spark, SPECS, "id int, org string, text string")).drop("org")
+
+
+@query()
+def answer_prompts(spark, sf_dir):
+    """V1 V2 V3 V5 V6 J8 Q11 and all of entry A up to the generator, with the model-free slots: items of the benchmark as questions."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), "text")
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("org"), F.col("source").alias("code"), F.lit("Latest").alias("version"), F.lit("1").alias("clause"), F.lit("Text").alias("clause_title"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("source_url"))
+    out = answering.prompts(asked, answering.embedded(chunks, "text", "passage: "), threshold=1.2)
+    return out.select("question", "answer_type", "has_evidence", F.size("sources").alias("n_sources"), F.length("context").alias("context_chars"))
