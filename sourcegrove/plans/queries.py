@@ -659,3 +659,38 @@ def answer_prompts(spark, sf_dir):
     chunks = d.select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("org"), F.col("source").alias("code"), F.lit("Latest").alias("version"), F.lit("1").alias("clause"), F.lit("Text").alias("clause_title"), F.lit("indexed").alias("status"), F.lit(None).cast("string").alias("source_url"))
     out = answering.prompts(asked, answering.embedded(chunks, "text", "passage: "), threshold=1.2)
     return out.select("question", "answer_type", "has_evidence", F.size("sources").alias("n_sources"), F.length("context").alias("context_chars"))
+
+
+# ---------------------------------------------------------------- catalog, cache, document checks
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES))
+def catalog_counts(spark, sf_dir):
+    """Rows of every table, from their files' metadata."""
+    out = [table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t in TABLES]
+    while len(out) > 1:
+        out = [out[0].union(out[1]), *out[2:]]
+    return out[0]
+
+
+@query("WITH c AS (SELECT DISTINCT sha256(concat_ws('|', upper(trim(lang)), upper(trim(source)))) AS cache_id FROM documents WHERE doc_id % 3 = 0) SELECT lang AS org, source AS code, count(*) AS n, max(c.cache_id IS NOT NULL) AS hit FROM documents d LEFT JOIN c ON sha256(concat_ws('|', upper(trim(lang)), upper(trim(source)))) = c.cache_id GROUP BY ALL")
+def cache_probe(spark, sf_dir):
+    """Which documents a cache keyed by hash has."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("org"), F.col("source").alias("code")).withColumn("cache_id", ingest.cache_id(F.col("org"), F.col("code")))
+    cached = d.filter("doc_id % 3 = 0").select("cache_id").distinct().withColumn("hit", F.lit(True))
+    return d.join(cached, "cache_id", "left").groupBy("org", "code").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+
+
+DOCUMENT_TEXTS = [
+    (1, "TS 23.041", "cover\n3GPP TS 23.041 V1\n1.1 x\n[1] first ref\n[2] second\n1.2\tAbbreviations\nz", "ETSI", "650", "Route des Lucioles"), (2, "TS 23.041", "3GPP TR 22.001\nno list", "3GPP", "650", "route des lucioles"),
+    (3, "ts 22.001", "a 3gpp ts 22.001 b\n[1] only\n1.2 Abbreviations", "etsi", "650", "06921 ROUTE DES LUCIOLES"), (4, "TS 1", None, None, None, None),
+]
+
+
+@query("SELECT id, same, section, noise FROM (VALUES (1, true, '[1] first ref' || chr(10) || '[2] second' || chr(10), true), (2, false, '3GPP TR 22.001' || chr(10) || 'no list', false), (3, true, '[1] only' || chr(10), true), (4, false, NULL, false)) t(id, same, section, noise)")
+def document_checks(spark, sf_dir):
+    """F11 C9 F24."""
+    rows = values(spark, DOCUMENT_TEXTS, "id int, code string, text string, org string, clause string, title string")
+    return rows.select("id", gates.is_requested_document(F.col("code"), F.col("text")).alias("same"), gates.reference_section(F.col("text")).alias("section"), gates.is_cover_noise(F.col("org"), F.col("clause"), F.col("title")).alias("noise"))
