@@ -148,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         seen |= marks
     spark = docs.sparkSession
     kept = spark.createDataFrame(alone, f"k {rows.schema['k'].dataType.simpleString()}, y int")
-    once = stage.written(rows.join(F.broadcast(kept), "k").select("t", "y"), "toxicity-sample")
+    once = rows.join(F.broadcast(kept), "k").select("t", "y")
+    once = stage.written(once.repartition(8), "toxicity-sample")  # bounded, so in a few files
 
     def counted(batches: Iterator[pa.RecordBatch], only: set[str] | None) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
