@@ -178,3 +178,19 @@ ANSWER_SENTENCES = {
 }
 SYSTEM_USED, SYSTEM_FOR = "%s %s içinde kullanılır.", "%s için ilgili sistem %s'dır."
 SYSTEM_QUESTION = r"\bhangi\s+(?:sistem(?:de|den|da|dan)?|şebeke(?:de|den|da|dan)?|network(?:te|ten|de|den)?)\b"
+
+# What candidates of each answer type look like (first group), in order.
+CANDIDATE_PATTERNS = {
+    "SİSTEM": [r"\b((?:\dG|[A-Z][A-Z0-9\-]{1,}|[A-Z][A-Za-z0-9\-]+)(?:\s+[A-Z][A-Za-z0-9\-]+){0,3}\s+(?:System|system|Subsystem|subsystem))\b"],
+    "PROSEDÜR": [r"(?i)\b((?:(?:(?:UE|network)[-\s]+initiated|UE[-\s]+requested|network[-\s]+requested)(?:\s+[A-Za-z0-9/\-]+){0,5}\s+procedure)|(?:(?!(?:The|A|An)\b)(?:[A-Za-z0-9/\-]+\s+){1,3}procedure))\b"],
+    "MESAJ": [r"\b((?:(?:[A-Z][A-Z0-9/\-]*\s+){0,4}(?:REQUEST|RESPONSE|ACCEPT|REJECT|COMMAND|COMPLETE|NOTIFICATION|INDICATION|REPORT|MESSAGE))|(?:(?:[A-Z][A-Za-z0-9/\-]*\s+){0,4}(?:Request|Response|Accept|Reject|Command|Complete|Notification|Indication|Report|Message)))\b"],
+    "ARAYÜZ / REFERANS NOKTASI": [r"\b([A-Za-z][A-Za-z0-9\-]{0,15})\s*:\s*(?i:Reference\s+point)\b", r"\b([A-Za-z][A-Za-z0-9\-]{0,15})\s+(?i:(?:reference\s+point|interface))\b", r"\b(?i:(?:reference\s+point|interface))\s+([A-Za-z][A-Za-z0-9\-]{0,15})\b"],
+    "PROTOKOL": [r"(?i:(?:application|transport)?\s*protocol)\s*\(([A-Z][A-Z0-9/\-]{1,12})\)", r"\b([A-Z][A-Z0-9.+/\-]{1,12})\s+(?i:transport\s+protocol)\b", r"\b([A-Za-z][A-Za-z0-9.+/\-]{1,20})\s+(?i:protocol)\b"],
+    "NETWORK FUNCTION": [r"(?i:(?:[A-Za-z][A-Za-z0-9/\-]*\s+){1,8}Function)\s*\(([A-Z][A-Z0-9\-]{1,10})\)", r"\b([A-Z][A-Z0-9\-]{1,10})\s+(?i:(?:Network\s+)?Function)\b", r"\b((?:[A-Z][A-Za-z0-9/\-]*\s+){0,4}[A-Z][A-Za-z0-9/\-]*\s+[Ff]unction)\b"],
+    "DEĞER / LİMİT": [r"(?i)\b(\d+(?:\.\d+)?\s*(?:ms|s|sec|second|seconds|minute|minutes|hour|hours|day|days|bit|bits|byte|bytes|octet|octets|digit|digits|character|characters|Hz|kHz|MHz|GHz|dB|dBm|%))\b"],
+}
+# Candidates that say nothing.
+GENERIC_CANDIDATES = ["between", "procedure", "the procedure", "this procedure", "a procedure", "procedure procedure", "the protocol", "this protocol", "a protocol", "protocol", "application protocol", "transport protocol", "layer protocol", "transport", "application", "layer", "provides", "this", "the function", "this function", "a function", "function", "to", "from", "and", "with", "the", "for", "in", "of"]
+# Documents that a text refers to.
+DOCUMENT_RELATION = r"(?i)\b(?:defined|specified|described|documented)\s+(?:in|by)\s+((?:3GPP\s+)?(?:TS|TR)\s*\d+(?:\.\d+)+|RFC\s*\d+)\b"
+DOCUMENT_IDENTIFIER = r"(?i)\b((?:3GPP\s+)?(?:TS|TR)\s*\d+(?:\.\d+)+|RFC\s*\d+)\b"

@@ -50,7 +50,7 @@ def unique_folded(x: Column) -> Column:
     """An array's trimmed items without blanks and later items that are equal when lowered; order stays."""
     empty = F.array().cast("array<string>")
     return F.aggregate(
-        F.transform(x, F.trim), empty, lambda got, v: F.when((v == "") | F.exists(got, lambda g: F.lower(g) == F.lower(v)), got).otherwise(F.concat(got, F.array(v)))
+        F.transform(x, lambda v: F.trim(v)), empty, lambda got, v: F.when((v == "") | F.exists(got, lambda g: F.lower(g) == F.lower(v)), got).otherwise(F.concat(got, F.array(v)))
     )
 
 

@@ -20,7 +20,7 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Q4: trimmed sentences, cut behind . ! ? before white space, and at line breaks."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def overlap(a: Column, b: Column) -> Column:
