@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sourcegrove.llm.textblocks import byte_blocks
 
 #: About so many rows of each language are learned from (a share of them by a hash of the key), and so many languages, the largest.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 1000, 256
+ROWS_PER_LANGUAGE, MOST_LANGUAGES = 500, 256
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 12
 #: Two codewords nearer to each other in loss than this are ambiguous.
@@ -123,13 +123,17 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not got:
         return None
     languages = sorted({r.y for r in got})
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32) * SCALE
     which = np.array([languages.index(r.y) for r in got])
+    x = np.empty((len(got), BUCKETS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r.x, np.float16)
+    x *= SCALE
+    got.clear()
     codes = codewords(len(languages))
     target = codes[which].astype(np.float32)
     # Squared-loss classifiers of all bits at once, by the kernel form of ridge regression: rows of a language weigh alike.
     weigh = np.sqrt(1.0 / np.bincount(which)[which]).astype(np.float32)[:, None]
-    mean = (x * weigh**2).sum(0) / (weigh**2).sum()
+    mean = (weigh[:, 0] ** 2) @ x / (weigh**2).sum()
     centred = (x - mean) * weigh
     mid = (target * weigh**2).sum(0) / (weigh**2).sum()
     gram = centred.T @ centred
