@@ -194,3 +194,21 @@ GENERIC_CANDIDATES = ["between", "procedure", "the procedure", "this procedure",
 # Documents that a text refers to.
 DOCUMENT_RELATION = r"(?i)\b(?:defined|specified|described|documented)\s+(?:in|by)\s+((?:3GPP\s+)?(?:TS|TR)\s*\d+(?:\.\d+)+|RFC\s*\d+)\b"
 DOCUMENT_IDENTIFIER = r"(?i)\b((?:3GPP\s+)?(?:TS|TR)\s*\d+(?:\.\d+)+|RFC\s*\d+)\b"
+
+# Fixed values of the answer guard: patterns, words that count as grounded anyway, and its sentences.
+GUARD_IDENTIFIER = r"\b((?:[A-Z]{2,}[A-Z0-9/.-]*|[A-Z][a-z0-9]*[A-Z][A-Za-z0-9/.-]*|N\d{1,3}))\b"
+GUARD_STATUS = r"(?<!\d)([1-5]\d{2})(?!\d)"
+GUARD_ABBREVIATION = r"\b([A-Z][A-Za-z0-9/.-]{1,}\s*\([^)]+\))"
+GUARD_DOCUMENT = r"(?i)\b(?:TS|TR|RFC|EN|ES|Recommendation)\s*[A-Z]?\s*\d[\d.\-]*\b"
+GUARD_SYSTEM = r"\b((?:\dG|[A-Z][A-Z0-9\-]{1,})(?:\s+[A-Za-z0-9\-]+){0,3}\s+[Ss]ystem)\b"
+GUARD_NOT_DOCUMENT = ["request", "response", "accept", "reject", "procedure", "referans", "reference point", "protocol"]
+GUARD_DOCUMENT_WORDS = ["standart", "standard", "doküman", "document", "specification"]
+ALLOWED_IDENTIFIERS = ["kaynak", "kaynaklar", "standart", "standartlar", "doküman", "dokuman", "madde", "bölüm", "bolum", "tablo", "şekil", "sekil", "ek", "clause", "section", "annex", "table", "figure", "session", "request", "response", "accept", "reject", "procedure", "message", "sdf", "gating", "qos", "pdu", "dnn", "ue", "ran", "ng-ran", "gnb", "amf", "smf", "upf", "ausf", "udm", "pcf", "nssf", "nrf", "nas", "n1", "n2", "n3", "n4", "n6", "n9", "n11", "n12", "n14", "n15", "n26", "n50", "f1", "e1", "x2", "xn", "amm", "http", "tcp", "udp", "sctp", "quic", "ip", "ipv4", "ipv6", "tai", "pra", "mbs"]
+GUARD_REASONS = {
+    "empty": "Model boş cevap üretti.",
+    "document": "Standart/doküman kodu, sorulan teknik varlığın yerine cevap olarak kullanılmış.",
+    "claims": "Cevapta kaynaklarda veya soruda bulunmayan teknik identifier/değer kullanılmış: ",
+    "system": "Sistem sorusuna verilen cevap, kaynak metinde açıkça System olarak geçen teknik varlıklardan hiçbirini içermiyor.",
+}
+GUARD_FALLBACK_SYSTEM = "Kaynak metne göre ilgili sistem %s olarak belirtilir."
+GUARD_FALLBACK = "Kaynaklar bulundu ancak doğrudan ve güvenilir bir cevap oluşturulamadı."

@@ -63,17 +63,6 @@ def confidence(ranked: DataFrame, question: str = "question") -> DataFrame:
     return got.select(question, F.col("t.candidate").alias("primary_answer"), level.alias("confidence"), F.round(margin, 4).alias("margin"))
 
 
-def identifiers(text: Column) -> Column:
-    """Q12: distinct technical identifiers: acronyms of capitals and digits, and status codes from 100 to 599."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Z][A-Z0-9]{1,9}(?:-[A-Z0-9]+)*|[1-5]\d{2})\b"), F.lit(1)))
-
-
-def unsupported(reply: Column, evidence: Column, question: Column, allowed: list[str]) -> Column:
-    """Q12: identifiers of the reply that neither the evidence, nor the question, nor the allow-list has."""
-    seen = F.upper(F.concat_ws(" ", evidence, question))
-    return F.filter(identifiers(reply), lambda i: ~i.isin(allowed) & ~F.contains(seen, F.upper(i)))
-
-
 def evaluated(cases: DataFrame) -> DataFrame:
     """Per case source_ok, facts_ok, forbidden_ok, abstain_ok and passed.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sourcegrove.functions import rules
 from sourcegrove.functions.text import blank
-from sourcegrove.operators import chunking, clauses, contexts, evidence, gates, history, ingest, lexical, questions, references, results, vector
+from sourcegrove.operators import chunking, clauses, contexts, evidence, gates, guard, history, ingest, lexical, questions, references, results, vector
 from sourcegrove.plans import answering
 from sourcegrove.sources import documents as sources
 
@@ -495,14 +495,17 @@ def answer_confidence(spark, sf_dir):
     return evidence.confidence(candidate_fold(spark, sf_dir))
 
 
-GUARD = [(1, "AMF ve SMF, 200 kodu ile", "AMF is connected", "SMF?"), (2, "NR (Narrowband IoT) 409", "nothing", "?"), (3, "plain words", None, None)]
+GUARD = [
+    (1, "Hangi kodlar döner?", "200 ve 409 kodları döner.", "only 200 is there"), (2, "NB-IoT nedir?", "NR (Narrowband IoT) kullanılır.", "NR is new radio"), (3, "Hangi sistem?", "Bu sistem 5GS olur.", "The 5G System is used."),
+    (4, "Hangi sistem?", "Bilinmeyen bir yapı.", "The 5G System is used."), (5, "AMF ne yapar?", "AMF standart RFC 9000 dokümanıdır.", "AMF RFC 9000"), (6, "x", " ", None),
+]
 
 
-@query("SELECT * FROM (VALUES (1, '200'), (2, 'NR,409'), (3, '')) t(id, unsupported)")
-def guard_identifiers(spark, sf_dir):
-    """Q12."""
-    g = values(spark, GUARD, "id int, reply string, evidence string, question string")
-    return g.select("id", F.array_join(evidence.unsupported(F.col("reply"), F.col("evidence"), F.col("question"), ["5G", "5GS"]), ",").alias("unsupported"))
+@query("SELECT * FROM (VALUES (1, false, '409', ''), (2, false, 'NR (Narrowband IoT)', ''), (3, true, '', '5G System'), (4, false, '', '5G System'), (5, false, '', ''), (6, false, '', '')) t(id, valid, claims, terms)")
+def answer_guard(spark, sf_dir):
+    """Q12 Q13."""
+    g = values(spark, GUARD, "id int, question string, reply string, evidence string")
+    return g.select("id", guard.validated(F.col("question"), F.col("reply"), F.col("evidence")).alias("v")).select("id", "v.valid", F.array_join("v.unsupported_claims", ",").alias("claims"), F.array_join("v.evidence_terms", ",").alias("terms"))
 
 
 @query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(question, usable)")

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sourcegrove.operators import chunking, evidence, ingest, lexical, questions, references, results, vector
+from sourcegrove.functions import rules
+from sourcegrove.operators import chunking, guard, ingest, lexical, questions, references, results, vector
 from sourcegrove.sources import documents as sources
 from sourcegrove.streaming import ingest as streaming
 
@@ -164,9 +165,14 @@ def test_docx_zip_html(spark):
 
 
 def test_guard(spark):
-    def bad(reply, seen):
-        df = spark.createDataFrame([(reply, seen, "")], "r string, e string, q string")
-        return df.select(evidence.unsupported(F.col("r"), F.col("e"), F.col("q"), ["UE"]).alias("x")).first().x
-
-    assert bad("codes 200 and 409", "nothing") == ["200", "409"]
-    assert bad("UE uses AMF", "the amf") == []
+    def checked(question, reply, seen):
+        df = spark.createDataFrame([(question, reply, seen)], "q string, r string, e string")
+        x = df.select(guard.validated(F.col("q"), F.col("r"), F.col("e")).alias("v"), guard.fallback(F.col("q"), guard.system_terms(F.col("e"))).alias("f")).first()
+        return x.v, x.f
+
+    v, f = checked("Hangi durum kodu?", "codes 200 and 409", "nothing")
+    assert not v.valid and v.unsupported_claims == ["200", "409"] and f == rules.GUARD_FALLBACK
+    assert checked("", "UE uses AMF", "the amf")[0].valid
+    v, f = checked("Hangi sistem kullanılır?", "Bir yapı.", "The Cell Broadcast system and the 5G System exist.")
+    assert v.reason == rules.GUARD_REASONS["system"] and v.evidence_terms == ["5G System"] and "5G System" in f
+    assert checked("Hangi sistem kullanılır?", "5G sistemi kullanılır.", "The 5G System exists.")[0].valid
