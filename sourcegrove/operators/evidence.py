@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sourcegrove.functions.text import folded
 
+#: Questions that are searched in one pass over the sentences.
+QUESTION_BLOCK = 256
+
 # Words that say nothing about a question's subject.
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to which with what when where who how ve veya ile bir bu hangi nedir ne mi mı da de için olarak olan the".split()
 
@@ -41,6 +49,95 @@ def supporting_facts(scored: DataFrame, question: str = "question", sentence: st
     return out.drop("__k", "__n")
 
 
+def question_blocks(questions: DataFrame, question: str, words: str) -> list[tuple[np.ndarray, Callable[[pa.Array], np.ndarray]]]:
+    """Of each block of questions its ids and a function from word lists to the (questions, lists) matrix of common words."""
+    got = questions.select(F.col(question).cast("long").alias("q"), F.coalesce(F.col(words), F.array().cast("array<string>")).alias("w")).orderBy("q").collect()
+    blocks = []
+    for a in range(0, len(got), QUESTION_BLOCK):
+        block = got[a : a + QUESTION_BLOCK]
+        pairs = sorted({(w, i) for i, r in enumerate(block) for w in r.w})
+        vocabulary = sorted({w for w, _ in pairs})
+        starts = np.searchsorted(np.array([w for w, _ in pairs], object), np.array([*vocabulary], object)) if pairs else np.zeros(0, np.int64)
+        starts = np.append(starts, len(pairs)).astype(np.int64)
+        holders = np.array([i for _, i in pairs], np.int64)
+
+        def common(lists: pa.Array, size=len(block), vocabulary=vocabulary, starts=starts, holders=holders) -> np.ndarray:
+            n = len(lists)
+            word = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(vocabulary, pa.string())), -1).to_numpy()
+            row = pc.list_parent_indices(lists).to_numpy()
+            row, word = row[word >= 0], word[word >= 0]
+            count = starts[word + 1] - starts[word]
+            inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            held = holders[np.repeat(starts[word], count) + inside]
+            return np.bincount(held * n + np.repeat(row, count), minlength=size * n).reshape(size, n)
+
+        blocks.append((np.array([r.q for r in block], np.int64), common))
+    return blocks
+
+
+def joined(frames: list[DataFrame], rows: DataFrame, schema: str) -> DataFrame:
+    out = frames[0] if frames else rows.sparkSession.createDataFrame([], schema)
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
+
+
+def best_sentences(sentences: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
+    """(question, doc_id, seq, sentence, common): of every batch of sentences each question's `most` best different ones, for supporting_facts.
+
+    sentences (doc_id, seq, sentence, words) are all searched for all questions (question, words), which go to the executors in blocks.
+    A sentence among the `most` best of all is among those of its batch, so nothing is lost. common is cut at six, where the score ends.
+    A null question text counts as no words.
+    """
+    rows = sentences.select(F.col("doc_id").cast("long"), F.col("seq").cast("int"), "sentence", F.sha2(folded(F.col("sentence")), 256).alias("k"), "words")
+    schema = "question long, doc_id long, seq int, sentence string, common int"
+
+    def searched(ids: np.ndarray, common: Callable) -> Callable:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                order = np.lexsort((batch.column(1).to_numpy(), batch.column(0).to_numpy()))
+                key = pc.dictionary_encode(batch.column(3)).indices.to_numpy()[order]
+                first = np.sort(np.unique(key, return_index=True)[1])  # equal sentences have equal words: the earliest stands for them
+                kept = batch.take(pa.array(order[first]))
+                score = np.minimum(common(kept.column(4)), 6).astype(np.int8)
+                at = np.argsort(-score, axis=1, kind="stable")[:, :most]
+                out = kept.take(pa.array(at.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, at.shape[1])), out.column(0), out.column(1), out.column(2), pa.array(np.take_along_axis(score, at, 1).ravel(), pa.int32())],
+                    ["question", "doc_id", "seq", "sentence", "common"],
+                )
+
+        return best
+
+    return joined([rows.mapInArrow(searched(*b), schema) for b in question_blocks(questions, "question", "words")], rows, schema)
+
+
+def document_scores(sentences: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question, doc_id, n, common, best) of all documents that have sentences, for all questions: sentences, common words, best score (Q5)."""
+    rows = sentences.select(F.col("doc_id").cast("long"), "words")
+    schema = "question long, doc_id long, n long, common long, most long"
+
+    def searched(ids: np.ndarray, common: Callable) -> Callable:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+                docs, starts, n = np.unique(batch.column(0).to_numpy()[order], return_index=True, return_counts=True)
+                count = common(batch.column(1))[:, order]
+                total, most = np.add.reduceat(count, starts, axis=1), np.maximum.reduceat(count, starts, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.astype(np.int64)) for x in (np.repeat(ids, len(docs)), np.tile(docs, len(ids)), np.tile(n, len(ids)), total.ravel(), most.ravel())],
+                    ["question", "doc_id", "n", "common", "most"],
+                )
+
+        return summed
+
+    parts = joined([rows.mapInArrow(searched(*b), schema) for b in question_blocks(questions, "question", "words")], rows, schema)
+    out = parts.groupBy("question", "doc_id").agg(F.sum("n").alias("n"), F.sum("common").alias("common"), F.max("most").alias("most"))
+    return out.select("question", "doc_id", "n", "common", F.round(sentence_score(F.col("most"), F.lit(0), F.lit(0.0)), 6).alias("best"))
+
+
 def folded_scores(candidates: DataFrame, question: str = "question", value: str = "candidate", seq: str = "seq", score: str = "score", strong: str = "strong", again: float = 0.75) -> DataFrame:
     """Candidates folded in order of seq: the first score, then each time the larger of old and new plus `again`; strong if any is.
 

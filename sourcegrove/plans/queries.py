@@ -479,6 +479,30 @@ def supporting_facts(spark, sf_dir):
     return evidence.supporting_facts(s, seq="place").select("question", "score", "rank")
 
 
+ALL_SENTENCES_SQL = SENTENCE_SQL.replace(" WHERE doc_id % 20 = 0", "").replace(" WHERE item_id < 5", "")
+
+
+def all_sentences(spark, sf_dir):
+    """The sentences of all documents, and all items of the benchmark as questions."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(evidence.sentences(F.col("text"))).alias("seq", "sentence"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), ascii_words(F.col("text")).alias("words"))
+    return d.withColumn("words", ascii_words(F.col("sentence"))), q
+
+
+@query(ALL_SENTENCES_SQL + " SELECT question, doc_id, count(*) AS n, sum(common)::BIGINT AS common, round(max(1.5 * least(common, 6) + 2.5), 6)::DOUBLE AS best FROM f GROUP BY ALL")
+def sentence_score_all(spark, sf_dir):
+    """sentence_score over all documents and all items."""
+    return evidence.document_scores(*all_sentences(spark, sf_dir))
+
+
+@query(ALL_SENTENCES_SQL + r""", b AS (SELECT question, lower(trim(regexp_replace(sentence, '\s+', ' ', 'g'))) AS k, max(1.5 * least(common, 6))::DOUBLE AS score FROM f GROUP BY ALL)
+SELECT question, score, rank FROM (SELECT question, score, row_number() OVER (PARTITION BY question ORDER BY score DESC) AS rank FROM b) WHERE rank <= 3""")
+def supporting_facts_all(spark, sf_dir):
+    """supporting_facts over all documents and all items."""
+    s = evidence.best_sentences(*all_sentences(spark, sf_dir)).withColumn("score", 1.5 * F.col("common")).withColumn("place", F.struct("doc_id", "seq"))
+    return evidence.supporting_facts(s, seq="place").select("question", "score", "rank")
+
+
 MENTIONS = [(1, "a", 1, 2.0, False), (1, "a", 2, 5.0, True), (1, "a", 3, 1.0, False), (1, "b", 1, 6.0, False), (2, "c", 1, 8.5, True), (2, "d", 4, 7.0, True), (3, "e", 2, 4.5, True), (3, "f", 1, 4.4, True)]
 FOLD = "WITH m AS (SELECT * FROM " + values_sql(MENTIONS, "question, candidate, seq, score, strong") + "), l AS (SELECT question, candidate, list(score::DOUBLE ORDER BY seq) AS s, bool_or(strong) AS strong, min(seq) AS seq FROM m GROUP BY ALL), r AS (SELECT question, candidate, round(list_reduce(s, lambda a, x: greatest(a, x) + 0.75), 4) AS score, len(s)::INTEGER AS occurrences, strong, seq FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, occurrences DESC, seq, candidate) AS rank FROM r)"
 
