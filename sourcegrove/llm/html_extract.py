@@ -3,14 +3,17 @@
 Pages are read to tokens: tags with their place, and words with theirs. Over a group of pages of one host, tokens with the same
 occurrence vector (how often in which page) form an equivalence class; a class is valid if enough pages have it, it is large enough, its
 tokens keep their order in every page, and it nests: all of it lies in one gap of its parent class. Valid classes make
-the template. Text made of template words is part of the frame; what stands in the gaps are slots. Slots in the frame's menus, headers,
+the template. Words of a line that many pages have alike are tokens of that line, told apart from the same words elsewhere. Text made of
+template words is part of the frame, inside an article too; what stands in the gaps are slots. Slots in the frame's menus, headers,
 footers, sidebars, notices, adverts, forms and comments (told by element, role, class and id) are dropped; the others are the text. A
-page's article or main element, where it has one, bounds the text and is never taken for template.
+page's article or main element is a hint: it stays whole where the template would take most of it (pages that are copies), and where
+no template was found it bounds the text if it has most of the words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
@@ -174,20 +177,22 @@ def read_page(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool]]]:
 
 
 def template_words(pages: list[tuple[list[str], list[tuple[str, str, bool, bool]]]]) -> set[tuple[str, str]]:
-    """(place, word) of all word tokens in valid equivalence classes of a group of pages."""
+    """(place, word) of all word tokens in valid equivalence classes of a group of pages, and (place, text) of lines whose tokens all are."""
     n = len(pages)
     if n < SUPPORT:
         return set()
-    sequences: list[list[tuple[str, str]]] = []
+    least = max(SUPPORT, int(n * SHARE))
+    holders = Counter(line for _, blocks in pages for line in {(place, text) for place, text, _, _ in blocks})
+    sequences: list[list[tuple]] = []
     for tags, blocks in pages:
         # Words stand behind the tags here; a class never mixes them in order, as each page has both in the same two runs.
-        sequences.append([(t, "") for t in tags] + [(place, w) for place, text, _, main in blocks if not main for w in text.split(" ")])
-    vectors: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        words = (((place, w, i, text) if holders[place, text] >= least else (place, w)) for place, text, _, _ in blocks for i, w in enumerate(text.split(" ")))
+        sequences.append([(t, "") for t in tags] + list(words))
+    vectors: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for p, s in enumerate(sequences):
         for token, c in Counter(s).items():
             vectors[token].append((p, c))
-    least = max(SUPPORT, int(n * SHARE))
-    classes: dict[tuple, list[tuple[str, str]]] = defaultdict(list)
+    classes: dict[tuple, list[tuple]] = defaultdict(list)
     for token, v in vectors.items():
         if len(v) >= least:
             classes[tuple(v)].append(token)
@@ -199,11 +204,25 @@ def template_words(pages: list[tuple[list[str], list[tuple[str, str, bool, bool]
                 valid.append((vector, kept))
     valid.sort(key=lambda x: (-len(x[0]), -len(x[1])))
     nested = [x for i, x in enumerate(valid) if all(nests(x, y, sequences) for y in valid[:i] if len(y[0]) >= len(x[0]) and all(c == 1 for _, c in y[0]))]
-    return {t for _, tokens in nested for t in tokens if t[1]}
+    found = {t for _, tokens in nested for t in tokens if t[1]}
+    whole = Counter((t[0], t[3]) for t in found if len(t) > 2)
+    return {t for t in found if len(t) == 2} | {line for line, c in whole.items() if c == len(line[1].split(" "))}
 
 
 def ordered(vector: tuple, tokens: set, sequences: list) -> set:
-    """The tokens of a class that keep one order in all of its pages; none if repeats break the order."""
+    """The tokens of a class that keep one order in all of its pages; none if repeats break the order.
+
+    Where each stands once in a page, those that break the order of the first page, as words of the text that all pages happen to
+    have, go one by one: the longest run in order stays.
+    """
+    if all(c == 1 for _, c in vector):
+        kept = [t for t in sequences[vector[0][0]] if t in tokens]
+        for p, _ in vector[1:]:
+            places = {t: i for i, t in enumerate(sequences[p]) if t in tokens}
+            at = [places[t] for t in kept]
+            if any(a > b for a, b in zip(at, at[1:], strict=False)):
+                kept = [kept[i] for i in rising(at)]
+        return set(kept)
     first = None
     for p, c in vector:
         s = [t for t in sequences[p] if t in tokens]
@@ -217,6 +236,27 @@ def ordered(vector: tuple, tokens: set, sequences: list) -> set:
     return tokens
 
 
+def rising(x: list[int]) -> list[int]:
+    """The indices of a longest rising subsequence of different numbers."""
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for i, v in enumerate(x):
+        k = bisect_left(ends, v)
+        before.append(last[k - 1] if k else -1)
+        if k == len(ends):
+            ends.append(v)
+            last.append(i)
+        else:
+            ends[k], last[k] = v, i
+    out = []
+    i = last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
 def nests(inner: tuple, outer: tuple, sequences: list) -> bool:
     """Whether, in every page, each round of the inner class lies in one gap of the outer class, the same in all pages."""
     (vector, tokens), (pages, frame) = inner, outer
@@ -237,11 +277,20 @@ def nests(inner: tuple, outer: tuple, sequences: list) -> bool:
 
 def main_text(page: tuple[list[str], list[tuple[str, str, bool, bool]]], frame_words: set[tuple[str, str]]) -> str:
     """The page's text: its slots outside the frame, block by block."""
-    blocks = page[1]
-    inner = [text for _, text, frame, main in blocks if main and not frame]
-    if inner:
-        return "\n".join(inner)
-    return "\n".join(text for place, text, frame, _ in blocks if not frame and not all((place, w) in frame_words for w in text.split(" ")))
+
+    def n_words(lines: list[tuple[str, str, bool]]) -> int:
+        return sum(text.count(" ") + 1 for _, text, _ in lines)
+
+    blocks = [(place, text, main) for place, text, frame, main in page[1] if not frame]
+    inner = [x for x in blocks if x[2]]
+    if not frame_words:
+        return "\n".join(text for _, text, _ in (inner if 2 * n_words(inner) >= n_words(blocks) else blocks))
+    slots = [x for x in blocks if (x[0], x[1]) not in frame_words and not all((x[0], w) in frame_words for w in x[1].split(" "))]
+    copied = 2 * n_words([x for x in slots if x[2]]) < n_words(inner)
+    if copied:
+        taken = set(blocks) - set(slots)
+        slots = [x for x in blocks if x[2] or x not in taken]
+    return "\n".join(text for _, text, _ in slots)
 
 
 def html_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", group: int = GROUP) -> DataFrame:

@@ -1,5 +1,8 @@
 """Queries and operators do the whole job: all rows are searched, for all that is asked."""
 
+import random
+
+from sourcegrove.llm import html_extract
 from sourcegrove.operators import evidence
 from sourcegrove.plans import queries
 
@@ -19,3 +22,25 @@ def test_facts_of_all_documents(spark, tmp_path, monkeypatch):
     scores = {(r.question, r.doc_id): (r.n, r.common, r.best) for r in queries.sentence_score_all(spark, str(tmp_path)).collect()}
     assert len(scores) == 8 * 39
     assert scores[7, 7] == (2, 14, 11.5) and scores[7, 13] == (1, 2, 5.5) and scores[2, 7] == (2, 0, 2.5)
+
+
+def test_template_inside_and_outside_articles():
+    rng = random.Random(5)
+    pages = []
+    for i in range(9):
+        body = [" ".join(rng.choice("alpha beta gamma delta share this story to river stone cloud".split()) for _ in range(30)) + f" {i}" for _ in range(3)]
+        html = f"<body><p>welcome to our site</p><article><h1>title {i}</h1><p>{body[0]}</p><p>share this story, or mail this to us</p><p>{body[1]}</p></article><p>{body[2]}</p><p>all rights are ours</p></body>"
+        pages.append((f"title {i}\n" + "\n".join(body), html_extract.read_page(html)))
+    words = html_extract.template_words([p for _, p in pages])
+    assert [html_extract.main_text(p, words) for _, p in pages] == [want for want, _ in pages]
+
+
+def test_articles_that_are_copies_stay():
+    pages = [html_extract.read_page(f"<body><p>welcome to our site</p><article><p>one and the same long text on every page</p></article><p>see page number {i}</p></body>") for i in range(6)]
+    words = html_extract.template_words(pages)
+    assert html_extract.main_text(pages[2], words) == "one and the same long text on every page\nsee page number 2"
+
+
+def test_a_teaser_does_not_bound_a_lone_page():
+    page = html_extract.read_page("<body><article>short teaser</article><p>the long text of the page is here, outside of it</p></body>")
+    assert html_extract.main_text(page, set()) == "short teaser\nthe long text of the page is here, outside of it"
