@@ -19,10 +19,12 @@ BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apa
 
 # License families as (label, keyword, pattern of the name in normalised words). Written for this project.
 FAMILIES = (
-    ("mit", b"mit", r"mit|expat"),
+    ("mit", b"mit", r"mit"),
+    ("mit", b"expat", r"expat"),
     ("mit-0", b"mit", r"mit (?:no attribution|0)"),
     ("x11", b"x11", r"x11"),
-    ("isc", b"isc", r"isc|internet systems consortium"),
+    ("isc", b"isc", r"isc"),
+    ("isc", b"internet systems", r"internet systems consortium"),
     ("bsd-2", b"bsd", r"bsd 2 clause|2 clause bsd|simplified bsd|freebsd"),
     ("bsd-3", b"bsd", r"bsd 3 clause|3 clause bsd|new bsd|modified bsd"),
     ("bsd-4", b"bsd", r"bsd 4 clause|4 clause bsd|original bsd"),
@@ -81,7 +83,7 @@ WORDINGS = (
 )
 
 #: A text without one of these has no match of any rule: each wording or name needs one.
-GATE = (b"licen", b"spdx", b"under", b"subject to")
+GATE = (b"licen", b"spdx", b"under", b"subject")
 #: Words are runs of ASCII digits and letters and of all bytes above 0x7F.
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[0x30:0x3A] = NOT_WORD[0x41:0x5B] = NOT_WORD[0x61:0x7B] = NOT_WORD[0x80:] = False

@@ -1,8 +1,10 @@
 """Queries and operators do the whole job: all rows are searched, for all that is asked."""
 
 import random
+import re
+from dataclasses import replace
 
-from sourcegrove.llm import html_extract
+from sourcegrove.llm import html_extract, license_scan
 from sourcegrove.operators import evidence
 from sourcegrove.plans import queries
 
@@ -44,3 +46,36 @@ def test_articles_that_are_copies_stay():
 def test_a_teaser_does_not_bound_a_lone_page():
     page = html_extract.read_page("<body><article>short teaser</article><p>the long text of the page is here, outside of it</p></body>")
     assert html_extract.main_text(page, set()) == "short teaser\nthe long text of the page is here, outside of it"
+
+
+def spelled(pattern) -> set[str]:
+    """What a small pattern matches: every alternative, optional parts with and without."""
+    outs = {""}
+    for op, arg in pattern:
+        match str(op):
+            case "LITERAL":
+                part = {chr(arg)}
+            case "IN":
+                part = {chr(x) if str(o) == "LITERAL" else "1" if str(x) == "CATEGORY_DIGIT" else "w" if str(o) == "CATEGORY" else chr(x[0]) for o, x in arg}
+            case "MAX_REPEAT":
+                part = spelled(arg[2]) | ({""} if arg[0] == 0 else set())
+            case "BRANCH":
+                part = set().union(*(spelled(x) for x in arg[1]))
+            case "SUBPATTERN":
+                part = spelled(arg[3])
+        outs = {a + b for a in outs for b in part}
+    return outs
+
+
+def test_license_gate_drops_nothing(monkeypatch):
+    parse = re._parser.parse
+    names = sorted({n for _, _, name in license_scan.FAMILIES for n in spelled(parse(name))})
+    wordings = [sorted(spelled(parse(w.format("Q")))) for _, _, w in license_scan.WORDINGS]
+    texts = [w[0].replace("Q", n) for n in names for w in wordings] + [x.replace("Q", n) for w in wordings for x in w for n in ("expat", "internet systems consortium", "gpl 3")]
+    gated = license_scan.Scanner()
+    got = [gated.scan(t.replace(" ", gap).encode()) for t in texts for gap in (" ", "\n", "  ")]
+    monkeypatch.setattr(license_scan, "GATE", (b"a", b"e", b"i", b"o", b"u"))
+    every = license_scan.Scanner([replace(r, keyword=b" ") for r in license_scan.rules()])
+    assert got == [x for t in texts for x in [every.scan(t.encode())] * 3]
+    labels = {t: {x[2] for x in gated.scan(t.encode())[1]} for t in ("Released under the Expat License", "Internet Systems Consortium license", "subject\nto GPL 3")}
+    assert list(labels.values()) == [{"mit"}, {"isc"}, {"gpl-3"}]
