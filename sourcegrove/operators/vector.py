@@ -13,6 +13,8 @@ from sourcegrove.functions import rules
 
 #: Query vectors that are searched in one pass over the collection.
 QUERY_BLOCK = 4096
+#: Of these, so many are compared with a batch at a time.
+QUERY_ROWS = 256
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES_PER_VARIANT, query_id: str = "variant", chunk_id: str = "chunk_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
@@ -37,11 +39,13 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES_PER_VAR
                     continue
                 c = batch.column(0).to_numpy()
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                d = np.round((matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (matrix @ x.T), digits) + 0.0  # no negative zero
-                order = np.lexsort((np.broadcast_to(c, d.shape), d), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, order.shape[1])), pa.array(c[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["q", "c", "distance"]
-                )
+                for a in range(0, len(ids), QUERY_ROWS):
+                    some, m = ids[a : a + QUERY_ROWS], matrix[a : a + QUERY_ROWS]
+                    d = np.round((m**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (m @ x.T), digits) + 0.0  # no negative zero
+                    order = np.lexsort((np.broadcast_to(c, d.shape), d), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.repeat(some, order.shape[1])), pa.array(c[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["q", "c", "distance"]
+                    )
 
         found = rows.mapInArrow(nearest, "q long, c long, distance double")
         out = found if out is None else out.union(found)

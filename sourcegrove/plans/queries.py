@@ -139,6 +139,79 @@ def strong_margin(spark, sf_dir):
     return vector.strong_margin(best)
 
 
+def whole_sql(name: str) -> str:
+    return ORACLE_SQL[name].replace("vec_id < 4", "vec_id % 20 = 0").replace("chunk_id % 10 AS question", "variant // 80 AS question")
+
+
+ALL_FUSED_SQL = (
+    KNN_SQL.replace("vec_id < 4", "vec_id % 20 = 0")
+    + """, near AS (SELECT *, variant // 80 AS question FROM hits WHERE distance <= 1.6),
+fused AS (
+  SELECT question, chunk_id, round(sum(1 / (60.0 + rank)), 12) AS fusion_score, min(rank) AS best_rank, min(distance) AS distance, count(DISTINCT variant) AS query_hit_count
+  FROM near GROUP BY question, chunk_id
+)"""
+)
+
+
+def all_hits(spark: SparkSession, sf_dir: str, searched: str = "true") -> DataFrame:
+    """Every vector whose id is divisible by 20 against all vectors that are searched; four of them in order are the variants of a question."""
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("variant"), "embedding")
+    return vector.knn(queries, e.filter(searched).withColumnRenamed("vec_id", "chunk_id"))
+
+
+def all_near(spark, sf_dir):
+    return vector.near_enough(all_hits(spark, sf_dir), WIDE).withColumn("question", F.expr("variant div 80"))
+
+
+def all_scored(spark, sf_dir):
+    return all_hits(spark, sf_dir).select(F.expr("variant div 80").alias("question"), "chunk_id", "variant", F.round(10 - 5 * F.col("distance"), 6).alias("score"))
+
+
+@query(whole_sql("knn_topk"))
+def knn_topk_all(spark, sf_dir):
+    """knn_topk of all stated queries."""
+    return all_hits(spark, sf_dir)
+
+
+@query(whole_sql("knn_filtered"))
+def knn_filtered_all(spark, sf_dir):
+    """knn_filtered of all stated queries."""
+    return vector.near_enough(all_hits(spark, sf_dir, "label = 1"), WIDE)
+
+
+@query(ALL_FUSED_SQL + " SELECT * FROM fused")
+def rrf_fusion_all(spark, sf_dir):
+    """rrf_fusion of all stated queries."""
+    return vector.fuse(all_near(spark, sf_dir)).drop("variant_ranks")
+
+
+@query(
+    ALL_FUSED_SQL
+    + """, tops AS (SELECT question, chunk_id, min(variant) AS top_variant FROM (SELECT *, min(rank) OVER (PARTITION BY variant) AS f FROM near) WHERE rank = f GROUP BY question, chunk_id),
+chosen AS (
+  SELECT * FROM (SELECT f.*, top_variant, row_number() OVER (PARTITION BY f.question ORDER BY top_variant ASC NULLS LAST, fusion_score DESC, query_hit_count DESC, best_rank, distance, f.chunk_id) AS n FROM fused f LEFT JOIN tops USING (question, chunk_id)) WHERE n <= 12
+)
+SELECT question, chunk_id, fusion_score, best_rank, distance, query_hit_count, top_variant,
+  row_number() OVER (PARTITION BY question ORDER BY fusion_score DESC, query_hit_count DESC, best_rank, distance, chunk_id) AS position FROM chosen"""
+)
+def coverage_select_all(spark, sf_dir):
+    """coverage_select of all stated queries."""
+    return vector.select_covering(all_near(spark, sf_dir)).drop("variant_ranks")
+
+
+@query(whole_sql("rerank_best_variant"))
+def rerank_best_variant_all(spark, sf_dir):
+    """rerank_best_variant of all stated queries."""
+    return vector.best_variant(all_scored(spark, sf_dir), top_k=5)
+
+
+@query(whole_sql("strong_margin"))
+def strong_margin_all(spark, sf_dir):
+    """strong_margin of all stated queries."""
+    return vector.strong_margin(all_scored(spark, sf_dir).groupBy("question", "chunk_id").agg(F.max("score").alias("rerank_score")))
+
+
 # ---------------------------------------------------------------- lexical search
 
 TOKENS_SQL = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{lexical.MARKED}', '{lexical.PLAIN}'), '([\\p{{L}}\\p{{N}}]+)')"

@@ -4,8 +4,10 @@ import random
 import re
 from dataclasses import replace
 
+import numpy as np
+
 from sourcegrove.llm import html_extract, license_scan
-from sourcegrove.operators import evidence
+from sourcegrove.operators import evidence, vector
 from sourcegrove.plans import queries
 
 
@@ -79,3 +81,16 @@ def test_license_gate_drops_nothing(monkeypatch):
     assert got == [x for t in texts for x in [every.scan(t.encode())] * 3]
     labels = {t: {x[2] for x in gated.scan(t.encode())[1]} for t in ("Released under the Expat License", "Internet Systems Consortium license", "subject\nto GPL 3")}
     assert list(labels.values()) == [{"mit"}, {"isc"}, {"gpl-3"}]
+
+
+def test_all_stated_vectors_are_queries(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(vector, "QUERY_ROWS", 3)
+    e = [(r.vec_id, np.array(r.embedding, float)) for r in queries.table(spark, sf_dir, "embeddings").collect()]
+    asked = [x for x in e if x[0] % 20 == 0]
+    got = {(r.variant, r["rank"]): r.chunk_id for r in queries.knn_topk_all(spark, sf_dir).collect()}
+    assert len(asked) > 20 and len(got) == 35 * len(asked)
+    for q, v in asked:
+        near = sorted((round(float(((v - x) ** 2).sum()), 9), c) for c, x in e)
+        assert [got[q, k] for k in range(1, 36)] == [c for _, c in near[:35]]
+    assert {r.question for r in queries.coverage_select_all(spark, sf_dir).collect()} == {q // 80 for q, _ in asked}
