@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,29 +99,34 @@ def resolve(refs: DataFrame, listing: DataFrame) -> DataFrame:
     return df.select(*refs.columns, status.alias("status"), "source_url", F.when(F.col("org") == "3GPP", zip_link).alias("version"))
 
 
-def crawl(seeds: DataFrame, cites: DataFrame, most_levels: int = 1000) -> DataFrame:
+def crawl(seeds: DataFrame, cites: DataFrame, most_levels: int | None = None) -> DataFrame:
     """G1: (org, code, level) of all documents reached from seeds (org, code) along cites (org, code, to_org, to_code).
 
-    Each level joins the last one's documents with their citations, takes away those visited, and is written to a table in the
-    checkpoint folder, so lineage stays short and a lost executor costs one level.
+    It ends where a level brings no new document, or after most_levels levels if that is given. Each level joins the last one's
+    documents with their citations, takes away those visited, and is written to a folder of its own beside the others in the
+    checkpoint folder, so lineage and plan stay short however many levels there are, and a lost executor costs one level.
     """
     spark = seeds.sparkSession
-    frontier = level_table(spark, seeds.select("org", "code").distinct().withColumn("level", F.lit(0)))
-    visited = frontier
-    for n in range(1, most_levels):
-        reached = frontier.join(cites, ["org", "code"]).select(F.col("to_org").alias("org"), F.col("to_code").alias("code")).distinct()
-        frontier = level_table(spark, reached.join(visited, ["org", "code"], "left_anti").withColumn("level", F.lit(n)))
-        if frontier.isEmpty():
+    folder = level_folder(spark)
+    first = seeds.select("org", "code").distinct().withColumn("level", F.lit(0))
+    first.write.parquet(f"{folder}/0")
+
+    def read(path: str) -> DataFrame:
+        return spark.read.schema(first.schema).option("recursiveFileLookup", "true").parquet(path)
+
+    for n in count(1):
+        if most_levels is not None and n >= most_levels:
+            break
+        reached = read(f"{folder}/{n - 1}").join(cites, ["org", "code"]).select(F.col("to_org").alias("org"), F.col("to_code").alias("code")).distinct()
+        reached.join(read(folder), ["org", "code"], "left_anti").withColumn("level", F.lit(n)).write.parquet(f"{folder}/{n}")
+        if read(f"{folder}/{n}").isEmpty():
             break
-        visited = visited.union(frontier)
-    return visited
+    return read(folder)
 
 
-def level_table(spark: SparkSession, df: DataFrame) -> DataFrame:
+def level_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="sourcegrove-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: all rows are searched, for all that is asked."""
 
+import inspect
 import random
 import re
 from dataclasses import replace
@@ -7,7 +8,7 @@ from dataclasses import replace
 import numpy as np
 
 from sourcegrove.llm import html_extract, license_scan
-from sourcegrove.operators import evidence, vector
+from sourcegrove.operators import evidence, references, vector
 from sourcegrove.plans import queries
 
 
@@ -94,3 +95,13 @@ def test_all_stated_vectors_are_queries(spark, sf_dir, monkeypatch):
         near = sorted((round(float(((v - x) ** 2).sum()), 9), c) for c, x in e)
         assert [got[q, k] for k in range(1, 36)] == [c for _, c in near[:35]]
     assert {r.question for r in queries.coverage_select_all(spark, sf_dir).collect()} == {q // 80 for q, _ in asked}
+
+
+def test_crawl_ends_only_on_an_empty_frontier(spark, sf_dir):
+    assert inspect.signature(references.crawl).parameters["most_levels"].default is None
+    cites = spark.createDataFrame([("D", str(a), "D", str((a + 1) % 20)) for a in range(20)], "org string, code string, to_org string, to_code string")
+    seeds = spark.createDataFrame([("D", "0")], "org string, code string")
+    assert {(r.code, r.level) for r in references.crawl(seeds, cites).collect()} == {(str(i), i) for i in range(20)}
+    assert references.crawl(seeds, cites, 13).count() == 13
+    n = queries.table(spark, sf_dir, "documents").count()
+    assert {int(r.code): r.level for r in queries.crawl_closure_all(spark, sf_dir).collect()} == {i: (i + 1).bit_length() - 1 for i in range(n)}
