@@ -1,14 +1,14 @@
-"""Removal of long repeated byte strings by longest-previous-factor arrays over suffix order.
+"""Removal of long repeated byte strings by suffix ranks under anchors.
 
 A byte string of `length` that stands in two places has, at both, the same anchor: the `gram`-byte string in it with the smallest
 hash (the leftmost of equals). So strings that are equal meet under their anchor:
 
 1. Every text gives its anchors, each with the run of strings that select it and a hash of the run's whole span of bytes.
 2. Anchors that stand once need no more look. Where two spans under an anchor are equal as a whole, all their strings repeat.
-   Only spans of an anchor under which several different spans meet are compared byte by byte.
-3. These spans are laid end to end, bucket by bucket; a suffix array of them (ranks doubled up to `length`), the common prefixes
-   of neighbours, and the previous and next smaller positions in suffix order give each string its longest earlier match. A match
-   of `length` bytes marks the later string, and in the symmetric form the earlier one too.
+   This is told by their hashes. Only spans of an anchor under which several different spans meet are compared by suffix ranks.
+3. These spans are laid end to end, bucket by bucket; suffix ranks of them (doubled up to `length`) are equal where strings of
+   `length` bytes are. There are no common prefixes of neighbours and no lengths of factors: an equal rank at an earlier place
+   marks the later string, and in the symmetric form the earlier one too.
 4. Marked strings of a text are united to spans of bytes and cut out.
 """
 
