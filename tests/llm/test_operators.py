@@ -336,21 +336,27 @@ def test_license_rules_are_many_and_unique():
 
 
 def plain_removal(texts, length):
+    """(bytes, removed, spans, digest of what remains, bytes removed where the first place stays) of each text."""
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[k : k + length] for r in raws for k in range(len(r) - length + 1))
-    out = []
+    out, met = [], set()
     for r in raws:
-        gone = bytearray(len(r))
+        gone, late = bytearray(len(r)), bytearray(len(r))
         for k in range(len(r) - length + 1):
-            if seen[r[k : k + length]] > 1:
+            s = r[k : k + length]
+            if seen[s] > 1:
                 gone[k : k + length] = b"\1" * length
+            if s in met:
+                late[k : k + length] = b"\1" * length
+            met.add(s)
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        out.append((len(r), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(r, gone, strict=True) if not g)).hexdigest()))
+        out.append((len(r), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(r, gone, strict=True) if not g)).hexdigest(), sum(late)))
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 2000), (2, 2)])
-def test_suffix_dedup(spark, seed, hot):
+@pytest.mark.parametrize(("seed", "group_bytes"), [(1, 1_000_000), (2, 500), (3, 0)])
+def test_suffix_dedup(spark, seed, group_bytes):
+    """group_bytes of 0: every group with several kinds is split down to single strings."""
     rng = random.Random(seed)
     passages = [prose(rng, 30, 1000) for _ in range(4)]
     texts = []
@@ -358,24 +364,62 @@ def test_suffix_dedup(spark, seed, hot):
         parts = [rng.choice(passages)[rng.randrange(30) :] if rng.random() < 0.4 else prose(rng, rng.randrange(1, 25), 1000) for _ in range(rng.randrange(1, 5))]
         texts.append("é ".join(parts))
     texts += [*[t for t in ODD if not t or len(t) < 1000], "ab" * 300, "q" * 500]
-    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts), length=60, gram=12, hot=hot).collect()}
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts), length=60, gram=12, group_bytes=group_bytes, classes=(12, 5, 1)).collect()}
     for i, want in enumerate(plain_removal(texts, 60)):
         r = got[i]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want, i
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_later) == want, i
     assert suffix_dedup.suffix_dedup(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_keeps_the_first_place(spark):
+    rng = random.Random(4)
+    common = prose(rng, 30, 1000)
+    texts = [f"{prose(rng, 9, 1000)} {common}", f"{common} {prose(rng, 9, 1000)}", prose(rng, 40, 1000)]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts), length=60, gram=12, keep_first=True, with_text=True).collect()}
+    assert bytes(got[0].kept).decode() == texts[0] and got[0].n_removed == got[0].n_later == 0
+    assert bytes(got[1].kept).decode() == texts[1][got[1].n_removed :] and got[1].n_removed >= len(common)
+    assert bytes(got[2].kept).decode() == texts[2]
+
+
+def test_suffix_dedup_with_keys_that_repeat(spark):
+    """Rows of one key with different texts are texts of their own; rows equal in both are two places; a null key is left alone."""
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 30, 1000) for _ in range(3))
+    df = spark.createDataFrame([(1, a), (1, f"{b} {a[:80]}"), (2, c), (2, c), (None, a), (3, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(df, length=60, gram=12).collect())
+    assert got == sorted([(1, len(a), 80), (1, len(b) + 81, 80), (2, len(c), len(c)), (2, len(c), len(c)), (0, len(a), 0), (3, 0, 0)])
+
+
+SMALL = st.lists(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=5)
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(max_size=60).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=5), st.integers(9, 20))
-def test_repeats(spans, length):
+@given(SMALL, st.integers(9, 30))
+def test_factors(spans, length):
     seen = Counter(s[k : k + length] for s in spans for k in range(len(s) - length + 1))
-    first = set()
-    for s, both, later in zip(spans, suffix_dedup.repeats(spans, length), suffix_dedup.repeats(spans, length, keep_first=True), strict=True):
+    left, met = Counter(seen), set()
+    for s, earlier, later in zip(spans, *suffix_dedup.factors(spans, length), strict=True):
         strings = [s[k : k + length] for k in range(len(s) - length + 1)]
-        assert both.tolist() == [seen[x] > 1 for x in strings]
-        for x, m in zip(strings, later.tolist(), strict=True):
-            assert m == (x in first)
-            first.add(x)
+        for x, e, m in zip(strings, earlier.tolist(), later.tolist(), strict=True):
+            left[x] -= 1
+            assert (e, m) == (x in met, left[x] > 0)
+            met.add(x)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=80).map(lambda b: bytes(x % 3 for x in b)), st.integers(9, 40))
+def test_longest_previous_factors(text, depth):
+    def alike(i, j):
+        return next((k for k in range(depth) if max(i, j) + k >= len(text) or text[i + k] != text[j + k]), depth)
+
+    buf = np.frombuffer(text, np.uint8)
+    places = np.arange(max(0, len(text) - depth))  # those with whole strings behind them
+    suffixes = suffix_dedup.Suffixes(buf, depth)
+    order = suffixes.order(places)
+    common = np.concatenate([[0], suffixes.common(order[:-1], order[1:])]) if len(order) else np.zeros(0, int)
+    found = dict(zip(order.tolist(), suffix_dedup.previous_factors(order, common).tolist(), strict=True))
+    for i in places.tolist():
+        assert found[i] == max((alike(i, j) for j in range(i)), default=0)
 
 
 # ------------------------------------------------------------------ language, toxicity
