@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrove.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, ngram_join, suffix_dedup, toxicity
+from sourcegrove.llm import bpe, chat_format, decontaminate, exact_dedup, html_extract, language_id, license_scan, ngram_join, stage, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    stage.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

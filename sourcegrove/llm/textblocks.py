@@ -15,23 +15,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _rng = np.random.default_rng(20240607)
-_LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SHINGLE = 0xD6E8FEB86659FD93
-_powers: dict[int, np.ndarray] = {}
+#: Of white space zero, so that it adds nothing to the word before it.
+_LETTER = np.where(SPACE, np.uint64(0), _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept and doubled as needed."""
-    table = _powers.get(base)
-    if table is None or len(table) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
-        table = np.full(size, base, np.uint64)
-        table[0] = 1
-        np.multiply.accumulate(table, out=table)
-        _powers[base] = table
-    return table[:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    table = np.full(n, base, np.uint64)
+    table[:1] = 1
+    return np.multiply.accumulate(table)
+
+
+_BASE, _SHINGLE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: For words of usual lengths; longer ones get tables of their own, which are not kept.
+_SHORT = _powers(_BASE, 256)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -44,7 +41,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def byte_blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def byte_blocks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about `most` bytes; a longer text is a block of its own. Null: empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -80,10 +77,16 @@ def word_bounds(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE)
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words after lower-casing A-Z, and each row's first word number (rows + 1 entries)."""
     starts, ends = word_bounds(buf, offsets)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_LETTER[LOWER[buf]] * _power_table(_BASE, len(buf)), out=total[1:])
-    hashes = (total[ends] - total[starts]) * _power_table(_INVERSE, len(buf) + 1)[starts]
-    return mixed(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.searchsorted(starts, offsets)
+    sizes = ends - starts
+    longest = int(sizes.max())
+    factors = _SHORT if longest <= len(_SHORT) else _powers(_BASE, longest)
+    place = np.arange(starts[0], len(buf)) - np.repeat(starts, np.diff(np.append(starts, len(buf))))
+    values = _LETTER[LOWER[buf[starts[0] :]]]
+    values *= factors[np.minimum(place, longest - 1)]
+    hashes = np.add.reduceat(values, starts - starts[0])
+    return mixed(hashes + sizes.astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
@@ -94,7 +97,7 @@ def shingle_sets(column: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray
     for first, buf, offsets in byte_blocks(column):
         hashes, bounds = word_hashes(buf, offsets)
         sums = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
-        factors = _power_table(_SHINGLE, k)
+        factors = _powers(_SHINGLE, k)
         for t in range(k):
             sums += hashes[t : len(hashes) - k + 1 + t] * factors[t] if len(sums) else sums
         sums = mixed(sums)
