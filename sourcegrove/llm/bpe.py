@@ -1,9 +1,10 @@
 """Byte-pair encoding in linear time by backtracking, and decoding by an offset table.
 
-The encoder keeps the longest vocabulary match at each position (an Aho-Corasick automaton over the vocabulary gives it)
-and accepts a token only if the pair with the token before it is one that the merge procedure would leave standing; when no
+One Aho-Corasick scan of a word from its end, over the tokens read backwards, gives the longest token that starts at each position.
+The encoder takes it if the pair with the token before it is one that the merge procedure would leave standing; when no
 shorter token fits, it takes the previous one back. A pair is compatible unless undoing both tokens' merges finds
-a merge across their border that would have come first. This gives the exact result of the merge list.
+a merge across their border that would have come first; what is found is kept in a table of pairs. This gives the exact result of
+the merge list. What a worker remembers is bounded: some ten megabytes for words, fewer for pairs, and dropped after each partition.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTROL = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile("[" + _WS + "]+")
 _END = 0x1000  # added to a word's last symbol: "byte at the end of a word"
-#: Words whose tokens are remembered in a worker; beyond it the memory is emptied.
-REMEMBERED = 1_500_000
+#: Words and pairs that a worker remembers in each of two generations: where the younger is full, it takes the older one's place.
+WORDS, PAIRS = 30_000, 50_000
 
 
 def byte_letters() -> list[str]:
@@ -101,31 +102,39 @@ class Vocabulary:
         by_text = {t: r for r, t in reversed(list(enumerate(texts)))}
         #: The longest proper prefix that is a token, or -1.
         self.shorter = [next((by_text[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in by_text), -1) for t in texts]
+        #: Over the tokens read backwards: a scan from a word's end meets at each position the tokens that start there, the longest first.
         self.automaton = ahocorasick.Automaton()
         for t, r in by_text.items():
-            self.automaton.add_word(t, r)
+            self.automaton.add_word(t[::-1], r)
         self.automaton.make_automaton()
-        self.by_text = by_text
-        self.most = max(self.length)
-        self.byte_letter = byte_letters()
         # The offset table: token i's text and a space is blob[offset[i]:offset[i + 1]].
         parts = [t.encode() + b" " for t in names]
         self.offset = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
-        self._valid: dict[tuple[int, int], bool] = {}
-        self._words: dict[str, bytes] = {}
+        self.forget()
         letters, numbers = _ranges("L"), _ranges("N")
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WS}{letters}{numbers}]+")
         assert all(t.startswith("<|") for t in self.specials), "special tokens are expected to start with <|"
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
 
+    def forget(self) -> None:
+        """Drops what is remembered of words and pairs."""
+        self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._pairs: dict[int, bool] = {}
+        self._older_pairs: dict[int, bool] = {}
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging leaves `left` and `right` side by side."""
-        known = self._valid.get((left, right))
+        """Whether merging leaves `left` and `right` side by side, from the table of pairs."""
+        pair = left << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
-            if len(self._valid) > 2_000_000:
-                self._valid.clear()
-            known = self._valid[left, right] = self._compatible(left, right)
+            known = self._older_pairs.get(pair)
+            if known is None:
+                known = self._compatible(left, right)
+            if len(self._pairs) >= PAIRS:
+                self._older_pairs, self._pairs = self._pairs, {}
+            self._pairs[pair] = known
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -155,9 +164,13 @@ class Vocabulary:
     def encode_symbols(self, word: str) -> list[int]:
         """Ranks of one word given over the alphabet of 512."""
         n = len(word)
+        longest = [-1] * n
+        for end, token in self.automaton.iter(word[::-1]):
+            if longest[n - 1 - end] < 0:  # at one end the longest comes first
+                longest[n - 1 - end] = token
         usable = bytearray([1]) * (n + 1)
         out: list[int] = []
-        at, token = 0, self._match(word, 0)
+        at, token = 0, longest[0]
         length, shorter = self.length, self.shorter
         while True:
             end = at + length[token]
@@ -166,7 +179,7 @@ class Vocabulary:
                 at = end
                 if at == n:
                     return out
-                token = self._match(word, at)
+                token = longest[at]
                 continue
             token = shorter[token]
             if token < 0:
@@ -175,15 +188,6 @@ class Vocabulary:
                 at -= length[token]
                 # the border behind this token is closed now, so a shorter one is tried
 
-    def _match(self, word: str, at: int) -> int:
-        """The longest token that starts at a position: the automaton's deepest state there, back to one that ends a token."""
-        part = word[at : at + self.most]
-        k = self.automaton.longest_prefix(part)
-        by_text = self.by_text
-        while (token := by_text.get(part[:k], -1)) < 0:
-            k -= 1
-        return token
-
     def word(self, piece: str) -> bytes:
         """One piece's ids as little-endian bytes."""
         raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
@@ -193,11 +197,12 @@ class Vocabulary:
 
     def run(self, token: str) -> bytes:
         """The ids of a run without white space; a piece never crosses white space."""
-        known = self._words.get
-        found = b"".join([known(p) or self.word(p) for p in self.pattern.findall(token)])
+        found = self._older.get(token)
+        if found is None:
+            found = b"".join([self.word(p) for p in self.pattern.findall(token)])
         if len(token) <= 48:
-            if len(self._words) >= REMEMBERED:
-                self._words.clear()
+            if len(self._words) >= WORDS:
+                self._older, self._words = self._words, {}
             self._words[token] = found
         return found
 
@@ -209,11 +214,8 @@ class Vocabulary:
                 text = text.translate(SMALL)
         text = text.lower()
         tokens = text.split() if not _CONTROL.search(text) else [t for t in _SPLIT.split(text) if t]
-        found = list(map(self._words.get, tokens))
-        if None in found:
-            run = self.run
-            found = [run(t) if f is None else f for t, f in zip(tokens, found, strict=True)]
-        return b"".join(found)
+        run = self.run
+        return b"".join([self._words.get(t) or run(t) for t in tokens])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as the file's library gives them without special tokens added; those in the text are found before it is normalised."""
@@ -272,5 +274,6 @@ def bpe_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 cols += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        v.forget()
 
     return rows.mapInArrow(encoded, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}").withColumnRenamed("k", key)
