@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from sourcegrove.llm.textblocks import byte_blocks
 
-#: About so many rows of each language are learned from (a share of them by a hash of the key), and so many languages, the largest.
-ROWS_PER_LANGUAGE, MOST_LANGUAGES = 500, 256
+#: About so many rows of each language are learned from (a share of them by a hash of the key), and of all languages; each has one at least.
+ROWS_PER_LANGUAGE, SAMPLE_ROWS = 500, 8_000
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 12
 #: Two codewords nearer to each other in loss than this are ambiguous.
@@ -46,13 +46,18 @@ def grams(buf: np.ndarray) -> np.ndarray:
 
 
 def codewords(k: int) -> np.ndarray:
-    """k codewords of +1 and -1: all splits for up to five classes, else rows as far apart as random search finds."""
+    """k codewords of +1 and -1: all splits for up to five classes, else rows as far apart as random search finds; of very many, each
+    begins with its number."""
     if k <= 1:
         return np.ones((k, 1))
     if k <= 5:
         bits = (1 << (k - 1)) - 1
         return np.array([[1.0 if i == 0 or (b + 1) >> (k - 1 - i) & 1 == 0 else -1.0 for b in range(bits)] for i in range(k)])
-    bits, rng = 4 * int(np.ceil(np.log2(k))) + 7, np.random.default_rng(7)
+    short = int(np.ceil(np.log2(k)))
+    bits, rng = 4 * short + 7, np.random.default_rng(7)
+    if k > 256:
+        number = (np.arange(k)[:, None] >> np.arange(short)) & 1
+        return np.concatenate([2.0 * number - 1, rng.choice([-1.0, 1.0], (k, bits - short))], 1)
     tries = [rng.choice([-1.0, 1.0], (k, bits)) for _ in range(200)]
     return max(tries, key=lambda c: (c.sum(0).__abs__() < k).all() * (np.abs(c[:, None] - c[None]).sum(2) / 2 + np.eye(k) * bits).min())
 
@@ -101,13 +106,16 @@ SCALE = 50.0
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Coder | None:
-    """A coder from rows with text and language; None if there are none. Bounded by rows_per_language and MOST_LANGUAGES; each language's rows
-    spread around rows_per_language as hashes do."""
+    """A coder from rows with text and language; None if there are none. Every language is learned, whatever their number; the sample is bounded
+    by rows_per_language and SAMPLE_ROWS (with more languages than that, by a row each). Each language's rows spread around its share
+    as hashes do, and the row with the smallest hash is always one of them."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y")).filter("t is not null and y is not null")
-    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(MOST_LANGUAGES).collect()
-    # Of a language with n rows, those whose hash is in the first rows_per_language / n of all hashes: no ranking, so no hot language.
-    shares = docs.sparkSession.createDataFrame([(r.y, min(1 << 31, (rows_per_language << 31) // r.n)) for r in sizes], "y string, share long")
-    sample = rows.join(F.broadcast(shares), "y").filter(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < F.col("share"))
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("k"), F.lit(1 << 31)))
+    sizes = hashed.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("low")).collect()  # a row for each language
+    each = max(1, min(rows_per_language, SAMPLE_ROWS // max(1, len(sizes))))
+    # Of a language with n rows, those whose hash is in the first each / n of all hashes: no ranking, so no hot language.
+    shares = docs.sparkSession.createDataFrame([(r.y, max(r.low + 1, min(1 << 31, (each << 31) // r.n))) for r in sizes], "y string, share long")
+    sample = hashed.join(F.broadcast(shares), "y").filter(F.col("h") < F.col("share"))  # broadcast: a row for each language
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,24 +131,31 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     if not got:
         return None
     languages = sorted({r.y for r in got})
-    which = np.array([languages.index(r.y) for r in got])
-    x = np.empty((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        x[i] = np.frombuffer(r.x, np.float16)
-    x *= SCALE
+    number = {y: i for i, y in enumerate(languages)}
+    which = np.array([number[r.y] for r in got])
+    raw = [r.x for r in got]
     got.clear()
     codes = codewords(len(languages))
     target = codes[which].astype(np.float32)
-    # Squared-loss classifiers of all bits at once, by the kernel form of ridge regression: rows of a language weigh alike.
-    weigh = np.sqrt(1.0 / np.bincount(which)[which]).astype(np.float32)[:, None]
-    mean = (weigh[:, 0] ** 2) @ x / (weigh**2).sum()
-    centred = (x - mean) * weigh
-    mid = (target * weigh**2).sum(0) / (weigh**2).sum()
-    gram = centred.T @ centred
+    # Squared-loss classifiers of all bits at once, by ridge regression: languages weigh alike. The rows are gone through in parts.
+    weigh = (1.0 / np.bincount(which)[which]).astype(np.float32)
+    weigh /= weigh.sum()
+
+    def rows_in_parts() -> Iterator[tuple[slice, np.ndarray]]:
+        for a in range(0, len(raw), 1024):
+            at = slice(a, a + 1024)
+            yield at, np.stack([np.frombuffer(x, np.float16) for x in raw[at]]).astype(np.float32) * np.float32(SCALE)
+
+    mean, mid = sum(weigh[at] @ x for at, x in rows_in_parts()), weigh @ target
+    gram, side = np.zeros((BUCKETS, BUCKETS), np.float32), np.zeros((BUCKETS, codes.shape[1]), np.float32)
+    for at, x in rows_in_parts():
+        x -= mean
+        gram += x.T @ (x * weigh[at, None])
+        side += x.T @ ((target[at] - mid) * weigh[at, None])
     gram[np.diag_indices(BUCKETS)] += 1e-3 * np.trace(gram) / len(languages) + 1e-9
-    weights = np.linalg.solve(gram, centred.T @ ((target - mid) * weigh)).astype(np.float64)
+    weights = np.linalg.solve(gram, side).astype(np.float64)
     bias = mid - mean @ weights
-    right = ((x @ weights + bias) * target > 0).mean(0)
+    right = sum(((x @ weights + bias) * target[at] > 0).sum(0) for at, x in rows_in_parts()) / len(raw)
     importance = np.maximum(right - 0.5, 0.01)
     return Coder(languages, codes, weights, bias, importance / importance.sum() * len(importance))
 
