@@ -29,8 +29,6 @@ SAMPLE_ROWS = 12_000
 SUPPORT, LEAST_WEIGHT = 6, 2.5
 #: Lengths of word beginnings; whole words of up to the largest count too.
 LENGTHS = range(3, 13)
-#: At most so many candidates reach the driver.
-CANDIDATES = 20_000
 THRESHOLD = 0.3
 #: Odd factors whose smallest products with a row's shingles sign the row: near copies share one of three.
 _SIGNS = tuple(np.uint64(x) for x in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
@@ -163,8 +161,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def counts(df: DataFrame, only: set[str] | None, least: int) -> dict[str, int]:
         got = df.select("t").mapInArrow(lambda it: counted(it, only), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-        got = got.filter((F.col("n") >= least) | (F.col("w") == "")).orderBy(F.desc(F.col("w") == ""), F.desc("n"), "w").limit(CANDIDATES)
-        return {r.w: r.n for r in got.collect()}
+        got = got.filter((F.col("n") >= least) | (F.col("w") == ""))
+        return {r.w: r.n for r in got.collect()}  # bounded by the sample: beginnings of its words with support
 
     bad = counts(once.filter("y = 1"), None, SUPPORT)
     good = counts(once.filter("y = 0"), set(bad), 1)
@@ -226,13 +224,14 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str =
 
 
 def clean_rows(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below threshold; all columns stay, and nothing is shuffled."""
+    """The rows of docs that score below threshold; all columns stay, and nothing is shuffled. Only the texts go to Python, and one boolean
+    each comes back. Null and empty texts score as texts without hits; repeated rows and null keys each have their own verdict;
+    other columns, whatever their names, are not looked at; an empty table gives an empty result."""
     packed = json.dumps(lexicon.__getstate__())
-    at = docs.columns.index(text)
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Lexicon(**{k: tuple(v) if k == "exceptions" else v for k, v in json.loads(packed).items()})
-        for batch in batches:
-            yield batch.filter(pa.array([own.score(own.feature(t.as_py() or "")[0]) < threshold for t in batch.column(at)], pa.bool_()))
+        for texts in parts:
+            yield pa.array([own.score(own.feature(t.as_py() or "")[0]) < threshold for t in texts], pa.bool_())
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.filter(stage.verdict(clean)(F.col(text).cast("string")))
