@@ -212,3 +212,95 @@ GUARD_REASONS = {
 }
 GUARD_FALLBACK_SYSTEM = "Kaynak metne göre ilgili sistem %s olarak belirtilir."
 GUARD_FALLBACK = "Kaynaklar bulundu ancak doğrudan ve güvenilir bir cevap oluşturulamadı."
+
+# Words of a text, words joined by a slash, and words that say nothing about a question's subject.
+WORD = r"[A-Za-z0-9ÇĞİÖŞÜçğıöşü][A-Za-z0-9ÇĞİÖŞÜçğıöşü.+/_\-]*"
+SLASHED = r"([A-Za-z0-9]+)/([A-Za-z0-9]+)"
+STOP_WORDS = ["acaba", "ama", "bir", "bu", "da", "de", "den", "dan", "hangi", "için", "ile", "mi", "mı", "mu", "mü", "nasıl", "ne", "nedir", "neden", "olarak", "ve", "veya", "a", "an", "and", "are", "as", "at", "be", "between", "by", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "used", "using", "what", "which", "with"]
+
+# Words of a sentence that speak for an answer type, and their points.
+SENTENCE_CUES = {
+    "SİSTEM": ([" system", " subsystem"], 2.5), "PROSEDÜR": (["procedure"], 2.5), "MESAJ": (["request", "response", "message", "command", "notification", "indication", "accept", "complete"], 2.0),
+    "ARAYÜZ / REFERANS NOKTASI": (["reference point", "interface"], 2.5), "PROTOKOL": (["protocol", "transport"], 2.5), "NETWORK FUNCTION": (["function", "registration management", "responsible for"], 2.5),
+}
+VALUE_CUE = 3.0
+# Acronyms, those that name no end of a reference point in a question, and names of the radio network.
+ACRONYM = r"\b[A-Z][A-Z0-9\-]{1,10}\b"
+WHOLE_ACRONYM = r"^[A-Z][A-Z0-9/\-]{1,12}$"
+NO_QUESTION_ENDS = ["5G", "5GS", "4G", "LTE", "EPC", "ILE", "VE", "VEYA", "ARASINDA", "ARASINDAKI", "HANGISIDIR", "NEDIR"]
+RADIO_ENDS = ["(R)AN", "RAN", "NG-RAN", "GNB", "G-NODE-B", "GNODEB", "ENB"]
+# Sentences that tell a reference point's ends: (pattern, group of the label, groups of the ends).
+POINT_RELATIONS = [
+    (r"(?i)\b([A-Za-z]{1,5}\d+[A-Za-z]?)\s*:\s*Reference\s+point\s+between\s+(?:the\s+)?(\(R\)AN|NG-RAN|RAN|gNB|[A-Z][A-Z0-9\-]{1,12})\s+and\s+(?:the\s+)?(\(R\)AN|NG-RAN|RAN|gNB|[A-Z][A-Z0-9\-]{1,12})\b", 1, (2, 3)),
+    (r"(?i)\bReference\s+point\s+between\s+(?:the\s+)?(\(R\)AN|NG-RAN|RAN|gNB|[A-Z][A-Z0-9\-]{1,12})\s+and\s+(?:the\s+)?(\(R\)AN|NG-RAN|RAN|gNB|[A-Z][A-Z0-9\-]{1,12})\s*[:\-]\s*([A-Za-z]{1,5}\d+[A-Za-z]?)\b", 3, (1, 2)),
+]
+POINT_LABEL = r"^[A-Za-z]{1,5}\d+[A-Za-z]?$"
+BOTH_ENDS, ONE_END, SURE_RELATION = 24.0, 4.0, 20.0
+# Fixed values of network functions: acronyms that are none, words of a question that are no anchors, phrases of duties, long forms that speak against.
+NO_FUNCTIONS = ["UE", "NF", "5G", "5GS", "RAN", "NG-RAN", "PLMN", "PDU", "NAS", "TS", "TR", "RFC", "IE", "IP"]
+NO_ANCHORS = ["5g", "5gs", "network", "function", "nf", "hangi", "işlemlerini", "işlem", "işlemleri", "yürütür", "yürütmektedir", "gerçekleştirir", "responsible", "functionality"]
+DUTIES = ["responsible for", "is responsible", "performs", "shall perform", "handles", "shall handle", "provides", "shall provide", "management function", "registration management", "ip address allocation"]
+NO_FUNCTION_FORMS = ["service", "protocol", "message", "procedure", "request", "response", "interface", "session", "information element"]
+ROLE, EACH_ANCHOR, DUTY, NEAR, NEAR_CHARS, SURE_DUTY = 12.0, 5.0, 5.0, 6.0, 180, 10.0
+# What a question and a message must say for the message's direction to count.
+SENDING, SENT, ANSWERED, DIRECTION = ["başlat", "istek", "gönder", "talep", "establish", "initiate"], ["request"], ["accept", "reject", "response", "complete"], 8.0
+# Points of a candidate: place of its source, title, shape of its label, echo of the question, context, repeats.
+CONTEXT_CHARS, EACH_CONTEXT_WORD, MOST_CONTEXT_WORDS = 180, 2.0, 5
+SHAPES = {"ARAYÜZ / REFERANS NOKTASI": (POINT_LABEL, 6.0), "PROTOKOL": (WHOLE_ACRONYM, 6.0), "NETWORK FUNCTION": (WHOLE_ACRONYM, 5.0)}
+PROTOCOL_ECHO, FUNCTION_ECHO = 9.0, 7.0
+REPEATED, DOCUMENT_REPEATED = 0.75, 0.5
+# Answer types whose confidence needs strong evidence, and the limits of confidence.
+RISKY_TYPES = ["ARAYÜZ / REFERANS NOKTASI", "PROTOKOL", "NETWORK FUNCTION", "DEĞER / LİMİT", "STANDART / DOKÜMAN", "MESAJ"]
+SURE_SCORE, SURE_MARGIN, MEDIUM_SCORE, TIE, TIE_OCCURRENCES, MOST_CANDIDATES = 7.0, 1.0, 4.0, 0.001, 2, 5
+
+# Fixed values of document candidates: words of a question that are no subject, patterns, points.
+NO_SUBJECT = ["rfc", "standart", "standard", "doküman", "document", "specification", "protocol", "protokol", "hangi", "tanımlanır", "tanımlanan", "defined", "3gpp", "ietf", "ts", "tr"]
+NO_DIRECT_SUBJECT = ["rfc", "standart", "standard", "doküman", "document", "specification", "protocol", "protokol", "transport", "tanımlanır", "tanımlanan", "hangi", "ietf"]
+EXTENDS = r"(?i)\b(?:subprotocol|extension|upgrade\s+over|bootstrapping|sip\s+uri)\b"
+SELF_DEFINITION = r"(?i)\b(?:this document|the present document)\s+(?:defines|specifies|describes)\b"
+DEFINED_IN = r"(?i)\b(?:defined|specified|described)\s+(?:in|by)\b"
+OWN_NUMBERS = [(["http/3", "http3"], "9114", 35.0), (["quic"], "9000", 35.0)]
+RFC_TITLE = r'(?i)["“]([^"”]{4,200})["”]\s*,?\s*RFC\s*0*(\d+)'
+SPEC_TITLE = r'(?i)\b(?:3GPP\s+)?(TS|TR)\s*(\d+(?:\.\d+)+)\s*:\s*["“]([^"”]{4,220})["”]'
+REFERENCE_SECTION = r"(?i)^\s*(?:Normative\s+|Informative\s+)?References\b"
+IDENTIFIER_CHARS = 220
+RELATION_POINTS, TITLE_POINTS, CORE_TITLE_POINTS, IDENTIFIER_POINTS, RELATION_BONUS = 16.0, 26.0, 40.0, 6.0, 8.0
+CORE_TITLE, CORE_NUMBER = "system architecture", "23.501"
+# Words that a document search leaves out.
+NO_DOCUMENT_SEARCH = ["this", "the", "document", "defines", "specifies", "protocol", "overview"]
+DOCUMENT_HITS, FALLBACK_HITS, FALLBACK_MOST = 15, 20, 20
+
+# An expansion in parentheses behind a name, and the prompt that asks for a better reply.
+EXPANSION = r"\b([A-Z][A-Za-z0-9/.-]{1,})\s*\(([^)]+)\)"
+REPAIR_NO_TERMS = "Yok"
+REPAIR_PROMPT = """KULLANICI SORUSU:
+%s
+
+BEKLENEN CEVAP TÜRÜ:
+%s
+
+ÖNCEKİ CEVAP:
+%s
+
+ÖNCEKİ CEVAPTA TESPİT EDİLEN HATA:
+%s
+
+KAYNAKTA TESPİT EDİLEN İLGİLİ TEKNİK TERİMLER:
+%s
+
+KAYNAKLAR:
+%s
+
+Önceki cevabı düzelt.
+
+Kurallar:
+- Yalnızca kaynakları kullan.
+- Beklenen cevap türünü değiştirme.
+- İlk cümlede doğrudan cevabı ver.
+- Standart/doküman kodunu sistem, prosedür, mesaj, protokol veya arayüz yerine koyma.
+- Kaynakta System olarak geçen bir varlık sistem sorusunun cevabıysa onu teknik anlamını bozmadan kullan.
+- Kullanıcının sormadığı ayrıntıları ekleme.
+- Beklenen cevap türü SİSTEM ise ve yukarıda "KAYNAKTA TESPİT EDİLEN İLGİLİ TEKNİK TERİMLER" listesinde System olarak tanımlanan bir varlık varsa, sistem cevabını bu kaynak terimine göre oluştur.
+- Doğal Türkçe cümle kullan."""
+# Sites of standards bodies, to which a web search is bound.
+STANDARDS_SITES = ["3gpp.org", "etsi.org", "ietf.org", "itu.int", "gsma.com", "atis.org"]

@@ -57,3 +57,8 @@ def unique_folded(x: Column) -> Column:
 def sha_key(*parts: Column) -> Column:
     """sha256 over the trimmed parts joined by a bar; null as empty."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.trim(p), F.lit("")) for p in parts]), 256)
+
+
+def literal(x: Column) -> Column:
+    """A pattern that matches a text as it is."""
+    return F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))

@@ -10,20 +10,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sourcegrove.functions.text import folded
+from sourcegrove.functions import rules
+from sourcegrove.functions.text import contains_any, folded
 
 #: Questions that are searched in one pass over the sentences.
 QUESTION_BLOCK = 256
 
-# Words that say nothing about a question's subject.
-STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to which with what when where who how ve veya ile bir bu hangi nedir ne mi mı da de için olarak olan the".split()
-
 
 def words(text: Column) -> Column:
-    """Q3: distinct lowered words and parts of words with slashes, without stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\w/.-]*\w)"), F.lit(1))
-    parts = F.flatten(F.transform(found, lambda w: F.split(w, "/")))
-    return F.array_distinct(F.filter(F.concat(found, parts), lambda w: (w != "") & ~w.isin(STOP_WORDS)))
+    """Q3: distinct lowered words, and of words with slashes the parts and pairs, without stop words."""
+    t = F.coalesce(text, F.lit(""))
+    found = F.concat(F.regexp_extract_all(t, F.lit(f"({rules.WORD})"), F.lit(1)), *[F.regexp_extract_all(t, F.lit(rules.SLASHED), F.lit(g)) for g in (1, 2, 0)])
+    return F.array_distinct(F.filter(F.transform(found, lambda w: F.lower(w)), lambda w: ~w.isin(rules.STOP_WORDS)))
 
 
 def sentences(text: Column) -> Column:
@@ -41,6 +39,15 @@ def sentence_score(common: Column, index: Column, cue: Column) -> Column:
     return 1.5 * F.least(common, F.lit(6)) + F.greatest(F.lit(0.0), 2.5 - 0.5 * index) + cue
 
 
+def cue(kind: Column, sentence: Column) -> Column:
+    """Q5: the points of a sentence that speaks of what the question's type asks for."""
+    low, value = F.lower(sentence), "DEĞER / LİMİT"
+    out = F.when(kind == value, F.when(sentence.rlike(rules.CANDIDATE_PATTERNS[value][0]), rules.VALUE_CUE).otherwise(0.0))
+    for name, (parts, n) in rules.SENTENCE_CUES.items():
+        out = out.when(kind == name, F.when(contains_any(low, parts), n).otherwise(0.0))
+    return out.otherwise(0.0)
+
+
 def supporting_facts(scored: DataFrame, question: str = "question", sentence: str = "sentence", score: str = "score", seq: str = "seq", most: int = 3) -> DataFrame:
     """Per question the `most` best different sentences (spaces and case apart), each with its best score."""
     key = F.sha2(folded(F.col(sentence)), 256)
@@ -138,26 +145,33 @@ def document_scores(sentences: DataFrame, questions: DataFrame) -> DataFrame:
     return out.select("question", "doc_id", "n", "common", F.round(sentence_score(F.col("most"), F.lit(0), F.lit(0.0)), 6).alias("best"))
 
 
-def folded_scores(candidates: DataFrame, question: str = "question", value: str = "candidate", seq: str = "seq", score: str = "score", strong: str = "strong", again: float = 0.75) -> DataFrame:
-    """Candidates folded in order of seq: the first score, then each time the larger of old and new plus `again`; strong if any is.
+def folded_scores(candidates: DataFrame, question: str = "question", value: str = "candidate", seq: str = "seq", score: str = "score", strong: str = "strong", again: float = rules.REPEATED) -> DataFrame:
+    """Candidates (spaces and case apart) folded in order of seq: the first score, then each time the larger of old and new plus
+    `again`; strong if any is; named as at the first place.
 
     The fold depends on order, so it runs over the candidate's own sorted list of mentions in the question's sources.
     """
-    listed = candidates.groupBy(question, value).agg(F.array_sort(F.collect_list(F.struct(seq, score, strong))).alias("m"))
+    listed = candidates.groupBy(question, folded(F.col(value)).alias("__k")).agg(F.array_sort(F.collect_list(F.struct(seq, score, strong, value))).alias("m"))
     zero = F.lit(None).cast("double")
     total = F.aggregate("m", zero, lambda acc, x: F.when(acc.isNull(), x[score].cast("double")).otherwise(F.greatest(acc, x[score]) + again))
-    out = listed.select(question, value, F.round(total, 4).alias("score"), F.size("m").alias("occurrences"), F.exists("m", lambda x: x[strong]).alias("strong"), F.col("m")[0][seq].alias("seq"))
+    out = listed.select(question, F.col("m")[0][value].alias(value), F.round(total, 4).alias("score"), F.size("m").alias("occurrences"), F.exists("m", lambda x: x[strong]).alias("strong"), F.col("m")[0][seq].alias("seq"))
     order = Window.partitionBy(question).orderBy(F.desc("score"), F.desc("occurrences"), "seq", value)
     return out.withColumn("rank", F.row_number().over(order))
 
 
-def confidence(ranked: DataFrame, question: str = "question") -> DataFrame:
-    """High if the best has 7 or more, leads by 1 and is strong; medium from 4 if strong; else low."""
-    top = F.max(F.when(F.col("rank") == 1, F.struct("score", "strong", F.col("candidate").alias("candidate"))))
-    got = ranked.groupBy(question).agg(top.alias("t"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    margin = F.col("t.score") - F.coalesce("second", F.lit(0.0))
-    level = F.when((F.col("t.score") >= 7) & (margin >= 1) & F.col("t.strong"), "high").when((F.col("t.score") >= 4) & F.col("t.strong"), "medium").otherwise("low")
-    return got.select(question, F.col("t.candidate").alias("primary_answer"), level.alias("confidence"), F.round(margin, 4).alias("margin"))
+def confidence(ranked: DataFrame, question: str = "question", kind: str = "answer_type") -> DataFrame:
+    """Per question primary_answer, confidence and margin of ranked candidates (rank, candidate, score, occurrences, strong, kind).
+
+    High: 7 or more and ahead by 1 (documents that tie: by two more occurrences); medium: 4 or more. Types at risk need strong evidence
+    for either. Low: no answer.
+    """
+    first, second = (F.max(F.when(F.col("rank") == n, F.struct("score", "strong", "candidate", "occurrences", kind))) for n in (1, 2))
+    got = ranked.groupBy(question).agg(first.alias("t"), second.alias("s"))
+    margin = F.col("t.score") - F.coalesce("s.score", F.lit(0.0))
+    tie = (F.col(f"t.{kind}") == "STANDART / DOKÜMAN") & (F.abs(margin) < rules.TIE) & (F.col("t.occurrences") >= F.coalesce("s.occurrences", F.lit(0)) + rules.TIE_OCCURRENCES)
+    sure = ~F.col(f"t.{kind}").isin(rules.RISKY_TYPES) | F.col("t.strong")
+    level = F.when((F.col("t.score") >= rules.SURE_SCORE) & ((margin >= rules.SURE_MARGIN) | tie) & sure, "high").when((F.col("t.score") >= rules.MEDIUM_SCORE) & sure, "medium").otherwise("low")
+    return got.select(question, F.when(level == "low", "").otherwise(F.col("t.candidate")).alias("primary_answer"), level.alias("confidence"), F.round(margin, 4).alias("margin"))
 
 
 def evaluated(cases: DataFrame) -> DataFrame:
@@ -183,6 +197,23 @@ def evaluated(cases: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.col("source_ok") & F.col("facts_ok") & F.col("forbidden_ok") & F.col("abstain_ok"))
 
 
+def case_faults(cases: DataFrame) -> DataFrame:
+    """Q17: (id, faults) of evaluation cases: what is missing, blank, or an empty group of phrases; no faults for a sound case. Ids must differ."""
+    groups = {c: F.col(c) for c in ("required_fact_groups", "forbidden_claim_groups")}
+    tests = {f"{c} is blank": F.coalesce(F.trim(c), F.lit("")) == "" for c in ("id", "category", "question")}
+    tests |= {f"{c} is missing": x.isNull() for c, x in groups.items()}
+    tests |= {f"{c} has an empty group": F.exists(x, lambda g: g.isNull() | (F.size(g) == 0)) for c, x in groups.items()}
+    tests |= {f"{c} has a blank phrase": F.exists(x, lambda g: F.exists(g, lambda p: F.coalesce(F.trim(p), F.lit("")) == "")) for c, x in groups.items()}
+    tests |= {"should_abstain is missing": F.col("should_abstain").isNull(), "id repeats": F.count(F.lit(1)).over(Window.partitionBy("id")) > 1}
+    found = F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()])
+    return cases.select("id", found.alias("f")).select("id", F.array_compact("f").alias("faults"))
+
+
+def categories(cases: DataFrame) -> DataFrame:
+    """The different categories, sorted, in one row."""
+    return cases.agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
 def pass_rate(results: DataFrame) -> DataFrame:
     """A9."""
     return results.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if("passed").alias("n_passed"), F.coalesce(F.round(F.avg(F.col("passed").cast("double")), 6), F.lit(0.0)).alias("rate"))

@@ -1,5 +1,9 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from sourcegrove.functions import rules
 from sourcegrove.operators import candidates, evidence
 
 CASES = [
@@ -12,6 +16,7 @@ CASES = [
     ("GENEL TEKNİK BİLGİ", "5G System", []),
     ("MESAJ", None, []),
 ]
+HITS = "question int, rank int, q string, org string, code string, clause string, clause_title string, text string, variants array<string>, answer_type string"
 
 
 def test_extracted(spark):
@@ -22,11 +27,309 @@ def test_extracted(spark):
     assert "the protocol" not in {c.lower() for c in got[3]}
 
 
-def test_mentions_to_answer(spark):
-    rows = [(1, 1, "x uses 15 digits", "E.164 length 15 digits", "DEĞER / LİMİT", ["E.164 digits"]), (1, 2, "15 digits or 7 bits", None, "DEĞER / LİMİT", ["E.164 digits"])]
-    hits = spark.createDataFrame(rows, "question int, rank int, text string, clause_title string, answer_type string, variants array<string>")
-    ranked = evidence.folded_scores(candidates.mentions(hits)).orderBy("rank").collect()
-    assert [r.candidate for r in ranked] == ["15 digits", "7 bits"] and ranked[0].occurrences == 2 and ranked[0].strong
+# ---------------------------------------------------------------- a plain version of the rules
+
+
+def squeeze(x):
+    return re.sub(r"\s+", " ", (x or "").strip()).lower()
+
+
+def canon(x):
+    return squeeze(x).replace("de-registration", "deregistration").replace("de registration", "deregistration")
+
+
+def bag(x):
+    x = x or ""
+    found = re.findall(rules.WORD, x) + [y for a, b in re.findall(rules.SLASHED, x) for y in (a, b, f"{a}/{b}")]
+    return {w.lower() for w in found} - set(rules.STOP_WORDS)
+
+
+def split(x):
+    return [s.strip() for s in re.split(r"(?<=[.!?])\s+|\n+", x) if s.strip()]
+
+
+def has(x, parts):
+    return any(p in x for p in parts)
+
+
+def sentence_points(q, s, kind, index):
+    total = 1.5 * min(len(bag(q) & bag(s)), 6) + max(0.0, 2.5 - 0.5 * index)
+    if kind == candidates.VALUE:
+        return total + (3.0 if re.search(rules.CANDIDATE_PATTERNS[kind][0], s) else 0)
+    parts, n = rules.SENTENCE_CUES.get(kind, ([], 0))
+    return total + (n if has(s.lower(), parts) else 0)
+
+
+def spelt_role(c, text):
+    best = 0.0
+    if re.fullmatch(rules.WHOLE_ACRONYM[1:-1], c.strip()):
+        for m in re.finditer(rf"(?i)\b([A-Za-z][A-Za-z0-9/\-]*(?:\s+[A-Za-z][A-Za-z0-9/\-]*){{1,10}})\s*\(\s*{re.escape(c.strip())}\s*\)", text):
+            form = m[1].lower()
+            best = max(best, 12.0) if "function" in form else min(best, -12.0) if has(form, rules.NO_FUNCTION_FORMS) else best
+    return best
+
+
+def anchors_of(q):
+    return {w for w in bag(q) if w not in rules.NO_ANCHORS and re.fullmatch(r"[a-z0-9./\-]+", w)}
+
+
+def windows_of(text, q):
+    a, parts = anchors_of(q), split(text)
+    return [" ".join(parts[max(0, i - 1) : i + 2]) for i, s in enumerate(parts) if a and len(a & bag(s)) >= min(2, len(a))]
+
+
+def ends(x):
+    return "RAN" if x.strip().upper() in rules.RADIO_ENDS else x.strip().upper()
+
+
+def relation_points(c, kind, text, q):
+    if kind == candidates.POINT:
+        asked = {ends(e) for e in re.findall(rules.ACRONYM, q) if e.upper() not in rules.NO_QUESTION_ENDS}
+        best = 0.0
+        for pattern, label, (a, b) in rules.POINT_RELATIONS:
+            for m in re.finditer(pattern, text):
+                pair = {ends(m[a]), ends(m[b])}
+                if len(asked) >= 2 and squeeze(m[label]) == squeeze(c):
+                    best = max(best, 24.0 if pair <= asked else 4.0 if len(pair & asked) == 1 else 0.0)
+        return best
+    if kind != candidates.FUNCTION:
+        return 0.0
+    best, a, name = spelt_role(c, text), anchors_of(q), c.strip().lower()
+    topic = "|".join(map(re.escape, a))
+    for w in windows_of(text, q):
+        n = len(a & bag(w))
+        if name in w.lower() and n >= min(2, len(a)):
+            near = re.search(rf"(?is){re.escape(name)}.{{0,180}}(?:{topic})|(?:{topic}).{{0,180}}{re.escape(name)}", w)
+            best = max(best, 5.0 * n + (5.0 if has(w.lower(), rules.DUTIES) else 0) + (6.0 if near else 0))
+    return best
+
+
+def context_of(text, c):
+    m = re.search(re.escape(c), text, re.I)
+    return text[max(0, m.start() - 180) : m.end() + 180] if m else ""
+
+
+def echo_of(c, q, kind):
+    base = re.sub(r"(?i)\s+protocol$", "", c.strip()).strip()
+    return 9.0 if kind == candidates.PROTOCOL and base and base.lower() in q.lower() else 7.0 if kind == candidates.FUNCTION and squeeze(c) in squeeze(q) else 0.0
+
+
+def alignment_of(c, variants):
+    best = 0.0
+    for v in variants:
+        a, b = bag(canon(c)), bag(canon(v))
+        best = max(best, 12.0 if a and canon(v) == canon(c) else 20.0 * len(a & b) / (len(a) + len(b)) if a else 0.0)
+    return best
+
+
+def procedure_of(c, variants):
+    c, vs = canon(c), [canon(v) for v in variants]
+    n = 6.0 if c in vs else 0.0
+    if any("deregistration" in v for v in vs):
+        n += 5 if "deregistration" in c else -6 if "registration" in c else 0
+    if any("ue initiated" in v for v in vs):
+        n += 5 * ("ue initiated" in c) - 8 * ("network initiated" in c)
+    if any(has(v, ["network initiated", "network triggered"]) for v in vs):
+        n += 5 * has(c, ["network initiated", "network triggered"]) - 8 * ("ue initiated" in c)
+    return n
+
+
+def plain_mentions(hit):
+    _, rank, q, _, _, _, title, text, variants, kind = hit
+    title, whole = (title or "").strip(), "\n".join(x for x in ((title or "").strip(), (text or "").strip()) if x)
+    found = [m for p in rules.CANDIDATE_PATTERNS.get(kind, []) for m in re.findall(p, whole)]
+    if kind == candidates.FUNCTION:
+        found += [a for w in windows_of(whole, q) for a in re.findall(rules.ACRONYM, w) if a not in rules.NO_FUNCTIONS and re.fullmatch("[A-Z]{2,8}", a) and spelt_role(a, whole) >= 0]
+    out = {}
+    for c in found:
+        c = re.sub(r"\s+", " ", c.strip())
+        if squeeze(c) in out or not c or squeeze(c) in rules.GENERIC_CANDIDATES:
+            continue
+        score = max(1.0, 3 - 0.5 * (rank - 1)) + (2 if title and squeeze(c) in squeeze(title) else 0)
+        score += max([sentence_points(q, s, kind, rank - 1) for s in split(whole) if squeeze(c) in squeeze(s)], default=0.0)
+        context = context_of(whole, c)
+        score += alignment_of(c, variants) + 2.0 * min(len(bag(q) & bag(context)), 5) + relation_points(c, kind, whole, q) - echo_of(c, q, kind)
+        if kind == candidates.PROCEDURE:
+            score += procedure_of(c, variants)
+        if kind == candidates.MESSAGE and has(q.lower(), rules.SENDING):
+            score += 8 if "request" in c.lower() else -8 if has(c.lower(), rules.ANSWERED) else 0
+        if kind in rules.SHAPES and re.match(rules.SHAPES[kind][0], c.strip()):
+            score += rules.SHAPES[kind][1]
+        sure = True
+        low = context.lower()
+        if kind == candidates.POINT:
+            sure = relation_points(c, kind, whole, q) >= 20 or has(low, ["reference point", "interface"])
+        if kind == candidates.PROTOCOL:
+            sure = has(low, ["protocol", "transport"]) and not echo_of(c, q, kind)
+        if kind == candidates.FUNCTION:
+            sure = relation_points(c, kind, whole, q) >= 10 or spelt_role(c, whole) > 0
+        if kind == candidates.VALUE:
+            sure = bool(re.search(rules.CANDIDATE_PATTERNS[kind][0], c))
+        out[squeeze(c)] = (c, round(score, 6), sure)
+    return sorted(out.values())
+
+
+TEXTS = [
+    "N11: Reference point between the AMF and the SMF. N2: Reference point between the (R)AN and the AMF. The N4 interface is used.",
+    "Reference point between AMF and SMF: N11. The interface N1 carries NAS.",
+    "The Session Management Function (SMF) performs IP address allocation for the UE. The AMF is the Access and Mobility Management Function (AMF). AMF handles registration management. A Packet Data Session (PDS) is no function.",
+    "UE initiated deregistration procedure and the network initiated deregistration procedure. The registration procedure is other.",
+    "The UE sends PDU SESSION ESTABLISHMENT REQUEST. The network answers with PDU SESSION ESTABLISHMENT ACCEPT or a Registration Reject message.",
+    "NGAP runs over SCTP transport protocol. The Stream Control Transmission protocol (SCTP) is a transport. QUIC protocol too.",
+    "It has at most 15 digits. The timer is 2.5 seconds, or 30 ms.",
+    "The 5G System uses the Cell Broadcast system. EPS system.",
+]
+ASKED = [
+    (candidates.POINT, "AMF ile SMF arasındaki referans noktası hangisidir?", ["reference point between AMF and SMF"]),
+    (candidates.FUNCTION, "Which network function handles registration management and IP address allocation?", ["AMF registration management"]),
+    (candidates.PROCEDURE, "UE hangi prosedür ile ayrılır?", ["UE initiated de-registration procedure"]),
+    (candidates.MESSAGE, "UE hangi mesajı gönderir, PDU session için?", ["PDU SESSION ESTABLISHMENT REQUEST"]),
+    (candidates.PROTOCOL, "NGAP hangi protokol üzerinde, QUIC mi?", ["NGAP transport protocol SCTP"]),
+    (candidates.VALUE, "How many digits?", ["number of digits 15 digits"]),
+    ("SİSTEM", "Cell Broadcast hangi sistemde?", ["5G System"]),
+]
+
+
+def hit_rows():
+    rng, rows = random.Random(3), []
+    for i, (kind, q, variants) in enumerate(ASKED):
+        for rank in range(1, 9):
+            text = " ".join(rng.sample(TEXTS, 3)) if rank < 8 else None
+            rows.append((i, rank, q, "3GPP", "TS 23.501", "4.2", rng.choice([None, "N11 and AMF", "Registration procedure", "SCTP"]), text, [q, *variants], kind))
+    return rows
+
+
+def test_mentions_equal_the_plain_rules(spark):
+    rows = hit_rows()
+    got = {}
+    for r in candidates.mentions(spark.createDataFrame(rows, HITS)).collect():
+        got.setdefault((r.question, r.seq.rank), []).append((r.candidate, r.score, r.strong))
+    want = {(h[0], h[1]): x for h in rows if (x := plain_mentions(h))}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 20
+
+
+def test_composed(spark):
+    got = {r.question: r for r in candidates.composed(spark.createDataFrame(hit_rows(), HITS)).collect()}
+    assert set(got) == set(range(len(ASKED)))
+    assert got[0].primary_answer == "N11" and got[0].confidence == "high"
+    assert got[5].primary_answer == "15 digits" and got[3].primary_answer == "PDU SESSION ESTABLISHMENT REQUEST"
+    assert all(len(r.candidates) <= 5 and len(r.facts) == 3 for r in got.values())
+
+
+# ---------------------------------------------------------------- documents
+
+DOC_TEXTS = [
+    "This document defines HTTP/3, a mapping of HTTP semantics over QUIC. See RFC 9114 and RFC 9000.",
+    'References [1] IETF RFC 9114: "HTTP/3". "Hypertext Transfer Protocol Version 3 (HTTP/3) mapping", RFC 9114.',
+    "HTTP/3 is defined in RFC 9114; QUIC is specified by RFC 9000.",
+    "The WebSocket extension bootstrapping over HTTP/3 is described in RFC 9220. HTTP/3",
+    '3GPP TS 23.501: "System Architecture for the 5G System; Stage 2". 5G System architecture.',
+    "The present document specifies the 5G System architecture. It is specified in 3GPP TS 23.501 and TS 23.502.",
+]
+DOC_ASKED = [
+    ("HTTP/3 hangi RFC'de tanımlanır?", ["HTTP/3 RFC", "This document defines HTTP/3"]),
+    ("5G system architecture hangi 3GPP standart dokümanında tanımlanır?", ["System Architecture for the 5G System"]),
+]
+
+
+def named(x):
+    x = re.sub(r"\s+", " ", x.strip())
+    if m := re.fullmatch(r"(?i)RFC\s*(\d+)", x):
+        return f"RFC {int(m[1])}"
+    m = re.fullmatch(r"(?i)(?:3GPP\s+)?(TS|TR)\s*(\d+(?:\.\d+)+)", x)
+    return f"3GPP {m[1].upper()} {m[2]}" if m else x
+
+
+def plain_documents(hits):
+    """(name, score, occurrences, strong) of one question's documents."""
+    q, variants = hits[0][2], hits[0][8]
+    about = bag(q) - set(rules.NO_SUBJECT)
+    found: dict[str, list] = {}
+    texts = [(h[6] or "") + "\n" + (h[7] or "") for h in hits]
+    for h, t in zip(hits, texts, strict=True):
+        if not (h[4] or "").strip():
+            continue
+        low, words = re.sub(r"\s+", " ", t.lower()), bag(t)
+        near = bag(q) - set(rules.NO_DIRECT_SUBJECT)
+        direct = 0.8 * min(len(bag(q) & words), 5) - 40 * bool(re.search(rules.EXTENDS, low))
+        direct += 35 * (has(low, ["http/3", "http3"]) and "9114" in low) + 35 * ("quic" in low and "9000" in low)
+        direct += 30 * sum(bool(re.search(rules.SELF_DEFINITION + r"\s+[^.]{0,35}\b" + x.replace("/", r"[/\s]?") + r"\b", low)) for x in near)
+        direct += 10 * bool(re.search(rules.SELF_DEFINITION, low) and near & words) + 2 * bool(re.search(rules.DEFINED_IN, low) and near & words)
+        aligned = 0.0
+        for v in variants[1:]:
+            own = bag(canon(v))
+            if canon(v) in canon(t):
+                aligned = max(aligned, 15.0)
+            elif len(own) >= 2 and len(own & bag(canon(t))) >= 2:
+                aligned = max(aligned, 10.0 * len(own & bag(canon(t))) / len(own))
+        all_of_it = about <= words
+        score, sure = round(8.0 - min(h[1] - 1, 3) + direct + aligned + 10 * all_of_it, 6), direct >= 10 or aligned >= 8 or all_of_it
+        name = f"RFC {int(h[4])}" if h[3] == "IETF" else f"{h[3]} {h[4]}"
+        old = found.get(squeeze(name))
+        found[squeeze(name)] = [old[0], max(old[1], score) + 0.5, old[2] + 1, old[3] or sure] if old else [name, score, 1, sure]
+
+    def add(name, score, sure):
+        old = found.get(squeeze(name))
+        found[squeeze(name)] = [old[0], max(old[1], score), old[2] + 1, old[3] or sure] if old else [name, score, 1, sure]
+
+    for h, t in zip(hits, texts, strict=True):
+        for m in re.finditer(rules.DOCUMENT_RELATION, t):
+            add(named(m[1]), 16.0, True)
+        titled = [(f"RFC {int(m[2])}", m[1], 26.0) for m in re.finditer(rules.RFC_TITLE, t)]
+        titled += [(f"3GPP {m[1].upper()} {m[2]}", m[3], 40.0 if "system architecture" in m[3].lower() and "23.501" in m[2] else 26.0) for m in re.finditer(rules.SPEC_TITLE, t)]
+        for name, title, base in titled:
+            n = len(about & bag(title))
+            if n >= 2:
+                add(name, round(base + 2.0 * min(n, 4) + 6.0 * n / len(about), 6), True)
+        for m in re.finditer(rules.DOCUMENT_IDENTIFIER, t):
+            n = len(about & bag(t[max(0, m.start() - 220) : m.end() + 220]))
+            if n and not re.match(rules.REFERENCE_SECTION, t) and not ("reference" in (h[6] or "").lower() and n < 2):
+                add(named(m[1]), 6.0 + 2.0 * min(n, 4), n >= 2)
+    for t in texts:
+        for m in re.finditer(rules.DOCUMENT_RELATION, t):
+            for key, x in found.items():
+                if squeeze(m[1]) in key or squeeze(m[1]) in key.replace("3gpp ", ""):
+                    x[1], x[3] = x[1] + 8, True
+    for key, x in found.items():
+        if "rfc" in q.lower():
+            x[1] += 4 if key.startswith("rfc ") else -6
+        elif "3gpp" in q.lower() and has(q.lower(), ["standart", "standard"]):
+            x[1] += 3 if key.startswith("3gpp ") else -3
+    return sorted((n, round(s, 4), c, bool(t)) for n, s, c, t in found.values())
+
+
+def document_rows():
+    rng, rows = random.Random(8), []
+    owners = [("IETF", "9114"), ("IETF", "09000"), ("3GPP", "TS 23.501"), ("3GPP", "TS 23.502"), ("IETF", "9220"), ("3GPP", " ")]
+    for i in range(8):
+        q, variants = DOC_ASKED[i % 2]
+        for rank in range(1, 7):
+            org, code = rng.choice(owners)
+            rows.append((i, rank, q, org, code, "1", rng.choice(["Scope", "References", None, "HTTP/3"]), " ".join(rng.sample(DOC_TEXTS, rng.randrange(1, 4))), [q, *variants], candidates.DOCUMENT))
+    return rows
+
+
+def test_documents_equal_the_plain_rules(spark):
+    rows = document_rows()
+    got = {}
+    for r in candidates.document_candidates(spark.createDataFrame(rows, HITS)).collect():
+        got.setdefault(r.question, []).append((r.candidate, r.score, r.occurrences, r.strong))
+    for i in range(8):
+        assert sorted(got[i]) == plain_documents([h for h in rows if h[0] == i]), i
+
+
+def test_document_answers(spark):
+    rows = [(1, k, DOC_ASKED[0][0], "IETF", "9114", "1", "Scope", t, [DOC_ASKED[0][0]], candidates.DOCUMENT) for k, t in enumerate(DOC_TEXTS[:3], 1)]
+    got = candidates.composed(spark.createDataFrame(rows, HITS)).first()
+    assert got.primary_answer == "RFC 9114" and got.confidence == "high"
     df = spark.createDataFrame([("15 digits", ["15  Digits"], "It is defined in 3GPP TS 23.003 and specified by RFC 3966.")], "c string, v array<string>, t string")
     r = df.select(candidates.alignment(F.col("c"), F.col("v")).alias("a"), candidates.referenced_documents(F.col("t")).alias("d")).first()
     assert r.a == 12.0 and r.d == ["3GPP TS 23.003", "RFC 3966"]
+
+
+def test_confidence(spark):
+    kinds = {1: "SİSTEM", 2: "PROTOKOL", 3: candidates.DOCUMENT, 4: "PROTOKOL", 5: "SİSTEM"}
+    rows = [(1, "a", 9.0, 1, False, 1), (1, "b", 8.0, 1, True, 2), (2, "a", 9.0, 1, False, 1), (3, "a", 9.0, 3, True, 1), (3, "b", 9.0, 1, True, 2), (4, "a", 5.0, 1, True, 1), (5, "a", 3.9, 1, True, 1)]
+    df = spark.createDataFrame([(*r, kinds[r[0]]) for r in rows], "question int, candidate string, score double, occurrences int, strong boolean, rank int, answer_type string")
+    got = {r.question: (r.primary_answer, r.confidence) for r in evidence.confidence(df).collect()}
+    assert got == {1: ("a", "high"), 2: ("", "low"), 3: ("a", "high"), 4: ("a", "medium"), 5: ("", "low")}
