@@ -2,36 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcegrove.functions import rules
+from sourcegrove.functions import rules, tables
 
 # Letters with marks that the index folds, and what they become.
+TOKEN = r"[\p{L}\p{N}]+"
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿğış", "aaaaaaceeeeiiiinooooouuuuyygis"
 
 
 def tokens(text: Column) -> Column:
     """Lowered runs of letters and digits, common marks removed."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit(f"({TOKEN})"), F.lit(1))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """L1, K4: (token, key, tf, positions), positions from 0 in order."""
+    """L1, K4: (token, key, tf, positions), positions from 0 in order. The whole index: for a stated query set, `matched` reads the texts instead."""
     each = docs.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
     return each.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def write_index(docs: DataFrame, path: str, buckets: int = 64, key: str = "doc_id", text: str = "text", mode: str = "errorifexists") -> None:
+    """K4: the index as two tables: postings in folders of token hashes, so that a query reads only its tokens' folders, and lengths."""
+    index = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    index.repartition("bucket").sortWithinPartitions("bucket", "token", key).write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(docs, key, text).write.mode(mode).parquet(f"{path}/lengths")
+
+
+def read_index(spark: SparkSession, path: str, asked: DataFrame | None = None, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a written index, empty where there is none. asked (phrase): only the folders of their tokens are read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "token string, doc_id long, tf long, positions array<int>"), spark.createDataFrame([], "doc_id long, len int")
+    index = spark.read.parquet(f"{path}/postings")
+    if asked is not None:
+        wanted = asked.select(F.explode(tokens(F.col("phrase"))).alias("token")).select(F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int").alias("b")).distinct()
+        index = index.filter(F.col("bucket").isin([r.b for r in wanted.collect()]))  # at most `buckets` numbers
+    return index.drop("bucket"), spark.read.parquet(f"{path}/lengths")
+
+
+def token_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(token, df, cf, firsts): documents, occurrences, and the sum of first positions. A document's tokens are combined where it is read."""
+    each = docs.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    by_doc = each.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
+    return by_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("first").cast("long")).alias("firsts"))
+
+
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, len): tokens of each document."""
     return docs.select(F.col(key), F.size(tokens(F.col(text))).alias("len"))
 
 
+#: A stated query set of so many phrase tokens is sent to the executors; beyond it its tokens are joined by hash.
+MOST_TOKENS = 100_000
+
+
+def matched(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query") -> DataFrame:
+    """(query, phrase_no, key, tf, len) of each phrase in each document that has its tokens side by side, read from the texts in one pass.
+
+    phrases (query, phrase_no, phrase) is a stated query set. Only tokens of the set leave the scan, each with its document's length; a
+    token's position less its place in the phrase is the phrase's start, and starts that all tokens give are hits.
+    """
+    wanted = phrases.select(query, "phrase_no", F.posexplode(tokens(F.col("phrase"))).alias("at", "token"))
+    wanted = wanted.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(query, "phrase_no")))
+    if wanted.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
+        wanted = F.broadcast(wanted)  # checked: MOST_TOKENS short rows
+    each = docs.select(F.col(key), tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), F.posexplode("w").alias("pos", "token"))
+    starts = each.join(wanted, "token").groupBy(query, "phrase_no", key, (F.col("pos") - F.col("at")).alias("start"), "size", "len").agg(F.count(F.lit(1)).alias("n"))
+    return starts.filter("n = size").groupBy(query, "phrase_no", key, "len").agg(F.count(F.lit(1)).alias("tf")).select(query, "phrase_no", key, "tf", "len")
+
+
 def phrase_hits(index: DataFrame, phrases: DataFrame, key: str = "doc_id", query: str = "query") -> DataFrame:
-    """L2: (query, phrase_no, key, tf) of each phrase in each document that has its tokens side by side.
+    """L2: (query, phrase_no, key, tf) of each phrase in each document that has its tokens side by side, from a written index.
 
     phrases (query, phrase_no, phrase) is a stated query set; its tokens are joined with the index, so only their lists are read.
-    A token's position less its place in the phrase is the phrase's start: starts that all tokens give are hits.
     """
     wanted = phrases.select(query, "phrase_no", F.posexplode(tokens(F.col("phrase"))).alias("at", "token"))
     sizes = wanted.groupBy(query, "phrase_no").agg(F.count(F.lit(1)).alias("size"))
@@ -41,24 +86,59 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, key: str = "doc_id", query
 
 
 def bm25(hits: DataFrame, docs_len: DataFrame, key: str = "doc_id", query: str = "query", term: str = "phrase_no", k1: float = rules.BM25_K1, b: float = rules.BM25_B) -> DataFrame:
-    """L3: (query, key, score, n_terms): smaller is better; a term is a phrase; idf has a floor."""
+    """L3: (query, key, score, n_terms): smaller is better; a term is a phrase; idf has a floor. hits carry len, or docs_len gives it.
+
+    The hits are written once for their counts and their scores.
+    """
     stats = docs_len.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = hits.groupBy(query, term).agg(F.count(F.lit(1)).alias("df"))
+    hits = tables.written(hits if "len" in hits.columns else hits.join(docs_len, key), "lexical-hits")
+    df = hits.groupBy(query, term).agg(F.count(F.lit(1)).alias("df"))  # as many rows as phrases
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(rules.LEAST_IDF))
     part = -idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    rows = hits.join(df, [query, term]).join(docs_len, key).join(F.broadcast(stats))  # stats is one row
+    rows = hits.join(df, [query, term]).join(F.broadcast(stats))  # stats is one row
     return rows.groupBy(query, key).agg(F.round(F.sum(part), 9).alias("score"), F.count(F.lit(1)).alias("n_terms"))
 
 
-def search(index: DataFrame, docs_len: DataFrame, queries: DataFrame, limit: int = 20, key: str = "doc_id", query: str = "query", phrases: str = "phrases") -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, limit: int = 20, key: str = "doc_id", text: str = "text", query: str = "query", phrases: str = "phrases") -> DataFrame:
     """L4, T4: the `limit` best documents of each query that have all of its phrases (an array column), by score, then key."""
     listed = queries.select(query, F.posexplode(phrases).alias("phrase_no", "phrase")).filter(F.size(tokens(F.col("phrase"))) > 0)
     need = listed.groupBy(query).agg(F.count(F.lit(1)).alias("need"))
-    scored = bm25(phrase_hits(index, listed, key, query), docs_len, key, query).join(need, query).filter("n_terms = need")
+    scored = bm25(matched(docs, listed, key, text, query), counted(docs, text), key, query).join(need, query).filter("n_terms = need")
     rank = F.row_number().over(Window.partitionBy(query).orderBy("score", key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit).select(query, key, "score", "rank")
 
 
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(len): tokens of each document, counted without keeping them."""
+    return docs.select(F.regexp_count(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), MARKED, PLAIN), F.lit(TOKEN)).alias("len"))
+
+
+def document_queries(phrases: Column) -> Column:
+    """Of each phrase its words of two letters and more as an AND query, without words that any document has; the first four where
+    only such are left. Phrases without words give none."""
+
+    def one(p: Column) -> Column:
+        found = F.filter(F.regexp_extract_all(p, F.lit("([A-Za-z0-9/]+)"), F.lit(1)), lambda w: F.length(w) > 1)
+        telling = F.filter(found, lambda w: ~F.lower(w).isin(rules.NO_DOCUMENT_SEARCH))
+        return F.when(F.size(telling) > 0, telling).otherwise(F.slice(found, 1, 4))
+
+    return F.filter(F.transform(F.coalesce(phrases, F.array().cast("array<string>")), one), lambda q: F.size(q) > 0)
+
+
+def general_queries(phrases: Column) -> Column:
+    """Of each phrase its first three words of three letters and more as an AND query."""
+    return F.filter(F.transform(F.coalesce(phrases, F.array().cast("array<string>")), lambda p: word_query(p)), lambda q: F.size(q) > 0)
+
+
+def searched(docs: DataFrame, asked: DataFrame, limit: int, key: str = "doc_id", text: str = "text", question: str = "question") -> DataFrame:
+    """(question, key, query_no, rank) of the hits of each question's queries (asked: question, queries array<array<string>>), each
+    document at its first query only."""
+    each = asked.select(F.struct(question, F.col("no").alias("query_no")).alias("query"), "phrases") if "no" in asked.columns else asked.select(question, F.posexplode("queries").alias("no", "phrases")).select(F.struct(question, F.col("no").alias("query_no")).alias("query"), "phrases")
+    hits = search(docs, each, limit, key, text).select(F.col(f"query.{question}").alias(question), key, F.col("query.query_no").alias("query_no"), "rank")
+    first = Window.partitionBy(question, key).orderBy("query_no")
+    return hits.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+
+
 def word_query(question: Column, pattern: str = r"([A-Za-z0-9]+)", least: int = 3, most: int = 3) -> Column:
     """The first `most` words of at least `least` characters, each a phrase of an AND query."""
     return F.slice(F.filter(F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(pattern), F.lit(1)), lambda w: F.length(w) >= least), 1, most)

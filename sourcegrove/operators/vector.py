@@ -11,25 +11,39 @@ from pyspark.sql import functions as F
 
 from sourcegrove.functions import rules
 
-#: Query vectors that are searched in one pass over the collection.
-QUERY_BLOCK = 4096
+#: Bytes of query vectors that are searched in one pass over the collection.
+QUERY_BYTES = 64_000_000
 #: Of these, so many are compared with a batch at a time.
 QUERY_ROWS = 256
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES_PER_VARIANT, query_id: str = "variant", chunk_id: str = "chunk_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+def nearest_of(d: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k smallest of each row of d; of equals those with the smaller c."""
+    if d.shape[1] > k:
+        low = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero(d <= low)
+    else:
+        row, col = (x.ravel() for x in np.indices(d.shape))
+    order = np.lexsort((c[col], d[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def knn(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES_PER_VARIANT, query_id: str = "variant", chunk_id: str = "chunk_id", vector: str = "embedding", digits: int = 9, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, chunk_id, distance, rank) of each query's k nearest chunks by squared Euclidean distance, exact.
 
-    Queries go to the executors in blocks of QUERY_BLOCK; each Arrow batch of chunks is compared by one matrix product and keeps k rows a
-    query, so what is shuffled for the final ranking is k rows a query and batch, however large the collection. Ties go by chunk id.
+    Queries go to the executors in blocks of about query_bytes, dealt by a hash of their ids; each Arrow batch of chunks is compared by matrix
+    products and keeps k rows a query, so what is shuffled for the final ranking is k rows a query and batch, however large the
+    collection. Ties go by chunk id.
     """
     named = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null")
     rows = chunks.select(F.col(chunk_id).cast("long").alias("c"), F.col(vector).alias("v")).filter("c is not null and v is not null")
-    bounds = [r[0] for r in named.select("q").distinct().orderBy("q").collect()]
+    size = named.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)) * 8).first()[0]
+    blocks = max(1, -(-size // query_bytes))
     out = None
-    for a in range(0, max(1, len(bounds)), QUERY_BLOCK):
-        block = bounds[a : a + QUERY_BLOCK]
-        got = named.filter(F.col("q").between(block[0], block[-1])).collect() if block else []
+    for b in range(blocks):
+        got = named.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()  # about query_bytes
         ids = np.array([r.q for r in got], np.int64)
         matrix = np.array([r.v for r in got], np.float64)
 
@@ -42,10 +56,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = rules.CANDIDATES_PER_VAR
                 for a in range(0, len(ids), QUERY_ROWS):
                     some, m = ids[a : a + QUERY_ROWS], matrix[a : a + QUERY_ROWS]
                     d = np.round((m**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (m @ x.T), digits) + 0.0  # no negative zero
-                    order = np.lexsort((np.broadcast_to(c, d.shape), d), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(some, order.shape[1])), pa.array(c[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["q", "c", "distance"]
-                    )
+                    row, col = nearest_of(d, c, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[row]), pa.array(c[col]), pa.array(d[row, col])], ["q", "c", "distance"])
 
         found = rows.mapInArrow(nearest, "q long, c long, distance double")
         out = found if out is None else out.union(found)
