@@ -29,34 +29,37 @@ def sections(docs: DataFrame, keys: list[str], text: str = "text", heading: str
 
 
 def split_text(title: str, text: str, most: int = rules.CHUNK_CHARS, overlap: int = rules.CHUNK_OVERLAP) -> list[str]:
-    """Parts of at most `most` characters with the title line on each, cut at a line end, a sentence end or a space in the window's second half."""
-    head = f"{title}\n" if title else ""
-    if len(head) + len(text) <= most:
-        return [head + text]
-    room = max(1, most - len(head))
+    """Parts of at most `most` characters with the title line on each, cut at a line end, a sentence end or a space in the window's second half.
+
+    Title and text are trimmed. Without text the title is the only part, without both there is none. A title that leaves no room counts
+    as no room taken. The next part begins behind the first space of the last `overlap` characters, or right behind the part where that
+    would not go on.
+    """
+    title, text = title.strip(), text.strip()
+    head = f"{title}\n" if title and text else title
+    if len(head) + len(text) <= most or not text:
+        return [head + text] if head or text else []
+    room = most - len(head) if len(head) < most else most
     out, at = [], 0
-    while at < len(text):
+    while True:
         end = min(len(text), at + room)
         if end < len(text):
-            half = at + room // 2
-            for mark, extra in (("\n", 0), (". ", 1), (" ", 0)):
-                k = text.rfind(mark, half, end)
-                if k > at:
-                    end = k + extra
-                    break
+            low = at + room // 2
+            cuts = (text.rfind("\n", low, end), text.rfind(". ", low, end) + 1, text.rfind(" ", low, end))
+            end = next((k for k in cuts if k > at), end)
         if part := text[at:end].strip():
             out.append(head + part)
         if end >= len(text):
-            break
-        start = max(at + 1, end - overlap)
-        space = text.find(" ", start, end)
-        at = space + 1 if space >= 0 else start
-        at = at if at < end else end
-    return out
+            return out
+        back = max(0, end - overlap)
+        space = text.find(" ", back, end) if back else -1
+        back = space + 1 if space >= 0 else back
+        at = back if back > at else end
 
 
 def chunked(df: DataFrame, title: str = "title", text: str = "text", most: int = rules.CHUNK_CHARS, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
-    """The rows of df with part_no, chunk and status: void sections give one empty chunk of status "void", others "indexed" parts."""
+    """The rows of df with part_no, chunk and status: void sections give one empty chunk of status "void", others "indexed" parts,
+    rows without title and text none."""
     keys = [c for c in df.columns if c not in (title, text)]
     rows = df.select(*keys, F.coalesce(F.col(title), F.lit("")).alias("__title"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     void = F.lower(F.trim("__title")).startswith("void") | F.lower(F.trim("__text")).isin("void", "void.")
