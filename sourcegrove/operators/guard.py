@@ -86,3 +86,14 @@ def validated(question: Column, reply: Column, evidence: Column) -> Column:
 def fallback(question: Column, terms: Column) -> Column:
     """What is said when no valid reply came."""
     return F.when((answer_type(question) == SYSTEM) & (F.size(terms) > 0), F.format_string(rules.GUARD_FALLBACK_SYSTEM, F.try_element_at(terms, F.lit(1)))).otherwise(rules.GUARD_FALLBACK)
+
+
+def without_expansions(reply: Column) -> Column:
+    """Q14: a reply whose names have lost the expansion in parentheses behind them."""
+    return F.regexp_replace(reply, rules.EXPANSION, "$1")
+
+
+def repair_prompt(question: Column, reply: Column, context: Column, checked: Column) -> Column:
+    """Q13: the prompt that asks for a better reply: question, type, reply, reason, terms and sources, then the rules."""
+    terms = F.when(F.size(checked["evidence_terms"]) > 0, F.array_join(checked["evidence_terms"], ", ")).otherwise(rules.REPAIR_NO_TERMS)
+    return F.format_string(rules.REPAIR_PROMPT, question, answer_type(question), reply, checked["reason"], terms, context)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sourcegrove.functions import rules
+from sourcegrove.functions import rules, tables
 from sourcegrove.functions.text import lines
+from sourcegrove.operators import gates
 
 
 def parsed_line(line: Column) -> Column:
@@ -107,7 +106,7 @@ def crawl(seeds: DataFrame, cites: DataFrame, most_levels: int | None = None) ->
     checkpoint folder, so lineage and plan stay short however many levels there are, and a lost executor costs one level.
     """
     spark = seeds.sparkSession
-    folder = level_folder(spark)
+    folder = tables.new_folder(spark, "levels")
     first = seeds.select("org", "code").distinct().withColumn("level", F.lit(0))
     first.write.parquet(f"{folder}/0")
 
@@ -124,9 +123,40 @@ def crawl(seeds: DataFrame, cites: DataFrame, most_levels: int | None = None) ->
     return read(folder)
 
 
-def level_folder(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sourcegrove-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/levels-{uuid.uuid4().hex}"
+def crawl_pages(seeds: DataFrame, listing: DataFrame, pages: DataFrame, cache: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """The records (org, code, level, cached, status, source_url, version, text, discovered) of all documents reached.
+
+    seeds (org, code); listing as for `resolve`; pages (source_url, text). Each level takes the documents not visited yet: those with a record
+    in the cache are replayed, text and citations; the others are resolved, read where their address is open, and for 3GPP kept only if
+    they are no meeting contribution and are the document asked for. Citations of kept texts make the next level; the crawl ends where
+    there is none. discovered is an array of (org, code, title, ref_number). The records go to `path` (one folder a level, written
+    as wholes, to be given as cache to the next crawl), or to a table that ends with the session.
+    """
+    spark = seeds.sparkSession
+    folder = path or tables.new_folder(spark, "crawl")
+    kind = "org string, code string, level int, cached boolean, status string, source_url string, version string, text string, discovered array<struct<org:string,code:string,title:string,ref_number:int>>"
+    columns = ["org", "code", "cached", "status", "source_url", "version", "text", "discovered"]
+    frontier = seeds.select("org", "code").distinct()
+
+    def records() -> DataFrame:
+        return spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(folder)
+
+    for n in count():
+        todo = tables.written(frontier, "crawl-frontier")
+        if todo.isEmpty():
+            break
+        fresh, known = todo, None
+        if cache is not None:
+            known = cache.join(todo, ["org", "code"], "left_semi").withColumn("cached", F.lit(True)).select(columns)
+            fresh = todo.join(cache, ["org", "code"], "left_anti")
+        found = resolve(fresh, listing)
+        opened = gates.fetchable(found).select("org", "code", "source_url").join(pages, "source_url").select("org", "code", "text")
+        right = (F.upper("org") != "3GPP") | ~gates.is_meeting_contribution(F.col("text")) & gates.is_requested_document(F.col("code"), F.col("text"))
+        kept = opened.filter((F.coalesce("text", F.lit("")) != "") & right)
+        cited = parse_references(kept.withColumn("text", gates.reference_section(F.col("text"))).select(F.col("org").alias("of_org"), F.col("code").alias("of_code"), "text"))
+        cited = cited.groupBy(F.col("of_org").alias("org"), F.col("of_code").alias("code")).agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct("org", "code", "title", "ref_number").alias("r")))).getField("r").alias("discovered"))
+        made = found.join(kept, ["org", "code"], "left").join(cited, ["org", "code"], "left").withColumns({"cached": F.lit(False), "discovered": F.coalesce("discovered", F.array().cast(kind.rsplit("discovered ")[1]))}).select(columns)
+        (made if known is None else made.unionByName(known)).withColumn("level", F.lit(n)).write.parquet(f"{folder}/{n}")
+        new = spark.read.schema(kind).parquet(f"{folder}/{n}").select(F.explode("discovered").alias("r")).select("r.org", "r.code").distinct()
+        frontier = new.join(records(), ["org", "code"], "left_anti")
+    return records() if n else spark.createDataFrame([], kind)

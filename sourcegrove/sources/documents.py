@@ -6,11 +6,12 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -143,3 +144,11 @@ def of_code(chunks: DataFrame, code: str, org: str | None = None, limit: int = 4
     if org is not None:
         out = out.filter(F.col("org") == org)
     return out.orderBy("chunk_id").limit(limit)
+
+
+def web_results(listing: DataFrame, most: int = 3, sites: list[str] | None = None) -> DataFrame:
+    """The `most` best results of each query of a listing (query, rank, link, title), of the standards bodies' sites only."""
+    host = F.regexp_extract("link", r"^[a-z]+://([^/:]+)", 1)
+    asked = reduce(lambda out, s: out | (host == s) | host.endswith(f".{s}"), rules.STANDARDS_SITES if sites is None else sites, F.lit(False))
+    kept = listing.filter(asked).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank", "link")))
+    return kept.filter(F.col("rank") <= most)
