@@ -7,17 +7,19 @@ F1 of common words.
 from __future__ import annotations
 
 import re
+import time
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sourcegrove.functions import rules
-from sourcegrove.functions.text import blank
-from sourcegrove.operators import evidence, questions, results, vector
+from sourcegrove.functions import rules, tables
+from sourcegrove.functions.text import blank, folded
+from sourcegrove.operators import evidence, gates, guard, lexical, questions, results, vector
 
 Embedder = Callable[[list[str]], np.ndarray]
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -46,7 +48,8 @@ def common_words(queries: list[str], texts: list[str]) -> list[float]:
 
 
 def embedded(df: DataFrame, text: str, prefix: str, embedder: Embedder = hashed_words, batch: int = 256) -> DataFrame:
-    """V1, V3: df with embedding; blank texts are left out. The embedder gets `batch` prefixed texts at a time."""
+    """V1, V3: df with embedding; blank texts are left out. The embedder gets `batch` prefixed texts at a time; a text's vector must not depend
+    on the others of its batch, and a result of another size than its texts is an error."""
     rows = df.filter(~blank(F.col(text)))
     at, names = rows.columns.index(text), rows.columns
 
@@ -54,12 +57,27 @@ def embedded(df: DataFrame, text: str, prefix: str, embedder: Embedder = hashed_
         for b in batches:
             texts = [prefix + t.strip() for t in b.column(at).to_pylist()]
             vectors = [v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])]
+            if len(vectors) != len(texts):
+                raise ValueError(f"the embedder gave {len(vectors)} vectors for {len(texts)} texts")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], [*names, "embedding"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields)
     return rows.mapInArrow(embed, f"{schema}embedding array<float>")
 
 
+def query_vector(question: str, embedder: Embedder = hashed_words) -> list[float]:
+    """V2: the vector of one question; a blank one is an error."""
+    return query_vectors([question], embedder)[0]
+
+
+def query_vectors(questions_: list[str], embedder: Embedder = hashed_words) -> list[list[float]]:
+    """V3: the vectors of a question's search texts in one batch; blank ones are left out, and none at all is an error."""
+    texts = [f"query: {q.strip()}" for q in questions_ if q and q.strip()]
+    if not texts:
+        raise ValueError("there is no question to embed")
+    return [[float(x) for x in v] for v in embedder(texts)]
+
+
 def reranked(hits: DataFrame, scorer: Scorer = common_words, top_k: int | None = None) -> DataFrame:
     """Hits (question, chunk_id, text, variants) with the best score over the variants; a question's lone hit is not scored."""
     each = hits.select("question", "chunk_id", F.posexplode("variants").alias("variant", "query"), F.substring("text", 1, RERANK_CHARS).alias("text"))
@@ -106,3 +124,138 @@ def prompts(asked: DataFrame, chunks: DataFrame, threshold: float = rules.DISTAN
     sources = chosen.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", "code", "clause", "clause_title", "source_url"))).alias("sources"))
     types = asked.select(F.col("question").cast("long").alias("question"), questions.answer_type(F.col("text")).alias("answer_type"))
     return types.join(context, "question", "left").join(sources, "question", "left").select("question", "answer_type", "context", "sources", F.col("context").isNotNull().alias("has_evidence"))
+
+
+def answer_sources(answers: DataFrame, hits: DataFrame, chunks: DataFrame, scorer: Scorer = common_words, most: int = 4, pool: int = 40) -> DataFrame:
+    """J12, T5, Q8g: the sources of answers that are documents: (question, position, route, chunk_id, org, code, clause, clause_title, text).
+
+    answers (question, q, answer); hits (question, rank, chunk_id, org, code, clause, clause_title, text, source_url); chunks of the store with
+    the same columns and status. First choice are the answer's own document's chunks in the store (`pool` of them, by id), those that
+    introduce it if there are any, the best `most` by the reranker, in order of how well they introduce it; then hits of the document;
+    then hits that name it; then the first hits.
+    """
+    named = answers.select(F.col("question").cast("long").alias("question"), "q", F.trim("answer").alias("answer"), gates.document_identity(F.col("answer")).alias("d"))
+    columns = ["question", "q", "chunk_id", "org", "code", "clause", "clause_title", "text", "source_url"]
+    key = results.dedup_key(*[F.col(c) for c in ("source_url", "org", "code", "clause", "text")])
+    store = results.available(chunks).filter(F.trim("text") != "").select("chunk_id", F.upper("org").alias("o"), "org", "code", "clause", "clause_title", "text", "source_url")
+    own = named.filter("d is not null").select("question", "q", F.col("d.org").alias("o"), F.col("d.code").alias("code")).join(store, ["o", "code"])
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("chunk_id"))).filter(F.col("n") <= pool).select(columns)
+    own = results.first_of_key(own, key, "chunk_id", within=("question",)).withColumn("quality", gates.source_quality(F.col("clause_title"), F.col("text")))
+    per = Window.partitionBy("question")
+    own = own.withColumn("best", F.max("quality").over(per)).filter("quality > 0 or best <= 0").drop("best")
+    order = reranked(own.select("question", "chunk_id", "text", F.array("q").alias("variants")), scorer, top_k=most).select("question", "chunk_id", F.col("position").alias("n"))
+    hydrated = own.join(order, ["question", "chunk_id"]).withColumn("position", F.row_number().over(per.orderBy(F.desc("quality"), "n"))).withColumn("route", F.lit(0))
+
+    each = hits.withColumn("question", F.col("question").cast("long")).join(named, "question")
+    same = (folded(F.col("org")) == folded(F.col("d.org"))) & (folded(F.col("code")) == folded(F.col("d.code")))
+    direct = results.first_of_key(each.filter(F.coalesce(same, F.lit(False))), key, "rank", within=("question",)).withColumn("route", F.lit(1))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    short = F.regexp_replace(F.lower("answer"), r"^rfc\s+", "rfc")
+    mention = each.filter((F.col("answer") != "") & (F.contains(low, F.lower("answer")) | F.contains(low, short))).withColumn("route", F.lit(2))
+    routes = direct.unionByName(mention).unionByName(each.withColumn("route", F.lit(3)))
+    routes = routes.withColumn("position", F.row_number().over(Window.partitionBy("question", "route").orderBy("rank"))).filter(F.col("position") <= most)
+    columns = ["question", "position", "route", "chunk_id", "org", "code", "clause", "clause_title", "text"]
+    both = hydrated.select(columns).unionByName(routes.select(columns))
+    return both.withColumn("low", F.min("route").over(per)).filter("route = low").drop("low")
+
+
+def second_search(asked: DataFrame, chunks: DataFrame, scorer: Scorer = common_words, most: int = 4) -> DataFrame:
+    """(question, route, position, chunk_id, rerank_score) of the second, lexical search for each question.
+
+    asked (question, text); chunks (chunk_id, text, org, code, clause, clause_title, status, source_url). Questions for a reference point use
+    the first of their queries that has hits (route 0); questions for a document all their queries, in order, without reranking
+    (route 1, up to 20 hits); others their intent's phrases or their search texts (route 2). Low-value clauses, other documents than the one
+    named, and repeats go before the reranker.
+    """
+    kind = questions.answer_type(F.col("text"))
+    variants = questions.query_variants(F.col("text"))
+    known = asked.select(F.col("question").cast("long").alias("question"), "text", kind.alias("kind"), variants.alias("variants"), gates.precision_phrases(F.col("text")).alias("precise"), lexical.reference_point_queries(F.col("text")).alias("points"), questions.document_constraint(F.col("text")).alias("document"))
+    known = known.filter("variants is not null").withColumn("others", F.slice("variants", 2, 1000))
+    searching = F.concat("precise", F.when(F.size("others") > 0, F.col("others")).otherwise(F.col("variants")))
+    about_point = gates.is_reference_point_question(F.col("text")) & F.col("points").isNotNull()
+    general = lexical.general_queries(F.when(F.size("precise") > 0, F.col("precise")).otherwise(F.col("others")))
+    rest = F.when(F.col("kind") == gates.DOCUMENT, lexical.document_queries(searching)).otherwise(general)
+    known = tables.written(known.withColumns({"point": about_point, "rest": rest}), "second-search")
+    doc = F.col("kind") == gates.DOCUMENT
+    texts = chunks.select("chunk_id", "text")
+
+    def hits_of(rows: DataFrame, queries: str, limit: int) -> DataFrame:
+        found = lexical.searched(texts, rows.select("question", F.col(queries).alias("queries")), limit, "chunk_id")
+        return found.join(chunks, "chunk_id").join(known.select("question", "document", "variants", "kind", F.col("text").alias("q")), "question").filter(results.matches_document(F.col("org"), F.col("code"), F.col("document")))
+
+    key = results.dedup_key(*[F.col(c) for c in ("source_url", "org", "code", "clause", "text")])
+
+    def cleaned(rows: DataFrame) -> DataFrame:
+        rows = results.first_of_key(rows, key, "query_no", "rank", within=("question",))
+        return results.prefer_content(rows, document_question=F.col("kind") == gates.DOCUMENT)
+
+    points = cleaned(lexical.first_with_hits(hits_of(known.filter("point"), "points", rules.FALLBACK_HITS)))
+    points = tables.written(points.select("question", "chunk_id", "query_no", "rank", "text", "variants"), "point-hits")
+    left = known.join(points.select("question").distinct(), "question", "left_anti")
+    listed = lexical.searched(texts, left.filter(doc).select("question", F.col("rest").alias("queries")), rules.DOCUMENT_HITS, "chunk_id")
+    listed = listed.withColumn("position", F.row_number().over(Window.partitionBy("question").orderBy("query_no", "rank"))).filter(F.col("position") <= rules.FALLBACK_MOST)
+    others = cleaned(hits_of(left.filter(~doc), "rest", rules.FALLBACK_HITS)).select("question", "chunk_id", "query_no", "rank", "text", "variants")
+
+    def scored(rows: DataFrame, route: int) -> DataFrame:
+        return reranked(rows, scorer, top_k=most).select("question", F.lit(route).alias("route"), "position", "chunk_id", "rerank_score")
+
+    return scored(points, 0).unionByName(scored(others, 2)).unionByName(listed.select("question", F.lit(1).alias("route"), "position", "chunk_id", F.lit(None).cast("double").alias("rerank_score")))
+
+
+def combined(second: DataFrame, first: DataFrame, most: int = rules.FALLBACK_MOST) -> DataFrame:
+    """The hits of the second search, then those of the first (both: question, position, chunk_id and the columns of `dedup_key`), without
+    repeats, up to `most` a question."""
+    both = second.withColumn("side", F.lit(0)).unionByName(first.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    key = results.dedup_key(*[F.col(c) for c in ("source_url", "org", "code", "clause", "text")])
+    once = results.first_of_key(both, key, "side", "position", within=("question",))
+    return once.withColumn("position", F.row_number().over(Window.partitionBy("question").orderBy("side", "position"))).filter(F.col("position") <= most)
+
+
+def replied(asked: DataFrame, generator: Callable[[list[str]], list[str]], question: str = "question", text: str = "text", context: str = "context") -> DataFrame:
+    """Q12-Q14: (question, reply, source) of rows with a prompt's context: the generator's reply if it holds, else its repaired one, else the
+    fallback sentence. generator: a slot, from prompts to replies; it is called twice at most for a row."""
+
+    def generated(df: DataFrame, prompt: str, out: str) -> DataFrame:
+        names, at = df.columns, df.columns.index(prompt)
+
+        def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(generator(b.column(at).to_pylist()), pa.string())], [*names, out])
+
+        return df.mapInArrow(call, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields) + f"`{out}` string")
+
+    rows = asked.select(question, text, context, F.concat_ws("\n\n", F.col(text), F.col(context)).alias("prompt"))
+    first = generated(rows, "prompt", "r").withColumn("reply", guard.without_expansions(F.col("r")))
+    first = tables.written(first.withColumn("v", guard.validated(F.col(text), F.col("reply"), F.col(context))).drop("prompt", "r"), "replies")
+    bad = first.filter(~F.col("v.valid")).withColumn("prompt", guard.repair_prompt(F.col(text), F.col("reply"), F.col(context), F.col("v")))
+    again = generated(bad.select(question, text, context, "prompt", F.col("v.evidence_terms").alias("terms")), "prompt", "r2").withColumn("v2", guard.validated(F.col(text), F.col("r2"), F.col(context)))
+    repaired = again.select(question, F.when(F.col("v2.valid"), F.col("r2")).otherwise(guard.fallback(F.col(text), F.col("terms"))).alias("reply"), F.when(F.col("v2.valid"), "repaired").otherwise("fallback").alias("source"))
+    return first.filter(F.col("v.valid")).select(question, "reply", F.lit("first").alias("source")).unionByName(repaired)
+
+
+def found_at(cases: DataFrame, hits: DataFrame, top: int = 10, good: int = 3) -> DataFrame:
+    """V7: (name, rank, verdict) of retrieval cases (name, expected_codes, expected_clauses): the first hit (name, rank, code, clause) of the
+    `top` best with an expected code, and an expected clause where there are any."""
+    right = F.array_contains("expected_codes", F.col("code")) & ((F.size(F.coalesce("expected_clauses", F.array().cast("array<string>"))) == 0) | F.array_contains("expected_clauses", F.col("clause")))
+    best = cases.join(hits.filter(F.col("rank") <= top), "name").filter(right).groupBy("name").agg(F.min("rank").alias("rank"))
+    out = cases.select("name").join(best, "name", "left")
+    return out.select("name", "rank", F.when(F.col("rank").isNull(), "missing").when(F.col("rank") <= good, "good").otherwise("found").alias("verdict"))
+
+
+class Report:
+    """K8: seconds of each stage of a run: `with report.stage("rerank"): ...`, then report.rows(spark)."""
+
+    def __init__(self) -> None:
+        self.seconds: dict[str, float] = {}
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.seconds[name] = self.seconds.get(name, 0.0) + time.perf_counter() - began
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(stage, seconds), and the total."""
+        return spark.createDataFrame([*self.seconds.items(), ("total", sum(self.seconds.values()))], "stage string, seconds double")

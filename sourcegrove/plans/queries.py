@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sourcegrove.functions import rules
-from sourcegrove.functions.text import blank
-from sourcegrove.operators import chunking, clauses, contexts, evidence, gates, guard, history, ingest, lexical, questions, references, results, vector
+from sourcegrove.functions import rules, tables
+from sourcegrove.functions.text import blank, squeezed
+from sourcegrove.operators import candidates, chunking, clauses, contexts, evidence, gates, guard, history, ingest, lexical, questions, references, results, vector
 from sourcegrove.plans import answering
 from sourcegrove.sources import documents as sources
 
@@ -48,7 +48,7 @@ def values_sql(rows: list[tuple], names: str) -> str:
 # ---------------------------------------------------------------- vector search and fusion
 
 KNN_SQL = """
-WITH q AS (SELECT vec_id AS variant, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 4),
+WITH q AS (SELECT vec_id AS variant, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
 d AS (
   SELECT variant, e.vec_id AS chunk_id, e.label,
     round(list_dot_product(v, v) + list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) - 2 * list_dot_product(v, e.embedding::DOUBLE[]), 9) AS distance
@@ -58,18 +58,23 @@ d AS (
 )"""
 FUSED_SQL = (
     KNN_SQL
-    + """, near AS (SELECT * FROM hits WHERE distance <= 1.6),
+    + """, near AS (SELECT *, variant // 80 AS question FROM hits WHERE distance <= 1.6),
 fused AS (
-  SELECT chunk_id, round(sum(1 / (60.0 + rank)), 12) AS fusion_score, min(rank) AS best_rank, min(distance) AS distance, count(DISTINCT variant) AS query_hit_count
-  FROM near GROUP BY chunk_id
+  SELECT question, chunk_id, round(sum(1 / (60.0 + rank)), 12) AS fusion_score, min(rank) AS best_rank, min(distance) AS distance, count(DISTINCT variant) AS query_hit_count
+  FROM near GROUP BY question, chunk_id
 )"""
 )
 
 
-def variant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def variant_hits(spark: SparkSession, sf_dir: str, searched: str = "true") -> DataFrame:
+    """Every vector whose id is divisible by 20 (the stated query set) against all vectors; four of them in order are the variants of a question."""
     e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id < 4").select(F.col("vec_id").alias("variant"), "embedding")
-    return vector.knn(queries, e.withColumnRenamed("vec_id", "chunk_id"))
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("variant"), "embedding")
+    return vector.knn(queries, e.filter(searched).withColumnRenamed("vec_id", "chunk_id"))
+
+
+def near_hits(spark, sf_dir):
+    return vector.near_enough(variant_hits(spark, sf_dir), WIDE).withColumn("question", F.expr("variant div 80"))
 
 
 @query(KNN_SQL + " SELECT variant, chunk_id, distance, rank FROM hits")
@@ -81,38 +86,34 @@ def knn_topk(spark, sf_dir):
 @query(KNN_SQL.replace("FROM q, embeddings e", "FROM q, embeddings e WHERE e.label = 1") + " SELECT variant, chunk_id, distance, rank FROM hits WHERE distance <= 1.6")
 def knn_filtered(spark, sf_dir):
     """A metadata predicate below the search, a distance threshold above it."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id < 4").select(F.col("vec_id").alias("variant"), "embedding")
-    return vector.near_enough(vector.knn(queries, e.filter("label = 1").withColumnRenamed("vec_id", "chunk_id")), WIDE)
+    return vector.near_enough(variant_hits(spark, sf_dir, "label = 1"), WIDE)
 
 
-@query(FUSED_SQL + " SELECT 1 AS question, * FROM fused")
+@query(FUSED_SQL + " SELECT * FROM fused")
 def rrf_fusion(spark, sf_dir):
     """A1 A2 A6."""
-    near = vector.near_enough(variant_hits(spark, sf_dir), WIDE).withColumn("question", F.lit(1))
-    return vector.fuse(near).drop("variant_ranks")
+    return vector.fuse(near_hits(spark, sf_dir)).drop("variant_ranks")
 
 
 @query(
     FUSED_SQL
-    + """, tops AS (SELECT chunk_id, min(variant) AS top_variant FROM (SELECT *, min(rank) OVER (PARTITION BY variant) AS f FROM near) WHERE rank = f GROUP BY chunk_id),
+    + """, tops AS (SELECT question, chunk_id, min(variant) AS top_variant FROM (SELECT *, min(rank) OVER (PARTITION BY variant) AS f FROM near) WHERE rank = f GROUP BY question, chunk_id),
 chosen AS (
-  SELECT * FROM (SELECT f.*, top_variant, row_number() OVER (ORDER BY top_variant ASC NULLS LAST, fusion_score DESC, query_hit_count DESC, best_rank, distance, f.chunk_id) AS n FROM fused f LEFT JOIN tops USING (chunk_id)) WHERE n <= 12
+  SELECT * FROM (SELECT f.*, top_variant, row_number() OVER (PARTITION BY f.question ORDER BY top_variant ASC NULLS LAST, fusion_score DESC, query_hit_count DESC, best_rank, distance, f.chunk_id) AS n FROM fused f LEFT JOIN tops USING (question, chunk_id)) WHERE n <= 12
 )
-SELECT 1 AS question, chunk_id, fusion_score, best_rank, distance, query_hit_count, top_variant,
-  row_number() OVER (ORDER BY fusion_score DESC, query_hit_count DESC, best_rank, distance, chunk_id) AS position FROM chosen"""
+SELECT question, chunk_id, fusion_score, best_rank, distance, query_hit_count, top_variant,
+  row_number() OVER (PARTITION BY question ORDER BY fusion_score DESC, query_hit_count DESC, best_rank, distance, chunk_id) AS position FROM chosen"""
 )
 def coverage_select(spark, sf_dir):
     """W2 W3 T1."""
-    near = vector.near_enough(variant_hits(spark, sf_dir), WIDE).withColumn("question", F.lit(1))
-    return vector.select_covering(near).drop("variant_ranks")
+    return vector.select_covering(near_hits(spark, sf_dir)).drop("variant_ranks")
 
 
-SCORED_SQL = KNN_SQL + ", scores AS (SELECT chunk_id % 10 AS question, chunk_id, variant, round(10 - 5 * distance, 6) AS score FROM hits)"
+SCORED_SQL = KNN_SQL + ", scores AS (SELECT variant // 80 AS question, chunk_id, variant, round(10 - 5 * distance, 6) AS score FROM hits)"
 
 
 def scored_hits(spark, sf_dir):
-    return variant_hits(spark, sf_dir).select((F.col("chunk_id") % 10).alias("question"), "chunk_id", "variant", F.round(10 - 5 * F.col("distance"), 6).alias("score"))
+    return variant_hits(spark, sf_dir).select(F.expr("variant div 80").alias("question"), "chunk_id", "variant", F.round(10 - 5 * F.col("distance"), 6).alias("score"))
 
 
 @query(
@@ -139,79 +140,6 @@ def strong_margin(spark, sf_dir):
     return vector.strong_margin(best)
 
 
-def whole_sql(name: str) -> str:
-    return ORACLE_SQL[name].replace("vec_id < 4", "vec_id % 20 = 0").replace("chunk_id % 10 AS question", "variant // 80 AS question")
-
-
-ALL_FUSED_SQL = (
-    KNN_SQL.replace("vec_id < 4", "vec_id % 20 = 0")
-    + """, near AS (SELECT *, variant // 80 AS question FROM hits WHERE distance <= 1.6),
-fused AS (
-  SELECT question, chunk_id, round(sum(1 / (60.0 + rank)), 12) AS fusion_score, min(rank) AS best_rank, min(distance) AS distance, count(DISTINCT variant) AS query_hit_count
-  FROM near GROUP BY question, chunk_id
-)"""
-)
-
-
-def all_hits(spark: SparkSession, sf_dir: str, searched: str = "true") -> DataFrame:
-    """Every vector whose id is divisible by 20 against all vectors that are searched; four of them in order are the variants of a question."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("variant"), "embedding")
-    return vector.knn(queries, e.filter(searched).withColumnRenamed("vec_id", "chunk_id"))
-
-
-def all_near(spark, sf_dir):
-    return vector.near_enough(all_hits(spark, sf_dir), WIDE).withColumn("question", F.expr("variant div 80"))
-
-
-def all_scored(spark, sf_dir):
-    return all_hits(spark, sf_dir).select(F.expr("variant div 80").alias("question"), "chunk_id", "variant", F.round(10 - 5 * F.col("distance"), 6).alias("score"))
-
-
-@query(whole_sql("knn_topk"))
-def knn_topk_all(spark, sf_dir):
-    """knn_topk of all stated queries."""
-    return all_hits(spark, sf_dir)
-
-
-@query(whole_sql("knn_filtered"))
-def knn_filtered_all(spark, sf_dir):
-    """knn_filtered of all stated queries."""
-    return vector.near_enough(all_hits(spark, sf_dir, "label = 1"), WIDE)
-
-
-@query(ALL_FUSED_SQL + " SELECT * FROM fused")
-def rrf_fusion_all(spark, sf_dir):
-    """rrf_fusion of all stated queries."""
-    return vector.fuse(all_near(spark, sf_dir)).drop("variant_ranks")
-
-
-@query(
-    ALL_FUSED_SQL
-    + """, tops AS (SELECT question, chunk_id, min(variant) AS top_variant FROM (SELECT *, min(rank) OVER (PARTITION BY variant) AS f FROM near) WHERE rank = f GROUP BY question, chunk_id),
-chosen AS (
-  SELECT * FROM (SELECT f.*, top_variant, row_number() OVER (PARTITION BY f.question ORDER BY top_variant ASC NULLS LAST, fusion_score DESC, query_hit_count DESC, best_rank, distance, f.chunk_id) AS n FROM fused f LEFT JOIN tops USING (question, chunk_id)) WHERE n <= 12
-)
-SELECT question, chunk_id, fusion_score, best_rank, distance, query_hit_count, top_variant,
-  row_number() OVER (PARTITION BY question ORDER BY fusion_score DESC, query_hit_count DESC, best_rank, distance, chunk_id) AS position FROM chosen"""
-)
-def coverage_select_all(spark, sf_dir):
-    """coverage_select of all stated queries."""
-    return vector.select_covering(all_near(spark, sf_dir)).drop("variant_ranks")
-
-
-@query(whole_sql("rerank_best_variant"))
-def rerank_best_variant_all(spark, sf_dir):
-    """rerank_best_variant of all stated queries."""
-    return vector.best_variant(all_scored(spark, sf_dir), top_k=5)
-
-
-@query(whole_sql("strong_margin"))
-def strong_margin_all(spark, sf_dir):
-    """strong_margin of all stated queries."""
-    return vector.strong_margin(all_scored(spark, sf_dir).groupBy("question", "chunk_id").agg(F.max("score").alias("rerank_score")))
-
-
 # ---------------------------------------------------------------- lexical search
 
 TOKENS_SQL = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{lexical.MARKED}', '{lexical.PLAIN}'), '([\\p{{L}}\\p{{N}}]+)')"
@@ -225,8 +153,7 @@ stats AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM len)"""
 @query(POSTINGS_SQL + " SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf, sum(first)::BIGINT AS firsts FROM (SELECT token, doc_id, count(*) AS tf, min(pos) AS first FROM e GROUP BY ALL) GROUP BY token")
 def token_postings(spark, sf_dir):
     """L1 K4, as one row per token."""
-    p = lexical.postings(table(spark, sf_dir, "documents"))
-    return p.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("positions")[0].cast("long")).alias("firsts"))
+    return lexical.token_stats(table(spark, sf_dir, "documents"))
 
 
 PHRASES = [(0, 0, "of the"), (0, 1, "that"), (1, 0, "in"), (1, 1, "and the"), (2, 0, "license")]
@@ -248,7 +175,7 @@ def phrase_table(spark):
 @query(PHRASE_SQL + " SELECT * FROM h")
 def phrase(spark, sf_dir):
     """L2."""
-    return lexical.phrase_hits(lexical.postings(table(spark, sf_dir, "documents")), phrase_table(spark))
+    return lexical.matched(table(spark, sf_dir, "documents"), phrase_table(spark)).drop("len")
 
 
 BM25_SQL = (
@@ -265,7 +192,7 @@ sc AS (
 def bm25_scores(spark, sf_dir):
     """L3 J16."""
     docs = table(spark, sf_dir, "documents")
-    return lexical.bm25(lexical.phrase_hits(lexical.postings(docs), phrase_table(spark)), lexical.lengths(docs))
+    return lexical.bm25(lexical.matched(docs, phrase_table(spark)), lexical.counted(docs))
 
 
 @query(BM25_SQL + ", need AS (SELECT query, count(*) AS need FROM p GROUP BY ALL) SELECT query, doc_id, score, rank FROM (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score, doc_id) AS rank FROM sc JOIN need USING (query) WHERE n_terms = need) WHERE rank <= 20")
@@ -273,7 +200,33 @@ def boolean_and(spark, sf_dir):
     """L4 T4 F27."""
     docs = table(spark, sf_dir, "documents")
     listed = phrase_table(spark).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "phrase"))).getField("phrase").alias("phrases"))
-    return lexical.search(lexical.postings(docs), lexical.lengths(docs), listed)
+    return lexical.search(docs, listed)
+
+
+@query(PHRASE_SQL + " SELECT * FROM h")
+def indexed_phrase(spark, sf_dir):
+    """Phrase over an index that is written first and of which only the folders of the phrases' tokens are read."""
+    at = tables.new_folder(spark, "lexical-index")
+    lexical.write_index(table(spark, sf_dir, "documents"), at)
+    index, _ = lexical.read_index(spark, at, phrase_table(spark))
+    return lexical.phrase_hits(index, phrase_table(spark))
+
+
+WORDS_OF = "list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda w: length(w) > {}), lambda w: lower(w))"
+
+
+@query(
+    POSTINGS_SQL
+    + f""", q AS (SELECT item_id AS question, list_distinct({WORDS_OF.format(2)}[1:3]) AS ws FROM benchmark),
+k AS (SELECT doc_id, list_distinct(w) AS w FROM t)
+SELECT question, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN k ON list_has_all(k.w, q.ws) WHERE len(ws) > 0 GROUP BY question"""
+)
+def general_search(spark, sf_dir):
+    """The documents that have the first three words of each item."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), lexical.general_queries(F.array("text")).alias("queries"))
+    docs = table(spark, sf_dir, "documents")
+    hits = lexical.searched(docs, asked, docs.count())
+    return hits.groupBy("question").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 # ---------------------------------------------------------------- results and ingest
@@ -468,17 +421,8 @@ def resolve_urls(spark, sf_dir):
     return references.resolve(values(spark, refs, "org string, code string"), values(spark, listing, "folder_url string, pos int, link string"))
 
 
-@query("WITH RECURSIVE c AS (SELECT doc_id AS a, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS b FROM documents), r(code, level) AS (SELECT 0::BIGINT, 0 UNION SELECT b, level + 1 FROM r JOIN c ON r.code = c.a WHERE level < 12) SELECT 'D' AS org, code::VARCHAR AS code, min(level) AS level FROM r GROUP BY ALL")
-def crawl_closure(spark, sf_dir):
-    """The first thirteen levels from document 0 along a citation rule."""
-    d = table(spark, sf_dir, "documents")
-    n = d.count()
-    cites = d.select(F.lit("D").alias("org"), F.col("doc_id").cast("string").alias("code"), F.lit("D").alias("to_org"), ((F.col("doc_id") * 7 + 3) % n).cast("string").alias("to_code"))
-    return references.crawl(values(spark, [("D", "0")], "org string, code string"), cites, 13)
-
-
 @query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), c AS (SELECT doc_id AS a, unnest([2 * doc_id + 1, 2 * doc_id + 2]) AS b FROM documents), r(code, level) AS (SELECT 0::BIGINT, 0 UNION SELECT b, level + 1 FROM r JOIN c ON r.code = c.a, n WHERE b < n) SELECT 'D' AS org, code::VARCHAR AS code, min(level) AS level FROM r GROUP BY ALL")
-def crawl_closure_all(spark, sf_dir):
+def crawl_closure(spark, sf_dir):
     """The full closure from document 0 where document a cites 2a + 1 and 2a + 2, as far as they are there."""
     d = table(spark, sf_dir, "documents")
     to = F.explode(F.array(F.col("doc_id") * 2 + 1, F.col("doc_id") * 2 + 2))
@@ -525,64 +469,48 @@ def predicate_counts(spark, sf_dir):
 
 # ---------------------------------------------------------------- evidence
 
-WORDS_SQL = r"list_distinct(list_filter(regexp_extract_all(lower({}), '([a-z]+)', 1), lambda x: x <> ''))"
+STOPPED = ", ".join(map(quoted, rules.STOP_WORDS))
+WORDS_SQL = f"list_distinct(list_filter(list_transform(list_concat(regexp_extract_all({{0}}, '{rules.WORD}'), regexp_extract_all({{0}}, '{rules.SLASHED}', 1), regexp_extract_all({{0}}, '{rules.SLASHED}', 2), regexp_extract_all({{0}}, '{rules.SLASHED}')), lambda w: lower(w)), lambda w: w NOT IN ({STOPPED})))"
 SENTENCE_SQL = r"""
 WITH s AS (
   SELECT doc_id, trim(unnest(p)) AS sentence, generate_subscripts(p, 1) - 1 AS seq
-  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS p FROM documents WHERE doc_id % 20 = 0)
-), q AS (SELECT item_id, text FROM benchmark WHERE item_id < 5),
-f AS (SELECT item_id AS question, doc_id, seq, sentence, len(list_intersect(""" + WORDS_SQL.format("sentence") + ", " + WORDS_SQL.format("q.text") + r""")) AS common FROM s, q WHERE sentence <> '')"""
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS p FROM documents)
+), w AS (SELECT *, """ + WORDS_SQL.format("sentence") + " AS sw FROM s WHERE sentence <> ''), q AS (SELECT item_id AS question, " + WORDS_SQL.format("text") + """ AS qw FROM benchmark),
+f AS (SELECT question, doc_id, seq, sentence, len(list_intersect(sw, qw)) AS common FROM w, q)"""
 
 
-def ascii_words(x):
-    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("([a-z]+)"), F.lit(1)))
-
-
-def scored_sentences(spark, sf_dir):
-    """Five questions, a stated set, against the sentences of every twentieth document (a stated set too)."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0").select("doc_id", F.posexplode(evidence.sentences(F.col("text"))).alias("seq", "sentence"))
-    q = table(spark, sf_dir, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("question"), ascii_words(F.col("text")).alias("qw"))
-    common = evidence.overlap(ascii_words(F.col("sentence")), F.col("qw"))
-    return d.crossJoin(F.broadcast(q)).select("question", "doc_id", "seq", "sentence", common.alias("common"))  # five rows
+def all_sentences(spark, sf_dir):
+    """The sentences of all documents, and all items of the benchmark as questions."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(evidence.sentences(F.col("text"))).alias("seq", "sentence"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), evidence.words(F.col("text")).alias("words"))
+    return d.withColumn("words", evidence.words(F.col("sentence"))), q
 
 
 @query(SENTENCE_SQL + " SELECT question, doc_id, count(*) AS n, sum(common)::BIGINT AS common, round(max(1.5 * least(common, 6) + 2.5), 6)::DOUBLE AS best FROM f GROUP BY ALL")
 def sentence_score(spark, sf_dir):
-    """Q3 Q4 Q5 D9."""
-    s = scored_sentences(spark, sf_dir).withColumn("score", evidence.sentence_score(F.col("common"), F.lit(0), F.lit(0.0)))
-    return s.groupBy("question", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("common").alias("common"), F.round(F.max("score"), 6).alias("best"))
+    """Every item and document, so a row for each pair: the items are the stated queries, searched in blocks."""
+    return evidence.document_scores(*all_sentences(spark, sf_dir))
 
 
 @query(SENTENCE_SQL + r""", b AS (SELECT question, lower(trim(regexp_replace(sentence, '\s+', ' ', 'g'))) AS k, max(1.5 * least(common, 6))::DOUBLE AS score FROM f GROUP BY ALL)
 SELECT question, score, rank FROM (SELECT question, score, row_number() OVER (PARTITION BY question ORDER BY score DESC) AS rank FROM b) WHERE rank <= 3""")
 def supporting_facts(spark, sf_dir):
-    """D12."""
-    s = scored_sentences(spark, sf_dir).withColumn("score", 1.5 * F.least("common", F.lit(6))).withColumn("place", F.struct("doc_id", "seq"))
+    """The best sentences of all documents for every item."""
+    s = evidence.best_sentences(*all_sentences(spark, sf_dir)).withColumn("score", 1.5 * F.col("common")).withColumn("place", F.struct("doc_id", "seq"))
     return evidence.supporting_facts(s, seq="place").select("question", "score", "rank")
 
 
-ALL_SENTENCES_SQL = SENTENCE_SQL.replace(" WHERE doc_id % 20 = 0", "").replace(" WHERE item_id < 5", "")
-
-
-def all_sentences(spark, sf_dir):
-    """The sentences of all documents, and all items of the benchmark as questions."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(evidence.sentences(F.col("text"))).alias("seq", "sentence"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), ascii_words(F.col("text")).alias("words"))
-    return d.withColumn("words", ascii_words(F.col("sentence"))), q
-
-
-@query(ALL_SENTENCES_SQL + " SELECT question, doc_id, count(*) AS n, sum(common)::BIGINT AS common, round(max(1.5 * least(common, 6) + 2.5), 6)::DOUBLE AS best FROM f GROUP BY ALL")
-def sentence_score_all(spark, sf_dir):
-    """sentence_score over all documents and all items."""
-    return evidence.document_scores(*all_sentences(spark, sf_dir))
+CUED = " ".join(f"WHEN {i} THEN CASE WHEN " + " OR ".join(f"contains(lower(sentence), {quoted(x)})" for x in parts) + f" THEN {n} ELSE 0 END" for i, (parts, n) in enumerate(rules.SENTENCE_CUES.values()))
 
 
-@query(ALL_SENTENCES_SQL + r""", b AS (SELECT question, lower(trim(regexp_replace(sentence, '\s+', ' ', 'g'))) AS k, max(1.5 * least(common, 6))::DOUBLE AS score FROM f GROUP BY ALL)
-SELECT question, score, rank FROM (SELECT question, score, row_number() OVER (PARTITION BY question ORDER BY score DESC) AS rank FROM b) WHERE rank <= 3""")
-def supporting_facts_all(spark, sf_dir):
-    """supporting_facts over all documents and all items."""
-    s = evidence.best_sentences(*all_sentences(spark, sf_dir)).withColumn("score", 1.5 * F.col("common")).withColumn("place", F.struct("doc_id", "seq"))
-    return evidence.supporting_facts(s, seq="place").select("question", "score", "rank")
+@query(SENTENCE_SQL.split(", w AS")[0] + f" SELECT doc_id, seq::INTEGER AS seq, (CASE doc_id % {len(rules.SENTENCE_CUES)} {CUED} END)::DOUBLE AS cue FROM (SELECT doc_id, seq, sentence || CASE seq % 3 WHEN 0 THEN ' The reference point of this function.' WHEN 1 THEN ' a Request message in the System ' ELSE '' END AS sentence FROM s WHERE sentence <> '')")
+def sentence_cues(spark, sf_dir):
+    """Q5: what a sentence's words add for each answer type, over all sentences of all documents (with some words of the rules put behind)."""
+    names = list(rules.SENTENCE_CUES)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.transform(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x))).alias("seq", "sentence")).filter("sentence <> ''")
+    more = F.when(F.col("seq") % 3 == 0, " The reference point of this function.").when(F.col("seq") % 3 == 1, " a Request message in the System ").otherwise("")
+    kind = F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % len(names) + 1).cast("int"))
+    return d.select("doc_id", "seq", evidence.cue(kind, F.concat("sentence", more)).alias("cue"))
 
 
 MENTIONS = [(1, "a", 1, 2.0, False), (1, "a", 2, 5.0, True), (1, "a", 3, 1.0, False), (1, "b", 1, 6.0, False), (2, "c", 1, 8.5, True), (2, "d", 4, 7.0, True), (3, "e", 2, 4.5, True), (3, "f", 1, 4.4, True)]
@@ -595,10 +523,25 @@ def candidate_fold(spark, sf_dir):
     return evidence.folded_scores(values(spark, MENTIONS, "question int, candidate string, seq int, score double, strong boolean"))
 
 
-@query(FOLD + ", t AS (SELECT a.question, a.candidate AS primary_answer, a.score, a.strong, round(a.score - coalesce(b.score, 0), 4) AS margin FROM k a LEFT JOIN k b ON a.question = b.question AND b.rank = 2 WHERE a.rank = 1) SELECT question, primary_answer, CASE WHEN score >= 7 AND margin >= 1 AND strong THEN 'high' WHEN score >= 4 AND strong THEN 'medium' ELSE 'low' END AS confidence, margin FROM t")
+#: The documents of a source are the mentions of a question's candidates, their languages: of five types, in order of doc_id.
+ALL_MENTIONS = """WITH m AS (SELECT source AS question, lang AS candidate, doc_id AS seq, round(length(text) % 97 / 10.0, 4)::DOUBLE AS score, doc_id % 3 = 0 AS strong FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+l AS (SELECT question, candidate, list(score ORDER BY seq) AS s, bool_or(strong) AS strong, min(seq) AS seq FROM m GROUP BY ALL),
+r AS (SELECT question, candidate, round(list_reduce(s, lambda a, x: greatest(a, x) + 0.75), 4) AS score, len(s)::INTEGER AS occurrences, strong, seq FROM l),
+k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, occurrences DESC, seq, candidate) AS rank, CASE WHEN length(question) % 2 = 0 THEN 'PROSEDÜR' ELSE 'STANDART / DOKÜMAN' END AS answer_type FROM r)"""
+
+
+@query(
+    ALL_MENTIONS
+    + """, t AS (SELECT a.question, a.candidate, a.score, a.strong OR a.answer_type = 'PROSEDÜR' AS sure, a.answer_type, a.occurrences, b.occurrences AS others, round(a.score - coalesce(b.score, 0), 4) AS margin FROM k a LEFT JOIN k b ON a.question = b.question AND b.rank = 2 WHERE a.rank = 1),
+c AS (SELECT *, CASE WHEN score >= 7 AND (margin >= 1 OR answer_type = 'STANDART / DOKÜMAN' AND abs(margin) < 0.001 AND occurrences >= coalesce(others, 0) + 2) AND sure THEN 'high' WHEN score >= 4 AND sure THEN 'medium' ELSE 'low' END AS confidence FROM t)
+SELECT question, CASE WHEN confidence = 'low' THEN '' ELSE candidate END AS primary_answer, confidence, margin FROM c"""
+)
 def answer_confidence(spark, sf_dir):
-    """Q9 W6."""
-    return evidence.confidence(candidate_fold(spark, sf_dir))
+    """Q9 W6 A4 T3 over all documents: a source's candidates are its documents' languages."""
+    d = table(spark, sf_dir, "documents").filter("source is not null and lang is not null")
+    m = d.select(F.col("source").alias("question"), F.col("lang").alias("candidate"), F.col("doc_id").alias("seq"), F.round(F.length("text") % 97 / 10.0, 4).alias("score"), (F.col("doc_id") % 3 == 0).alias("strong"))
+    kind = F.when(F.length("question") % 2 == 0, "PROSEDÜR").otherwise("STANDART / DOKÜMAN")
+    return evidence.confidence(evidence.folded_scores(m).withColumn("answer_type", kind))
 
 
 GUARD = [

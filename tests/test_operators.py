@@ -70,11 +70,10 @@ def test_fusion_fixture(spark):
 
 
 def test_knn_blocks_and_nulls(spark, monkeypatch):
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
     rows = [(i, [float(i % 5), 1.0]) for i in range(20)] + [(99, None), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
     q = df.filter("chunk_id < 5").withColumnRenamed("chunk_id", "variant")
-    got = vector.knn(q, df, k=4).collect()
+    got = vector.knn(q, df, k=4, query_bytes=32).collect()
     assert len(got) == 20 and {(r.variant, r.chunk_id) for r in got if r["rank"] == 1} == {(i, i) for i in range(5)}
 
 
@@ -102,7 +101,7 @@ def test_numbered_sections(spark):
 @given(st.text(alphabet="ab. \n", max_size=900), st.text(alphabet="t", max_size=10))
 def test_split_text_properties(text, title):
     parts = chunking.split_text(title, text, 100, 20)
-    assert all(len(p) <= 101 for p in parts)
+    assert all(len(p) <= 100 for p in parts)
     joined = " ".join(parts)
     assert all(w in joined for w in set(text.split()) if len(w) < 20)
 
@@ -118,10 +117,65 @@ def test_phrases_and_boolean_queries(spark):
     index = lexical.postings(docs)
     hits = lexical.phrase_hits(index, spark.createDataFrame([(1, 0, "quick brown")], "query int, phrase_no int, phrase string")).collect()
     assert {(r.doc_id, r.tf) for r in hits} == {(1, 1), (4, 2)}
-    got = lexical.search(index, lexical.lengths(docs), spark.createDataFrame([(1, ["fox", "quick brown"])], "query int, phrases array<string>")).collect()
+    assert {(r.doc_id, r.tf, r.len) for r in lexical.matched(docs, spark.createDataFrame([(1, 0, "quick brown")], "query int, phrase_no int, phrase string")).collect()} == {(1, 1, 4), (4, 2, 4)}
+    got = lexical.search(docs, spark.createDataFrame([(1, ["fox", "quick brown"])], "query int, phrases array<string>")).collect()
     assert [r.doc_id for r in got] == [1]
 
 
+def test_written_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (4, "Quick BROWN quick brown")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, 0, "quick brown")], "query int, phrase_no int, phrase string")
+    assert lexical.read_index(spark, str(tmp_path / "none"))[0].count() == 0
+    lexical.write_index(docs, str(tmp_path / "index"))
+    index, lengths = lexical.read_index(spark, str(tmp_path / "index"), asked)
+    assert {(r.doc_id, r.tf) for r in lexical.phrase_hits(index, asked).collect()} == {(1, 1), (4, 2)}
+    assert index.select("token").distinct().count() < 5 and lengths.agg(F.sum("len")).first()[0] == 8
+
+
+def test_second_search_words(spark):
+    df = spark.createDataFrame([(["This document defines HTTP/3", "the protocol overview of a", "a b", ""],)], "p array<string>")
+    got = df.select(lexical.document_queries(F.col("p")).alias("d"), lexical.general_queries(F.col("p")).alias("g")).first()
+    assert got.d == [["HTTP/3"], ["of"]] and got.g == [["This", "document", "defines"], ["the", "protocol", "overview"]]
+
+
+def plain_parts(title, body, most, overlap):
+    """The rule of the long text splitter, character by character."""
+    title, body = title.strip(), body.strip()
+    lead = title + "\n" if title else ""
+    if not body:
+        return [title] if title else []
+    if len(lead + body) <= most:
+        return [lead + body]
+    room = most - len(lead)
+    room = most if room <= 0 else room
+    parts, a = [], 0
+    while True:
+        b = min(a + room, len(body))
+        if b < len(body):
+            half = [k for k in range(a + room // 2, b)]
+            lines = [k for k in half if body[k] == "\n"]
+            stops = [k + 1 for k in half if body[k : k + 2] == ". " and k + 2 <= b]
+            spaces = [k for k in half if body[k] == " "]
+            for found in (lines, stops, spaces):
+                if found and found[-1] > a:
+                    b = found[-1]
+                    break
+        if body[a:b].strip():
+            parts.append(lead + body[a:b].strip())
+        if b >= len(body):
+            return parts
+        c = max(0, b - overlap)
+        if c:
+            c = next((k + 1 for k in range(c, b) if body[k] == " "), c)
+        a = c if c > a else b
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=600), st.text(alphabet="t ", max_size=60))
+def test_split_text_equals_the_plain_rule(text, title):
+    assert chunking.split_text(title, text, 50, 10) == plain_parts(title, text, 50, 10)
+
+
 def test_crawl_stops_on_cycles(spark):
     cites = spark.createDataFrame([("D", a, "D", b) for a, b in (("1", "2"), ("2", "3"), ("3", "1"), ("4", "5"))], "org string, code string, to_org string, to_code string")
     got = references.crawl(spark.createDataFrame([("D", "1")], "org string, code string"), cites).collect()
