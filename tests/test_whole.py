@@ -1,13 +1,9 @@
 """Queries and operators do the whole job: all rows are searched, for all that is asked."""
 
 import inspect
-import random
-import re
-from dataclasses import replace
 
 import numpy as np
 
-from sourcegrove.llm import html_extract, license_scan
 from sourcegrove.operators import evidence, references, vector
 from sourcegrove.plans import queries
 
@@ -21,80 +17,24 @@ def test_facts_of_all_documents(spark, tmp_path, monkeypatch):
     items = [(i, None if i == 2 else f"item number {i}") for i in range(7)] + [(7, "blue fox jumps over seven lazy dogs")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    facts = queries.supporting_facts_all(spark, str(tmp_path)).collect()
+    facts = queries.supporting_facts(spark, str(tmp_path)).collect()
     assert [r.score for r in sorted(facts, key=lambda r: r.rank) if r.question == 7] == [9.0, 3.0, 0.0]
     assert {r.question for r in facts} == set(range(8)) and len(facts) == 24
-    scores = {(r.question, r.doc_id): (r.n, r.common, r.best) for r in queries.sentence_score_all(spark, str(tmp_path)).collect()}
+    scores = {(r.question, r.doc_id): (r.n, r.common, r.best) for r in queries.sentence_score(spark, str(tmp_path)).collect()}
     assert len(scores) == 8 * 39
-    assert scores[7, 7] == (2, 14, 11.5) and scores[7, 13] == (1, 2, 5.5) and scores[2, 7] == (2, 0, 2.5)
-
-
-def test_template_inside_and_outside_articles():
-    rng = random.Random(5)
-    pages = []
-    for i in range(9):
-        body = [" ".join(rng.choice("alpha beta gamma delta share this story to river stone cloud".split()) for _ in range(30)) + f" {i}" for _ in range(3)]
-        html = f"<body><p>welcome to our site</p><article><h1>title {i}</h1><p>{body[0]}</p><p>share this story, or mail this to us</p><p>{body[1]}</p></article><p>{body[2]}</p><p>all rights are ours</p></body>"
-        pages.append((f"title {i}\n" + "\n".join(body), html_extract.read_page(html)))
-    words = html_extract.template_words([p for _, p in pages])
-    assert [html_extract.main_text(p, words) for _, p in pages] == [want for want, _ in pages]
-
-
-def test_articles_that_are_copies_stay():
-    pages = [html_extract.read_page(f"<body><p>welcome to our site</p><article><p>one and the same long text on every page</p></article><p>see page number {i}</p></body>") for i in range(6)]
-    words = html_extract.template_words(pages)
-    assert html_extract.main_text(pages[2], words) == "one and the same long text on every page\nsee page number 2"
-
-
-def test_a_teaser_does_not_bound_a_lone_page():
-    page = html_extract.read_page("<body><article>short teaser</article><p>the long text of the page is here, outside of it</p></body>")
-    assert html_extract.main_text(page, set()) == "short teaser\nthe long text of the page is here, outside of it"
-
-
-def spelled(pattern) -> set[str]:
-    """What a small pattern matches: every alternative, optional parts with and without."""
-    outs = {""}
-    for op, arg in pattern:
-        match str(op):
-            case "LITERAL":
-                part = {chr(arg)}
-            case "IN":
-                part = {chr(x) if str(o) == "LITERAL" else "1" if str(x) == "CATEGORY_DIGIT" else "w" if str(o) == "CATEGORY" else chr(x[0]) for o, x in arg}
-            case "MAX_REPEAT":
-                part = spelled(arg[2]) | ({""} if arg[0] == 0 else set())
-            case "BRANCH":
-                part = set().union(*(spelled(x) for x in arg[1]))
-            case "SUBPATTERN":
-                part = spelled(arg[3])
-        outs = {a + b for a in outs for b in part}
-    return outs
-
-
-def test_license_gate_drops_nothing(monkeypatch):
-    parse = re._parser.parse
-    names = sorted({n for _, _, name in license_scan.FAMILIES for n in spelled(parse(name))})
-    wordings = [sorted(spelled(parse(w.format("Q")))) for _, _, w in license_scan.WORDINGS]
-    texts = [w[0].replace("Q", n) for n in names for w in wordings] + [x.replace("Q", n) for w in wordings for x in w for n in ("expat", "internet systems consortium", "gpl 3")]
-    gated = license_scan.Scanner()
-    got = [gated.scan(t.replace(" ", gap).encode()) for t in texts for gap in (" ", "\n", "  ")]
-    monkeypatch.setattr(license_scan, "GATE", (b"a", b"e", b"i", b"o", b"u"))
-    every = license_scan.Scanner([replace(r, keyword=b" ") for r in license_scan.rules()])
-    assert got == [x for t in texts for x in [every.scan(t.encode())] * 3]
-    labels = {t: {x[2] for x in gated.scan(t.encode())[1]} for t in ("Released under the Expat License", "Internet Systems Consortium license", "subject\nto GPL 3")}
-    assert list(labels.values()) == [{"mit"}, {"isc"}, {"gpl-3"}]
+    assert scores[7, 7] == (2, 12, 11.5) and scores[7, 13] == (1, 2, 5.5) and scores[2, 7] == (2, 0, 2.5)
 
 
 def test_all_stated_vectors_are_queries(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 10)
     monkeypatch.setattr(vector, "QUERY_ROWS", 3)
     e = [(r.vec_id, np.array(r.embedding, float)) for r in queries.table(spark, sf_dir, "embeddings").collect()]
     asked = [x for x in e if x[0] % 20 == 0]
-    got = {(r.variant, r["rank"]): r.chunk_id for r in queries.knn_topk_all(spark, sf_dir).collect()}
+    got = {(r.variant, r["rank"]): r.chunk_id for r in queries.knn_topk(spark, sf_dir).collect()}
     assert len(asked) > 20 and len(got) == 35 * len(asked)
     for q, v in asked:
         near = sorted((round(float(((v - x) ** 2).sum()), 9), c) for c, x in e)
         assert [got[q, k] for k in range(1, 36)] == [c for _, c in near[:35]]
-    assert {r.question for r in queries.coverage_select_all(spark, sf_dir).collect()} == {q // 80 for q, _ in asked}
+    assert {r.question for r in queries.coverage_select(spark, sf_dir).collect()} == {q // 80 for q, _ in asked}
 
 
 def test_crawl_ends_only_on_an_empty_frontier(spark, sf_dir):
@@ -104,4 +44,4 @@ def test_crawl_ends_only_on_an_empty_frontier(spark, sf_dir):
     assert {(r.code, r.level) for r in references.crawl(seeds, cites).collect()} == {(str(i), i) for i in range(20)}
     assert references.crawl(seeds, cites, 13).count() == 13
     n = queries.table(spark, sf_dir, "documents").count()
-    assert {int(r.code): r.level for r in queries.crawl_closure_all(spark, sf_dir).collect()} == {i: (i + 1).bit_length() - 1 for i in range(n)}
+    assert {int(r.code): r.level for r in queries.crawl_closure(spark, sf_dir).collect()} == {i: (i + 1).bit_length() - 1 for i in range(n)}
