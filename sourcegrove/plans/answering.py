@@ -142,11 +142,11 @@ def answer_sources(answers: DataFrame, hits: DataFrame, chunks: DataFrame, score
     own = own.withColumn("n", F.row_number().over(Window.partitionBy("question").orderBy("chunk_id"))).filter(F.col("n") <= pool).select(columns)
     own = results.first_of_key(own, key, "chunk_id", within=("question",)).withColumn("quality", gates.source_quality(F.col("clause_title"), F.col("text")))
     per = Window.partitionBy("question")
-    own = own.withColumn("best", F.max("quality").over(per)).filter("quality > 0 or best <= 0").drop("best")
+    own = tables.written(own.withColumn("best", F.max("quality").over(per)).filter("quality > 0 or best <= 0").drop("best"), "own-sources")
     order = reranked(own.select("question", "chunk_id", "text", F.array("q").alias("variants")), scorer, top_k=most).select("question", "chunk_id", F.col("position").alias("n"))
     hydrated = own.join(order, ["question", "chunk_id"]).withColumn("position", F.row_number().over(per.orderBy(F.desc("quality"), "n"))).withColumn("route", F.lit(0))
 
-    each = hits.withColumn("question", F.col("question").cast("long")).join(named, "question")
+    each = hits.select(F.col("question").cast("long").alias("question"), "rank", "chunk_id", "org", "code", "clause", "clause_title", "text", "source_url").join(named, "question")
     same = (folded(F.col("org")) == folded(F.col("d.org"))) & (folded(F.col("code")) == folded(F.col("d.code")))
     direct = results.first_of_key(each.filter(F.coalesce(same, F.lit(False))), key, "rank", within=("question",)).withColumn("route", F.lit(1))
     low = F.lower(F.coalesce("text", F.lit("")))

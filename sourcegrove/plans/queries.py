@@ -449,10 +449,32 @@ def answer_type(spark, sf_dir):
     return questions.understand(question_table(spark))
 
 
-@query("SELECT id, CASE WHEN id = 8 THEN 'IETF' WHEN id = 9 THEN '3GPP' WHEN id = 10 THEN 'ETSI' END AS org, CASE WHEN id = 8 THEN '9110' WHEN id = 9 THEN 'TS 23.502' WHEN id = 10 THEN 'TS 123 041' END AS code FROM " + values_sql([(i,) for i, _ in QUESTIONS], "id"))
+#: A question for each document, with a document's name in one of several spellings, and the document's source.
+ASKED_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'What does RFC ' || (1000 + doc_id % 9000) || ' say' WHEN 1 THEN '3gpp ts 23.' || (100 + doc_id % 900) || ' in short' WHEN 2 THEN 'ETSI TS 1' || (10 + doc_id % 90) || ' ' || (100 + doc_id % 900) || ' scope'
+  WHEN 3 THEN 'is tr 38-' || (100 + doc_id % 900) || ' or TS 1' WHEN 4 THEN 'RFC12 and rfc-' || (100 + doc_id % 900) ELSE 'nothing named ' END || ' ' || coalesce(source, '') AS question FROM documents"""
+
+
+def asked_documents(spark, sf_dir):
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    parts = [
+        F.concat(F.lit("What does RFC "), 1000 + n % 9000, F.lit(" say")), F.concat(F.lit("3gpp ts 23."), 100 + n % 900, F.lit(" in short")), F.concat(F.lit("ETSI TS 1"), 10 + n % 90, F.lit(" "), 100 + n % 900, F.lit(" scope")),
+        F.concat(F.lit("is tr 38-"), 100 + n % 900, F.lit(" or TS 1")), F.concat(F.lit("RFC12 and rfc-"), 100 + n % 900), F.lit("nothing named "),
+    ]
+    said = F.when(n % 6 == 0, parts[0])
+    for k, x in enumerate(parts[1:], 1):
+        said = said.when(n % 6 == k, x)
+    return d.select("doc_id", F.concat(said, F.lit(" "), F.coalesce("source", F.lit(""))).alias("question"))
+
+
+@query(
+    f"""WITH q AS ({ASKED_SQL}), m AS (SELECT doc_id, regexp_extract(question, '(?i)\\bRFC\\s*[-:]?\\s*(\\d{{3,5}})\\b', 1) AS rfc,
+  regexp_extract(question, '(?i)\\b(3GPP|ETSI)\\s+(TS|TR)\\s+(\\d{{2,3}})\\s*([.\\-_ ]?)\\s*(\\d{{3}})\\b', ['o', 'k', 'a', 's', 'b']) AS n, regexp_extract(question, '(?i)\\b(TS|TR)\\s+(\\d{{2}})\\s*[.\\-_ ]\\s*(\\d{{3}})\\b', ['k', 'a', 'b']) AS p FROM q)
+SELECT doc_id, CASE WHEN rfc <> '' THEN 'IETF' WHEN n.o <> '' THEN upper(n.o) WHEN p.k <> '' THEN '3GPP' END AS org,
+  CASE WHEN rfc <> '' THEN rfc WHEN n.o <> '' THEN upper(n.k) || ' ' || n.a || CASE WHEN upper(n.o) = '3GPP' OR n.s = '.' THEN '.' ELSE ' ' END || n.b WHEN p.k <> '' THEN upper(p.k) || ' ' || p.a || '.' || p.b END AS code FROM m"""
+)
 def doc_constraint(spark, sf_dir):
-    """F4 F5."""
-    return question_table(spark).select("id", questions.document_constraint(F.col("question")).alias("d")).select("id", "d.org", "d.code")
+    """Over a question for each document."""
+    return asked_documents(spark, sf_dir).select("doc_id", questions.document_constraint(F.col("question")).alias("d")).select("doc_id", "d.org", "d.code")
 
 
 @query()
@@ -557,32 +579,86 @@ def answer_guard(spark, sf_dir):
     return g.select("id", guard.validated(F.col("question"), F.col("reply"), F.col("evidence")).alias("v")).select("id", "v.valid", F.array_join("v.unsupported_claims", ",").alias("claims"), F.array_join("v.evidence_terms", ",").alias("terms"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, false)) t(question, usable)")
+@query(
+    """WITH h AS (SELECT doc_id // 4 AS question, lower(text || ' ' || coalesce(lang, '') || ' ' || coalesce(source, '') || ' ' || t) AS hay, t, doc_id // 4 % 3 = 0 AS free, source = 'src' || (doc_id // 4 % 7) AS same, doc_id // 4 % 2 = 0 AS anyway FROM (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'References' WHEN 1 THEN 'Scope' ELSE 'Foreword' END AS t FROM documents))
+SELECT question, coalesce(max(CASE WHEN t = 'Scope' THEN (free OR coalesce(same, false))::INTEGER END) = 1 AND max(CASE WHEN t = 'Scope' THEN (anyway OR contains(hay, 'qu') OR contains(hay, 'en'))::INTEGER END) = 1, false) AS usable FROM h GROUP BY question"""
+)
 def evidence_gate(spark, sf_dir):
-    """Right document and anchor; wrong document; only a reference list."""
-    rows = [(1, "UE registers", "3GPP", "TS 23.501", "Scope", ["ue"], ("3GPP", "ts  23.501")), (2, "UE registers", "3GPP", "TS 23.502", "Scope", ["ue"], ("3GPP", "TS 23.501")), (3, "UE", "3GPP", "TS 23.501", "References", ["ue"], None)]
-    return results.usable_evidence(values(spark, rows, "question int, text string, org string, code string, clause_title string, anchors array<string>, document struct<org:string,code:string>"))
+    """Four documents are the hits of a question; some questions name a document, some have anchors."""
+    d = table(spark, sf_dir, "documents").withColumn("question", F.expr("doc_id div 4"))
+    title = F.when(F.col("doc_id") % 3 == 0, "References").when(F.col("doc_id") % 3 == 1, "Scope").otherwise("Foreword")
+    named = F.when(F.col("question") % 3 != 0, F.struct(F.coalesce("lang", F.lit("")).alias("org"), F.concat(F.lit("SRC"), F.col("question") % 7).alias("code")))
+    anchors = F.when(F.col("question") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("qu"), F.lit("en")))
+    hits = d.select("question", "text", F.coalesce("lang", F.lit("")).alias("org"), F.coalesce("source", F.lit("")).alias("code"), title.alias("clause_title"), anchors.alias("anchors"), named.alias("document"))
+    return results.usable_evidence(hits)
 
 
-CASES = [
-    (1, "Cevap: RFC 9000 QUIC", [("9000", "1")], "9000", "1", [["rfc 9000"], ["quic", "tcp"]], [["http"]], False),
-    (2, "HTTP kullanır", [("9110", "2")], "9000", None, [["http"]], [["http"]], False),
-    (3, "Bilgi bulunamadı", [], None, None, None, None, True),
-]
+#: An evaluation case for each document: its text is the reply, its source the document that is expected.
+CASE_SQL = f"""SELECT doc_id AS id, {FOLD_SQL.format('text')} AS r, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'src' || (doc_id % 3) END AS doc, CASE WHEN doc_id % 2 = 0 THEN 'en' END AS clause, source, lang, doc_id % 4 = 0 AS none, doc_id % 9 = 0 AS silent FROM documents"""
+
 
+def evaluation_cases(spark, sf_dir):
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    groups = lambda *g: F.array(*[F.array(*map(F.lit, x)) for x in g])
+    return d.select(
+        n.alias("id"), F.col("text").alias("reply"), F.when(n % 4 == 0, F.array().cast("array<struct<code:string,clause:string>>")).otherwise(F.array(F.struct(F.col("source").alias("code"), F.col("lang").alias("clause")))).alias("sources"),
+        F.when(n % 5 != 0, F.concat(F.lit("src"), n % 3)).alias("expected_document"), F.when(n % 2 == 0, "en").alias("expected_clause"), groups(["th", "xq"], ["An"]).alias("required_fact_groups"), groups(["zz", "ou  e"]).alias("forbidden_claim_groups"), (n % 9 == 0).alias("should_abstain"),
+    )
 
-@query("SELECT * FROM (VALUES (1, true, true, true, true, true), (2, false, true, false, true, false), (3, true, true, true, true, true)) t(id, source_ok, facts_ok, forbidden_ok, abstain_ok, passed)")
+
+CHECKED_SQL = f"""WITH c AS ({CASE_SQL}), k AS (SELECT id, doc IS NULL OR NOT none AND coalesce(source = doc AND (clause IS NULL OR coalesce(lang = clause, false)), false) AS source_ok,
+  (contains(r, 'th') OR contains(r, 'xq')) AND contains(r, 'an') AS facts_ok, NOT (contains(r, 'zz') OR contains(r, 'ou e')) AS forbidden_ok, NOT silent OR none AND contains(r, 'bulunamad') AS abstain_ok FROM c)
+SELECT *, source_ok AND facts_ok AND forbidden_ok AND abstain_ok AS passed FROM k"""
+
+
+@query(CHECKED_SQL)
 def eval_checks(spark, sf_dir):
-    """Q16 J15."""
-    return evidence.evaluated(values(spark, CASES, "id int, reply string, sources array<struct<code:string,clause:string>>, expected_document string, expected_clause string, required_fact_groups array<array<string>>, forbidden_claim_groups array<array<string>>, should_abstain boolean"))
+    """Over a case for each document."""
+    return evidence.evaluated(evaluation_cases(spark, sf_dir))
 
 
-@query("SELECT 3::BIGINT AS n_cases, 2::BIGINT AS n_passed, 0.666667::DOUBLE AS rate")
+@query(f"SELECT count(*) AS n_cases, count(*) FILTER (passed) AS n_passed, coalesce(round(avg(passed::INTEGER::DOUBLE), 6), 0.0) AS rate FROM ({CHECKED_SQL})")
 def eval_rate(spark, sf_dir):
     """A9."""
     return evidence.pass_rate(eval_checks(spark, sf_dir))
 
 
+@query(
+    """WITH c AS (SELECT CASE WHEN doc_id % 50 = 3 THEN ' ' ELSE (doc_id // 2 * 2 + doc_id % 2 * (doc_id % 10 <> 1)::INTEGER)::VARCHAR END AS id, coalesce(trim(text), '') = '' AS no_question, coalesce(source, '') = '' AS no_category, doc_id FROM documents),
+k AS (SELECT id, list_filter([CASE WHEN id = ' ' THEN 'id is blank' END, CASE WHEN no_category THEN 'category is blank' END, CASE WHEN no_question THEN 'question is blank' END, CASE WHEN doc_id % 7 = 0 THEN 'required_fact_groups is missing' END,
+  CASE WHEN doc_id % 7 = 1 THEN 'required_fact_groups has an empty group' END, CASE WHEN doc_id % 7 = 2 THEN 'required_fact_groups has a blank phrase' END, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'id repeats' END], lambda x: x IS NOT NULL) AS f FROM c)
+SELECT id, array_to_string(f, '; ') AS faults FROM k"""
+)
+def case_faults(spark, sf_dir):
+    """Q17: over a case for each document, some with faults."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    groups = F.when(n % 7 == 1, F.array(F.array(F.lit("a")), F.array().cast("array<string>"))).when(n % 7 == 2, F.array(F.array(F.lit("a"), F.lit(" ")))).when(n % 7 != 0, F.array(F.array(F.lit("a"))))
+    name = F.when(n % 50 == 3, " ").otherwise((F.floor(n / 2) * 2 + n % 2 * (n % 10 != 1).cast("int")).cast("string"))
+    cases = d.select(name.alias("id"), F.col("source").alias("category"), F.col("text").alias("question"), groups.alias("required_fact_groups"), F.array(F.array(F.lit("x"))).alias("forbidden_claim_groups"), F.lit(False).alias("should_abstain"))
+    return evidence.case_faults(cases).select("id", F.array_join("faults", "; ").alias("faults"))
+
+
+@query("SELECT list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)) AS categories FROM documents")
+def case_categories(spark, sf_dir):
+    """A13."""
+    return evidence.categories(table(spark, sf_dir, "documents").select(F.col("source").alias("category")))
+
+
+@query(
+    KNN_SQL
+    + """, r AS (SELECT variant, min(rank) AS rank FROM hits JOIN embeddings e ON e.vec_id = chunk_id WHERE rank <= 10 AND e.label = variant // 20 % 4 AND (variant % 40 = 0 OR e.vec_id % 3 = 1) GROUP BY variant)
+SELECT q.variant AS name, r.rank, CASE WHEN r.rank IS NULL THEN 'missing' WHEN r.rank <= 3 THEN 'good' ELSE 'found' END AS verdict FROM q LEFT JOIN r USING (variant)"""
+)
+def retrieval_ranks(spark, sf_dir):
+    """V7: every stated query expects a label, every other one also a clause."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("code"), (F.col("vec_id") % 3).cast("string").alias("clause"))
+    hits = variant_hits(spark, sf_dir).join(e, "chunk_id").select(F.col("variant").alias("name"), "rank", "code", "clause")
+    asked = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0")
+    clause = F.when(F.col("vec_id") % 40 != 0, F.array(F.lit("1"))).otherwise(F.array().cast("array<string>"))
+    cases = asked.select(F.col("vec_id").alias("name"), F.array(F.expr("cast(vec_id div 20 % 4 as string)")).alias("expected_codes"), clause.alias("expected_clauses"))
+    return answering.found_at(cases, hits)
+
+
 # ---------------------------------------------------------------- conversations
 
 CONV_SQL = r"""SELECT conv_id, CASE WHEN length(q) > 58 THEN q[1:58] || '…' ELSE q END AS title, n_messages, last_turn FROM (
@@ -609,6 +685,18 @@ def conversation_edit(spark, sf_dir):
     return history.appended(history.deleted(c, "conv_id", F.lit(3)), new)
 
 
+@query("SELECT conv_id % 10 AS user, (row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) - 1)::INTEGER AS pos, conv_id::VARCHAR AS id, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id")
+def saved_histories(spark, sf_dir):
+    """The histories of ten users written as JSON and read again, with values that are no histories among them."""
+    c = table(spark, sf_dir, "conversations")
+    told = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["turn"].cast("long").alias("id"), m["role"].alias("role"), m["text"].alias("content")))
+    each = c.groupBy("conv_id").agg(told.alias("messages"), F.max("turn").cast("string").alias("updatedAt"))
+    each = each.select((F.col("conv_id") % 10).alias("user"), F.col("conv_id").alias("pos"), F.col("conv_id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("0").alias("createdAt"), "updatedAt", "messages")
+    odd = values(spark, [(100, "not json"), (101, '{"id": 1}'), (102, None), (103, "[]"), (104, "[1, ")], "user long, value string")
+    got = history.loaded(history.saved(each).unionByName(odd))
+    return got.select("user", "pos", "id", F.size("messages").cast("long").alias("n_messages"), F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"])).alias("n_chars"))
+
+
 # ---------------------------------------------------------------- gates
 
 
@@ -676,31 +764,50 @@ def sentence_window(spark, sf_dir):
     return each.select("item_id", "seq", contexts.neighbours(F.col("s"), F.col("seq")).alias("window_text"))
 
 
-@query("SELECT * FROM (VALUES (1, '3GPP TS 23.501', 2::BIGINT), (1, 'RFC 9000', 1)) t(question, candidate, n)")
+@query(
+    """WITH d AS (SELECT doc_id, doc_id // 8 AS question, CASE WHEN doc_id % 2 = 0 THEN '3GPP TS 23.' ELSE 'RFC ' END || (100 + doc_id % 8 // 2) AS candidate, CASE doc_id % 4 WHEN 0 THEN 'TS 23.10' WHEN 1 THEN 'rfc' WHEN 2 THEN '3gpp ts 23.101' ELSE 'RFC 103' END AS ref FROM documents),
+c AS (SELECT DISTINCT question, candidate FROM d)
+SELECT c.question, candidate, count(*) AS n FROM c JOIN d USING (question) WHERE contains(lower(c.candidate), lower(d.ref)) OR contains(regexp_replace(lower(c.candidate), '^3gpp ', ''), lower(d.ref)) GROUP BY ALL""".replace("SELECT c.question, candidate, count", "SELECT c.question, c.candidate, count")
+)
 def document_mentions(spark, sf_dir):
-    """J9."""
-    refs = values(spark, [(1, "TS 23.501"), (1, "3gpp ts 23"), (1, "rfc 9000"), (2, "RFC 1")], "question int, ref string")
-    return contexts.mentioned(refs, values(spark, [(1, "3GPP TS 23.501"), (1, "RFC 9000"), (2, "TS 1")], "question int, candidate string"))
+    """Eight documents in order name a question's candidates and what its sources refer to."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    each = d.select(F.expr("doc_id div 8").alias("question"), F.concat(F.when(n % 2 == 0, "3GPP TS 23.").otherwise("RFC "), 100 + F.expr("doc_id % 8 div 2")).alias("candidate"), F.when(n % 4 == 0, "TS 23.10").when(n % 4 == 1, "rfc").when(n % 4 == 2, "3gpp ts 23.101").otherwise("RFC 103").alias("ref"))
+    return contexts.mentioned(each.select("question", "ref"), each.select("question", "candidate").distinct())
 
 
-@query("SELECT * FROM (VALUES (1, 'AMF|SMF', 24), (2, 'AMF|RAN', 4), (3, 'UPF', 0)) t(id, ends, score)")
-def endpoint_scores(spark, sf_dir):
-    """J11 D9."""
-    rows = values(spark, [(1, "AMF-SMF", ["SMF", "AMF"]), (2, "NG-RAN / AMF", ["AMF"]), (3, "upf", ["UE"])], "id int, label string, entities array<string>")
-    ends = contexts.endpoints(F.col("label"))
-    return rows.select("id", F.array_join(ends, "|").alias("ends"), contexts.endpoint_score(ends, F.col("entities")).alias("score"))
+ENDS = ["AMF", "gNB", "SMF", "NG-RAN", "UPF", "UE"]
 
 
-SPECS = [
-    (1, "3GPP", "Contents\n1\tScope\t5\n4.1\tGeneral\t6\n1\tScope\nthe scope\n4.1\tGeneral\nbody"), (2, "IETF", "Table of Contents\n1.  Introduction ..... 3\n1.  Introduction\nhello"),
-    (3, "ETSI", "intro\n1 Scope\nx\n2 References\ny"), (4, "3GPP", "A.1\tFirst\nq"),
-]
+@query(
+    f"""WITH d AS (SELECT doc_id, {ENDS}[doc_id % 6 + 1] AS a, {ENDS}[doc_id // 6 % 6 + 1] AS b, [['AMF', 'SMF'], ['RAN', 'UPF'], ['UE', 'SMF', 'RAN']][doc_id % 3 + 1] AS e FROM documents),
+l AS (SELECT *, list_sort(list_distinct([CASE WHEN a IN ('gNB', 'NG-RAN') THEN 'RAN' ELSE a END, CASE WHEN b IN ('gNB', 'NG-RAN') THEN 'RAN' ELSE b END])) AS ends FROM d)
+SELECT doc_id, array_to_string(ends, '|') AS ends, CASE WHEN len(list_intersect(ends, e)) = len(ends) THEN 24 WHEN len(list_intersect(ends, e)) = 1 THEN 4 ELSE 0 END::INTEGER AS score FROM l"""
+)
+def endpoint_scores(spark, sf_dir):
+    """A label of two ends for each document."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    names = F.array(*map(F.lit, ENDS))
+    label = F.concat(F.element_at(names, (n % 6 + 1).cast("int")), F.when(n % 2 == 0, " / ").otherwise("/"), F.element_at(names, F.expr("int(doc_id div 6 % 6 + 1)")))
+    entities = F.when(n % 3 == 0, F.array(F.lit("AMF"), F.lit("SMF"))).when(n % 3 == 1, F.array(F.lit("RAN"), F.lit("UPF"))).otherwise(F.array(F.lit("UE"), F.lit("SMF"), F.lit("RAN")))
+    ends = contexts.endpoints(label)
+    return d.select("doc_id", F.array_join(ends, "|").alias("ends"), contexts.endpoint_score(ends, entities).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, '1', 'Scope', 'the scope'), (1, 1, '4.1', 'General', 'body'), (2, 0, '1', 'Introduction', 'hello'), (3, 0, '1', 'Scope', 'x'), (3, 1, '2', 'References', 'y'), (4, 0, 'A.1', 'First', 'q')) t(id, clause_no, clause, clause_title, body)")
+#: Each document as a specification with a table of contents and two clauses, or as an RFC.
+@query(
+    r"""WITH b AS (SELECT doc_id, 'b ' || trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body FROM documents)
+SELECT doc_id, 0 AS clause_no, '1' AS clause, CASE WHEN doc_id % 2 = 0 THEN 'Scope' ELSE 'Introduction' END AS clause_title, sha256(trim(body)) AS body_sha256 FROM b
+UNION ALL SELECT doc_id, 1, '4.1', 'General', sha256('closing words') FROM b WHERE doc_id % 2 = 0"""
+)
 def clause_split(spark, sf_dir):
-    """C1 C2 C3 C4 C5 C8 W8 W9 J6 J7."""
-    return clauses.clauses(values(spark, SPECS, "id int, org string, text string")).drop("org")
+    """Clauses of a specification or RFC made of each document; tests have the further layouts."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    body = F.concat(F.lit("b "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    spec = F.concat(F.lit("Contents\n1\tScope\t5\n4.1\tGeneral\t6\n1\tScope\n"), body, F.lit("\n4.1\tGeneral\nclosing words"))
+    rfc = F.concat(F.lit("Table of Contents\n1.  Introduction ..... 3\n1.  Introduction\n"), body)
+    made = d.select("doc_id", F.when(n % 2 == 0, "3GPP").otherwise("IETF").alias("org"), F.when(n % 2 == 0, spec).otherwise(rfc).alias("text"))
+    return clauses.clauses(made).select("doc_id", "clause_no", "clause", "clause_title", F.sha2(F.trim("body"), 256).alias("body_sha256"))
 
 
 @query()
@@ -735,14 +842,173 @@ def cache_probe(spark, sf_dir):
     return d.join(cached, "cache_id", "left").groupBy("org", "code").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
 
 
-DOCUMENT_TEXTS = [
-    (1, "TS 23.041", "cover\n3GPP TS 23.041 V1\n1.1 x\n[1] first ref\n[2] second\n1.2\tAbbreviations\nz", "ETSI", "650", "Route des Lucioles"), (2, "TS 23.041", "3GPP TR 22.001\nno list", "3GPP", "650", "route des lucioles"),
-    (3, "ts 22.001", "a 3gpp ts 22.001 b\n[1] only\n1.2 Abbreviations", "etsi", "650", "06921 ROUTE DES LUCIOLES"), (4, "TS 1", None, None, None, None),
-]
+CHECKED_TEXT = "'cover 3gpp ' || CASE WHEN doc_id % 2 = 0 THEN 'ts' ELSE 'TR' END || ' 23.' || (100 + doc_id % 900) || chr(10) || '1.1 x' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '[1] ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 5 < 2 THEN chr(10) || '1.2 Abbreviations' || chr(10) || 'z' ELSE '' END"
 
 
-@query("SELECT id, same, section, noise FROM (VALUES (1, true, '[1] first ref' || chr(10) || '[2] second' || chr(10), true), (2, false, '3GPP TR 22.001' || chr(10) || 'no list', false), (3, true, '[1] only' || chr(10), true), (4, false, NULL, false)) t(id, same, section, noise)")
+@query(f"""WITH d AS (SELECT doc_id, {CHECKED_TEXT} AS t, 'TS 23.' || (100 + doc_id % 450) AS code, lang, source FROM documents), f AS (SELECT *, strpos(t, '[1] ') AS a FROM d), r AS (SELECT *, CASE WHEN a > 0 THEN substr(t, a) END AS rest FROM f)
+SELECT doc_id, upper(CASE WHEN doc_id % 2 = 0 THEN 'ts' ELSE 'tr' END) || ' 23.' || (100 + doc_id % 900) = code AS same, sha256(CASE WHEN rest IS NULL THEN t WHEN strpos(rest, '1.2 Abbreviations') > 0 THEN substr(rest, 1, strpos(rest, '1.2 Abbreviations') - 1) ELSE rest END) AS section_sha256,
+  doc_id % 4 = 0 AND doc_id % 3 = 0 AND doc_id % 5 = 0 AS noise FROM r""")
 def document_checks(spark, sf_dir):
-    """F11 C9 F24."""
-    rows = values(spark, DOCUMENT_TEXTS, "id int, code string, text string, org string, clause string, title string")
-    return rows.select("id", gates.is_requested_document(F.col("code"), F.col("text")).alias("same"), gates.reference_section(F.col("text")).alias("section"), gates.is_cover_noise(F.col("org"), F.col("clause"), F.col("title")).alias("noise"))
+    """Over all documents with a cover, a reference list and a street address put on some of them."""
+    n = F.col("doc_id")
+    name = F.when(n % 2 == 0, "ts").otherwise("TR")
+    text = F.concat(F.lit("cover 3gpp "), name, F.lit(" 23."), 100 + n % 900, F.lit("\n1.1 x\n"), F.when(n % 3 == 0, "[1] ").otherwise(""), F.coalesce("text", F.lit("")), F.when(n % 5 < 2, "\n1.2 Abbreviations\nz").otherwise(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.concat(F.lit("TS 23."), 100 + n % 450).alias("code"))
+    org, clause, title = F.when(n % 4 == 0, "etsi ").otherwise("3GPP"), F.when(n % 3 == 0, "650").otherwise("1"), F.when(n % 5 == 0, "650 Route des Lucioles").otherwise("Scope")
+    return d.select("doc_id", gates.is_requested_document(F.col("code"), F.col("text")).alias("same"), F.sha2(gates.reference_section(F.col("text")), 256).alias("section_sha256"), gates.is_cover_noise(org, clause, title).alias("noise"))
+
+
+# ---------------------------------------------------------------- store
+
+
+@query("SELECT doc_id, coalesce(source, '') AS code, CASE WHEN doc_id % 3 = 0 THEN 'Latest' ELSE 'v' || doc_id END AS version, coalesce(lang, '') AS org, '' AS source_url FROM documents")
+def stored_metadata(spark, sf_dir):
+    """metadata with defaults."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    none = F.lit(None).cast("string")
+    chunks = d.select(n.alias("chunk_id"), "text", F.col("lang").alias("org"), F.col("source").alias("code"), F.when(n % 3 == 1, F.concat(F.lit("v"), n)).when(n % 3 == 2, F.concat(F.lit("v"), n)).when(n % 2 == 0, "").alias("version"), none.alias("clause"), none.alias("clause_title"), F.lit("indexed").alias("status"), none.alias("source_url"))
+    return ingest.stored(chunks).select(F.col("chunk_id").alias("doc_id"), "code", "version", "org", "source_url")
+
+
+@query("WITH k AS (SELECT DISTINCT 'chunk_' || sha256(concat_ws('|', trim(coalesce(source, '')), '', '', trim(coalesce(lang, '')), trim(coalesce(text, '')))) AS chunk_id FROM documents WHERE doc_id % 6 <> 0 AND trim(coalesce(text, '')) <> '') SELECT chunk_id FROM k")
+def prepared_chunks(spark, sf_dir):
+    """Chunk ids of what is neither void nor blank, each once."""
+    d = table(spark, sf_dir, "documents")
+    none = F.lit(None).cast("string")
+    chunks = d.select(F.col("source").alias("org"), none.alias("code"), none.alias("version"), F.col("lang").alias("clause"), "text", F.when(F.col("doc_id") % 6 == 0, "void").otherwise("indexed").alias("status"))
+    return ingest.prepared(chunks).select("chunk_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END ELSE 'old' END AS text FROM documents UNION ALL SELECT -1 - doc_id, 'new 1' FROM documents WHERE doc_id % 50 = 0")
+def upserted_rows(spark, sf_dir):
+    """K2: every third row is replaced, by the last of its new versions, and some rows are new."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    new = d.filter("doc_id % 3 = 0").select("doc_id", F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("no"))
+    new = new.unionByName(d.filter("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(1).alias("no"))).withColumn("text", F.concat(F.lit("new "), "no"))
+    return ingest.upserted(d.withColumns({"no": F.lit(0), "text": F.lit("old")}), new, "doc_id", "no").select("doc_id", "text")
+
+
+KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id", "events": "event_id"}
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS name, (SELECT count(*) FROM {t})::VARCHAR AS rows, (SELECT count(*) FROM {t} WHERE {k} IS NULL) AS null_keys, (SELECT count(*) FROM (SELECT {k} FROM {t} WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 1)) AS repeated_keys" for t, k in KEYS.items() if t != "events"
+    )
+    + " UNION ALL SELECT 'nowhere', 'YOK', 0, 0"
+)
+def table_integrity(spark, sf_dir):
+    """Rows, null keys and repeated keys of the tables, and a table that is missing."""
+    found = {t: table(spark, sf_dir, t) for t in KEYS if t != "events"} | {"nowhere": None}
+    return ingest.table_report(spark, found, KEYS).select("name", "rows", "null_keys", "repeated_keys")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 1000")
+def store_page(spark, sf_dir):
+    """The page of a thousand rows behind a key; the limit is the feature."""
+    return ingest.page(table(spark, sf_dir, "documents"), ["n_chars"], 100, 1000, "doc_id")
+
+
+@query(
+    """WITH l AS (SELECT page_id % 50 AS query, page_id AS rank, 'https://' || CASE page_id % 4 WHEN 0 THEN 'www.3gpp.org' WHEN 1 THEN 'ietf.org' WHEN 2 THEN 'x3gpp.org' ELSE 'blog.example' END || '/' || page_id AS link FROM pages)
+SELECT query, (row_number() OVER (PARTITION BY query ORDER BY rank))::INTEGER AS rank, link FROM l WHERE link LIKE '%//www.3gpp.org/%' OR link LIKE '%//ietf.org/%' QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank) <= 3"""
+)
+def web_results(spark, sf_dir):
+    """A listing of results stands in for the search service; only the standards bodies' sites count."""
+    n = F.col("page_id")
+    host = F.when(n % 4 == 0, "www.3gpp.org").when(n % 4 == 1, "ietf.org").when(n % 4 == 2, "x3gpp.org").otherwise("blog.example")
+    listing = table(spark, sf_dir, "pages").select((n % 50).alias("query"), n.alias("rank"), F.concat(F.lit("https://"), host, F.lit("/"), n).alias("link"))
+    return sources.web_results(listing)
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), c AS (SELECT doc_id AS a, unnest([2 * doc_id + 1, 2 * doc_id + 2]) AS b FROM documents WHERE doc_id % 10 <> 9 AND doc_id < 90000),
+r(a, level) AS (SELECT 0::BIGINT, 0 UNION SELECT b, level + 1 FROM r JOIN c ON r.a = c.a, n WHERE b < n AND b < 90000)
+SELECT (1000 + a)::VARCHAR AS code, level, a % 7 = 1 AS cached, a % 10 <> 9 AS has_text, CASE WHEN a % 10 = 9 THEN 0 ELSE (2 * a + 1 < (SELECT n FROM n) AND 2 * a + 1 < 90000)::INTEGER + (2 * a + 2 < (SELECT n FROM n) AND 2 * a + 2 < 90000)::INTEGER END AS n_cited FROM r"""
+)
+def crawl_pages(spark, sf_dir):
+    """Documents that cite two others each, read from pages or replayed from a cache; every tenth has no page."""
+    d = table(spark, sf_dir, "documents").select("doc_id").filter("doc_id < 90000")
+    n = tables.written(d, "crawled").count()
+    to = F.filter(F.array(2 * F.col("doc_id") + 1, 2 * F.col("doc_id") + 2), lambda x: x < n)
+    lines = F.array_join(F.transform(to, lambda x: F.concat(F.lit("["), x, F.lit("] IETF RFC "), 1000 + x, F.lit(': "t"'))), "\n")
+    text = F.when(F.col("doc_id") % 10 != 9, F.concat(F.lit("References\n[1] x\n"), lines))
+    pages = d.select(F.concat(F.lit("https://www.rfc-editor.org/rfc/rfc"), 1000 + F.col("doc_id"), F.lit(".html")).alias("source_url"), text.alias("text"), "doc_id", to.alias("to"))
+    found = F.transform(F.when(F.col("doc_id") % 10 != 9, F.col("to")).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(F.lit("IETF").alias("org"), (1000 + x).cast("string").alias("code"), F.lit("t").alias("title"), F.lit(1).alias("ref_number")))
+    cache = pages.filter("doc_id % 7 = 1").select(F.lit("IETF").alias("org"), (1000 + F.col("doc_id")).cast("string").alias("code"), F.lit("pending").alias("status"), "source_url", F.lit(None).cast("string").alias("version"), "text", found.alias("discovered"))
+    listing = values(spark, [], "folder_url string, pos int, link string")
+    out = references.crawl_pages(values(spark, [("IETF", "1000")], "org string, code string"), listing, pages.select("source_url", "text"), cache)
+    return out.select("code", "level", "cached", (F.coalesce("text", F.lit("")) != "").alias("has_text"), F.size("discovered").alias("n_cited"))
+
+
+# ---------------------------------------------------------------- answers
+
+TOLD = [
+    "N11: Reference point between the AMF and the SMF. The N4 interface is used.", "The Session Management Function (SMF) performs IP address allocation. The AMF handles registration management.",
+    "The UE initiated deregistration procedure and the registration procedure.", "The UE sends PDU SESSION ESTABLISHMENT REQUEST. Then a Registration Accept message.",
+    "NGAP runs over SCTP transport protocol. QUIC protocol too.", "It has at most 15 digits, or 30 ms.", "The 5G System uses the Cell Broadcast system.", "This document defines HTTP/3 over QUIC. HTTP/3 is defined in RFC 9114.",
+]
+ASKED = [
+    "AMF ile SMF arasındaki referans noktası hangisidir?", "Which network function handles registration management?", "UE hangi prosedür ile ayrılır?", "UE hangi mesajı gönderir?", "NGAP hangi protokol üzerinde?", "How many digits?",
+    "Cell Broadcast hangi sistemde kullanılır?", "HTTP/3 hangi RFC'de tanımlanır?",
+]
+
+
+def evidence_hits(spark, sf_dir):
+    """Six documents in order are the hits of a question, each with a sentence of the fixed ones before its text."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    d = d.withColumn("question", F.expr("doc_id div 6")).withColumn("q", pick(ASKED, F.col("question")))
+    title = F.when(n % 4 == 0, "Scope").when(n % 4 == 1, "References").when(n % 4 == 2, "N11 and AMF")
+    return d.select(
+        "question", (n % 6 + 1).cast("int").alias("rank"), "q", n.alias("chunk_id"), F.when(n % 2 == 0, "IETF").otherwise("3GPP").alias("org"), F.when(n % 2 == 0, (9114 + n % 3).cast("string")).otherwise(F.concat(F.lit("TS 23.50"), n % 3)).alias("code"),
+        F.lit("4.2").alias("clause"), title.alias("clause_title"), F.concat_ws(" ", pick(TOLD, F.col("question") + n % 3), "text").alias("text"), F.lit(None).cast("string").alias("source_url"), questions.query_variants(F.col("q")).alias("variants"), questions.answer_type(F.col("q")).alias("answer_type"),
+    )
+
+
+@query()
+def composed_answers(spark, sf_dir):
+    """Q5-Q9 Q7a-Q7g Q8a-Q8f J10 D12 T3: answers over six documents each; tested against a plain version of the rules."""
+    out = candidates.composed(evidence_hits(spark, sf_dir))
+    return out.select("question", "answer_type", "primary_answer", "confidence", "margin", F.size("candidates").alias("n_candidates"), F.size("facts").alias("n_facts"))
+
+
+@query()
+def rendered_answers(spark, sf_dir):
+    """Whether the composed answers are sure enough to be given at once, and with which sentence."""
+    hits = evidence_hits(spark, sf_dir)
+    asked = hits.groupBy("question").agg(F.first("q").alias("q"))
+    out = candidates.composed(hits).join(asked, "question")
+    reply = gates.rendered(F.col("q"), F.col("answer_type"), F.col("primary_answer"), F.col("confidence"))
+    again = gates.needs_second_search(F.col("q"), F.col("answer_type"), F.col("confidence"), F.col("primary_answer"), reply.isNotNull())
+    return out.select("question", reply.alias("reply"), gates.can_answer_now(F.col("confidence"), reply.isNotNull(), F.coalesce(reply, F.lit(""))).alias("now"), again.alias("second_search"))
+
+
+@query()
+def answer_sources(spark, sf_dir):
+    """J12 T5 Q8g Q8h: the sources of answers that are documents; tested against expected values."""
+    hits = tables.written(evidence_hits(spark, sf_dir), "hits")
+    store = hits.withColumn("status", F.when(F.col("chunk_id") % 11 == 0, "blocked").otherwise("indexed")).select("chunk_id", "org", "code", "clause", "clause_title", "text", "source_url", "status")
+    found = candidates.composed(hits).select("question", F.col("primary_answer").alias("answer")).join(hits.groupBy("question").agg(F.first("q").alias("q")), "question")
+    found = tables.written(found, "answers")
+    return answering.answer_sources(found, hits, store).select("question", "position", "route", "chunk_id")
+
+
+@query()
+def second_search(spark, sf_dir):
+    """The lexical second search of all kinds of questions over all documents; tested against expected values."""
+    asked = values(spark, list(enumerate(ASKED)), "question long, text string")
+    chunks = evidence_hits(spark, sf_dir).withColumn("status", F.lit("indexed")).select("chunk_id", "text", "org", "code", "clause", "clause_title", "status", "source_url")
+    return answering.second_search(asked, chunks)
+
+
+@query()
+def guarded_replies(spark, sf_dir):
+    """Q12 Q13 Q14: replies of a generator slot that is a rule here (the first sentence of the prompt's sources), guarded, repaired once, else the fallback."""
+    hits = evidence_hits(spark, sf_dir).withColumn("clause_title", F.coalesce("clause_title", F.lit("")))
+    asked = evidence.context_blocks(hits).join(hits.groupBy("question").agg(F.first("q").alias("text")), "question")
+
+    def first_sentence(prompts: list[str]) -> list[str]:
+        return [("RFC 9999 (Unknown Thing) standart. " if "KAYNAK 1: IETF" in p and "hatası" not in p and "HATA" not in p else "") + p.rsplit("]", 1)[-1].strip().split(".")[0] for p in prompts]
+
+    return answering.replied(asked, first_sentence)
