@@ -31,7 +31,7 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _SPLIT = re.compile("[" + _WS + "]+")
 _END = 0x1000  # added to a word's last symbol: "byte at the end of a word"
 #: Words and pairs that a worker remembers in each of two generations: where the younger is full, it takes the older one's place.
-WORDS, PAIRS = 30_000, 50_000
+WORDS, PAIRS = 100_000, 50_000
 
 
 def byte_letters() -> list[str]:
@@ -170,41 +170,49 @@ class Vocabulary:
                 longest[n - 1 - end] = token
         usable = bytearray([1]) * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
-        length, shorter = self.length, self.shorter
+        at, token, before = 0, longest[0], -1
+        length, shorter, known = self.length, self.shorter, self._pairs.get
         while True:
             end = at + length[token]
-            if usable[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == n:
-                    return out
-                token = longest[at]
-                continue
+            if usable[end]:
+                fits = before < 0 or known(before << 32 | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    out.append(token)
+                    at = end
+                    if at == n:
+                        return out
+                    before, token = token, longest[at]
+                    continue
             token = shorter[token]
             if token < 0:
                 usable[at] = 0
                 token = out.pop()
                 at -= length[token]
+                before = out[-1] if out else -1
                 # the border behind this token is closed now, so a shorter one is tried
 
     def word(self, piece: str) -> bytes:
         """One piece's ids as little-endian bytes."""
-        raw = piece.encode("utf-8", "surrogatepass").decode("latin-1")
+        raw = piece if piece.isascii() else piece.encode("utf-8", "surrogatepass").decode("latin-1")
         id_of = self.id_of_rank
         ids = [id_of[r] for r in self.encode_symbols(raw[:-1] + chr(ord(raw[-1]) + _END))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def run(self, token: str) -> bytes:
-        """The ids of a run without white space; a piece never crosses white space."""
-        found = self._older.get(token)
-        if found is None:
-            found = b"".join([self.word(p) for p in self.pattern.findall(token)])
-        if len(token) <= 48:
-            if len(self._words) >= WORDS:
-                self._older, self._words = self._words, {}
-            self._words[token] = found
-        return found
+        """The ids of a run without white space; a piece never crosses white space. What is remembered are the pieces."""
+        out = []
+        for piece in self.pattern.findall(token):
+            found = self._words.get(piece)
+            if found is None:
+                found = self._older.get(piece) or self.word(piece)
+                if len(piece) <= 48:
+                    if len(self._words) >= WORDS:
+                        self._older, self._words = self._words, {}
+                    self._words[piece] = found
+            out.append(found)
+        return b"".join(out)
 
     def ordinary(self, text: str) -> bytes:
         """The ids of a stretch of text without special tokens."""
