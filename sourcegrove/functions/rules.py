@@ -304,3 +304,20 @@ Kurallar:
 - Doğal Türkçe cümle kullan."""
 # Sites of standards bodies, to which a web search is bound.
 STANDARDS_SITES = ["3gpp.org", "etsi.org", "ietf.org", "itu.int", "gsma.com", "atis.org"]
+
+# Fixed values of documents: how a 3GPP text states its own name, where its list of references begins and what follows it, and a street
+# address that looks like a clause (organisation, clause, part of the title).
+STATED_DOCUMENT = r"(?i)\b3GPP\s+(TS|TR)\s+(\d{2}\.\d{3})\b"
+FIRST_REFERENCE = r"\[1\]\s+"
+AFTER_REFERENCES = ["1.2\tAbbreviations", "1.2 Abbreviations"]
+COVER_NOISE = ["ETSI", "650", "route des lucioles"]
+# Fixed values of decisions: words for reference points, functions that a question may ask for, those that stand for another one, answers
+# that are documents, points of a title for introducing its document, and words of a question for where something is used.
+POINT_WORDS = ["referans nokta", "reference point"]
+ASKED_FUNCTION = r"(?i)\b(AMF|SMF|UPF|AUSF|UDM|PCF|NSSF|NRF)\b"
+RIVAL_FUNCTIONS = ["AMF", "SMF", "UPF"]
+ANSWERED_RFC, ANSWERED_SPEC = r"(?i)^RFC\s+(\d+)$", r"(?i)^(3GPP|ETSI)\s+(TS|TR)\s+([\d.]+)$"
+TITLE_QUALITY = [(["scope"], 10.0), (["introduction", "overview"], 7.0), (["reference"], -10.0)]
+USED_WORDS = ["kullan", "çalış", "yer al"]
+# Fixed values of the answer guard: the short and long forms in which a reply may name a system.
+SYSTEM_SUFFIX, SYSTEM_FORM, FIFTH_SYSTEM, FIFTH_SHORT = " system", " sistemi", "5g system", "5gs"

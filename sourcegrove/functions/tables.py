@@ -35,3 +35,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path, schema = new_folder(df.sparkSession, name), df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, where its files give fewer partitions than that (few large row groups); else as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

@@ -25,6 +25,8 @@ ANNEX_ENTRY = re.compile(r"Annex[ \t]+([A-Z]|\d+)(?:[ \t]*\([^)]*\))?[ \t]*:?[ \
 BARE_ANNEX_CLAUSE = re.compile(r"([A-Z](?:\.\d+)+)[ \t]+(.+)", re.I)
 BODY_LIKE = re.compile(r"[a-zA-Z]\)|(?:NOTE|Figure|Table)\b|-\s+|[•\[]", re.I)
 NO_TITLE = re.compile(r"(?:NOTE|Figure|Table)\b|[•\[]", re.I)
+# What titles are compared by (letters, digits, and the signs - ' / ( ) ), and dashes that count as hyphens.
+TITLE_PART, DASHES = re.compile(r"[\w\-'/()]+"), {ord("–"): "-", ord("—"): "-"}
 # Limits of the table of contents, of a heading, and of how alike a damaged title must be.
 TOC_LINES, TOC_GAP, FIRST_ENTRIES, LINE_CHARS = 1500, 6, 20, 300
 NUMBERED_ALIKE, TITLE_ALIKE = 0.60, 0.84
@@ -35,9 +37,11 @@ def clean(title: str) -> str:
 
 
 def loose(title: str) -> str:
-    """A title for comparing damaged ones."""
-    t = clean(re.sub(r"^\.\d+(?:\.\d+)*\s+", "", title.strip())).casefold().replace("–", "-").replace("—", "-")
-    return " ".join(re.sub(r"[^\w\s\-'/()]+", " ", t).split())
+    """The words of a title for comparing damaged ones: what titles are made of (TITLE_PART), in small letters, one space apart; a broken
+    number before them goes."""
+    broken = SUFFIX.fullmatch(title.strip())
+    small = clean(broken[2] if broken else title).casefold()
+    return " ".join(TITLE_PART.findall(small.translate(DASHES)))
 
 
 def alike(a: str, b: str) -> float:

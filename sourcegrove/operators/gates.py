@@ -27,8 +27,7 @@ def is_meeting_contribution(text: Column) -> Column:
 
 def stated_document(text: Column) -> Column:
     """the code of the 3GPP document that the first lines name, else null."""
-    h = head(text, rules.IDENTITY_LINES)
-    pattern = r"(?i)\b3GPP\s+(TS|TR)\s+(\d{2}\.\d{3})\b"
+    h, pattern = head(text, rules.IDENTITY_LINES), rules.STATED_DOCUMENT
     return F.when(h.rlike(pattern), F.concat(F.upper(F.regexp_extract(h, pattern, 1)), F.lit(" "), F.regexp_extract(h, pattern, 2)))
 
 
@@ -44,16 +43,16 @@ def fetchable(df: DataFrame) -> DataFrame:
 
 def reference_section(text: Column) -> Column:
     """From the first "[1] " to the clause of abbreviations; the whole text without a first reference."""
-    start = F.regexp_instr(text, F.lit(r"\[1\]\s+"))
+    start = F.regexp_instr(text, F.lit(rules.FIRST_REFERENCE))
     rest = F.substr(text, start)
-    tab, space = F.instr(rest, "1.2\tAbbreviations"), F.instr(rest, "1.2 Abbreviations")
+    tab, space = (F.instr(rest, x) for x in rules.AFTER_REFERENCES)
     end = F.when(tab > 0, tab).when(space > 0, space)
     return F.when(start > 0, F.when(end.isNotNull(), F.substr(rest, F.lit(1), end - 1)).otherwise(rest)).otherwise(text)
 
 
 def is_cover_noise(org: Column, clause: Column, title: Column) -> Column:
     """the publisher's street address read as a clause."""
-    return F.coalesce((F.upper(F.trim(org)) == "ETSI") & (clause == "650") & F.lower(title).contains("route des lucioles"), F.lit(False))
+    return F.coalesce((F.upper(F.trim(org)) == rules.COVER_NOISE[0]) & (clause == rules.COVER_NOISE[1]) & F.lower(title).contains(rules.COVER_NOISE[2]), F.lit(False))
 
 
 def precision_phrases(question: Column) -> Column:
@@ -68,7 +67,7 @@ def precision_phrases(question: Column) -> Column:
 
 def is_reference_point_question(question: Column) -> Column:
     """F23."""
-    return contains_any(F.lower(F.coalesce(question, F.lit(""))), ["referans nokta", "reference point"])
+    return contains_any(F.lower(F.coalesce(question, F.lit(""))), rules.POINT_WORDS)
 
 
 def needs_second_search(question: Column, kind: Column, confidence: Column, answer: Column, rendered: Column) -> Column:
@@ -97,9 +96,9 @@ def second_wins(question: Column, normal: Column, second: Column) -> Column:
 
     normal and second: structs (code, clause_title, best) of the first hit and the best score; null without hits.
     """
-    nf = F.upper(F.regexp_extract(F.coalesce(question, F.lit("")), r"(?i)\b(AMF|SMF|UPF|AUSF|UDM|PCF|NSSF|NRF)\b", 1))
+    nf = F.upper(F.regexp_extract(F.coalesce(question, F.lit("")), rules.ASKED_FUNCTION, 1))
     title = F.upper(F.coalesce(normal["clause_title"], F.lit("")))
-    other = reduce(lambda a, b: a | b, [F.contains(title, F.lit(x)) & (nf != x) for x in ("AMF", "SMF", "UPF")])
+    other = reduce(lambda a, b: a | b, [F.contains(title, F.lit(x)) & (nf != x) for x in rules.RIVAL_FUNCTIONS])
     report = F.contains(F.upper(F.coalesce(normal["code"], F.lit(""))), F.lit("TR ")) & F.contains(F.upper(F.coalesce(second["code"], F.lit(""))), F.lit("TS "))
     return F.when(second.isNull(), False).when(normal.isNull(), True).when(report, True).when((nf != "") & ~F.contains(title, nf) & other, True).otherwise(F.coalesce(second["best"] >= normal["best"], F.lit(True)))
 
@@ -107,7 +106,7 @@ def second_wins(question: Column, normal: Column, second: Column) -> Column:
 def document_identity(answer: Column) -> Column:
     """Q8h: struct(org, code) of an answer that is a document's name, else null."""
     a = F.trim(F.coalesce(answer, F.lit("")))
-    rfc, spec = r"(?i)^RFC\s+(\d+)$", r"(?i)^(3GPP|ETSI)\s+(TS|TR)\s+([\d.]+)$"
+    rfc, spec = rules.ANSWERED_RFC, rules.ANSWERED_SPEC
     return F.when(a.rlike(rfc), F.struct(F.lit("IETF").alias("org"), F.regexp_extract(a, rfc, 1).alias("code"))).when(
         a.rlike(spec), F.struct(F.upper(F.regexp_extract(a, spec, 1)).alias("org"), F.concat(F.upper(F.regexp_extract(a, spec, 2)), F.lit(" "), F.regexp_extract(a, spec, 3)).alias("code"))
     )
@@ -116,8 +115,9 @@ def document_identity(answer: Column) -> Column:
 def source_quality(title: Column, text: Column) -> Column:
     """Q8g, T5: how well a clause introduces its document."""
     t = F.lower(F.coalesce(title, F.lit("")))
-    says = F.lower(F.coalesce(text, F.lit(""))).rlike(r"\b(?:this document|the present document)\s+(?:defines|specifies|describes)\b")
-    return F.when(t.contains("scope"), 10.0).otherwise(0.0) + F.when(contains_any(t, ["introduction", "overview"]), 7.0).otherwise(0.0) - F.when(t.contains("reference"), 10.0).otherwise(0.0) + F.when(says, 10.0).otherwise(0.0)
+    says = F.lower(F.coalesce(text, F.lit(""))).rlike(rules.SELF_DEFINITION)
+    titles = [F.when(contains_any(t, parts), n).otherwise(0.0) for parts, n in rules.TITLE_QUALITY]
+    return reduce(lambda a, b: a + b, titles) + F.when(says, 10.0).otherwise(0.0)
 
 
 def rendered(question: Column, kind: Column, answer: Column, confidence: Column) -> Column:
@@ -127,7 +127,7 @@ def rendered(question: Column, kind: Column, answer: Column, confidence: Column)
     q = squeezed(question)
     at = F.regexp_instr(q, F.lit(UNICODE + rules.SYSTEM_QUESTION))
     subject = F.when(at > 1, F.btrim(F.substr(q, F.lit(1), at - 1), F.lit(" ,;:-")))
-    used = contains_any(F.lower(q), ["kullan", "çalış", "yer al"])
+    used = contains_any(F.lower(q), rules.USED_WORDS)
     by_subject = F.when(used, F.format_string(rules.SYSTEM_USED, subject, system)).otherwise(F.format_string(rules.SYSTEM_FOR, subject, system))
     out = F.when((kind == "SİSTEM") & (F.coalesce(subject, F.lit("")) != ""), by_subject)
     for name, sentence in rules.ANSWER_SENTENCES.items():

@@ -60,8 +60,8 @@ def names_system(reply: Column, terms: Column) -> Column:
 
     def there(t: Column) -> Column:
         low = folded(t)
-        base = F.trim(F.regexp_replace(low, " system$", ""))
-        return F.contains(r, low) | (low.endswith(" system") & (base != "") & F.contains(r, F.concat(base, F.lit(" sistemi")))) | ((low == "5g system") & F.contains(r, F.lit("5gs")))
+        base = F.trim(F.regexp_replace(low, f"{rules.SYSTEM_SUFFIX}$", ""))
+        return F.contains(r, low) | (low.endswith(rules.SYSTEM_SUFFIX) & (base != "") & F.contains(r, F.concat(base, F.lit(rules.SYSTEM_FORM)))) | ((low == rules.FIFTH_SYSTEM) & F.contains(r, F.lit(rules.FIFTH_SHORT)))
 
     return F.exists(terms, there)
 

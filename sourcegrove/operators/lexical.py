@@ -19,7 +19,7 @@ def tokens(text: Column) -> Column:
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """L1, K4: (token, key, tf, positions), positions from 0 in order. The whole index: for a stated query set, `matched` reads the texts instead."""
-    each = docs.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    each = docs.select(F.col(key), F.posexplode_outer(tokens(F.col(text))).alias("pos", "token")).filter("token is not null")
     return each.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
@@ -44,7 +44,7 @@ def read_index(spark: SparkSession, path: str, asked: DataFrame | None = None, b
 
 def token_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(token, df, cf, firsts): documents, occurrences, and the sum of first positions. A document's tokens are combined where it is read."""
-    each = docs.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("pos", "token"))
+    each = docs.select(F.col(key), F.posexplode_outer(tokens(F.col(text))).alias("pos", "token")).filter("token is not null")
     by_doc = each.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first"))
     return by_doc.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum(F.col("first").cast("long")).alias("firsts"))
 
@@ -68,7 +68,7 @@ def matched(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str
     wanted = wanted.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(query, "phrase_no")))
     if wanted.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
         wanted = F.broadcast(wanted)  # checked: MOST_TOKENS short rows
-    each = docs.select(F.col(key), tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), F.posexplode("w").alias("pos", "token"))
+    each = docs.select(F.col(key), tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), F.posexplode_outer("w").alias("pos", "token"))  # outer: a plain one would be tested for tokens by finding them twice
     starts = each.join(wanted, "token").groupBy(query, "phrase_no", key, (F.col("pos") - F.col("at")).alias("start"), "size", "len").agg(F.count(F.lit(1)).alias("n"))
     return starts.filter("n = size").groupBy(query, "phrase_no", key, "len").agg(F.count(F.lit(1)).alias("tf")).select(query, "phrase_no", key, "tf", "len")
 
@@ -109,8 +109,8 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 20, key: str = "doc
 
 
 def counted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(len): tokens of each document, counted without keeping them."""
-    return docs.select(F.regexp_count(F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), MARKED, PLAIN), F.lit(TOKEN)).alias("len"))
+    """(len): tokens of each document, counted without making them. Of all letters only İ changes its parts when it is lowered."""
+    return docs.select(F.regexp_count(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("İ"), F.lit("i\u0307")), F.lit(TOKEN)).alias("len"))
 
 
 def document_queries(phrases: Column) -> Column:

@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work on every text, over all cores."""
+    return tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -153,7 +158,7 @@ stats AS (SELECT count(*) AS n_docs, avg(len) AS avg_len FROM len)"""
 @query(POSTINGS_SQL + " SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf, sum(first)::BIGINT AS firsts FROM (SELECT token, doc_id, count(*) AS tf, min(pos) AS first FROM e GROUP BY ALL) GROUP BY token")
 def token_postings(spark, sf_dir):
     """L1 K4, as one row per token."""
-    return lexical.token_stats(table(spark, sf_dir, "documents"))
+    return lexical.token_stats(documents(spark, sf_dir))
 
 
 PHRASES = [(0, 0, "of the"), (0, 1, "that"), (1, 0, "in"), (1, 1, "and the"), (2, 0, "license")]
@@ -175,7 +180,7 @@ def phrase_table(spark):
 @query(PHRASE_SQL + " SELECT * FROM h")
 def phrase(spark, sf_dir):
     """L2."""
-    return lexical.matched(table(spark, sf_dir, "documents"), phrase_table(spark)).drop("len")
+    return lexical.matched(documents(spark, sf_dir), phrase_table(spark)).drop("len")
 
 
 BM25_SQL = (
@@ -191,14 +196,14 @@ sc AS (
 @query(BM25_SQL + " SELECT * FROM sc")
 def bm25_scores(spark, sf_dir):
     """L3 J16."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return lexical.bm25(lexical.matched(docs, phrase_table(spark)), lexical.counted(docs))
 
 
 @query(BM25_SQL + ", need AS (SELECT query, count(*) AS need FROM p GROUP BY ALL) SELECT query, doc_id, score, rank FROM (SELECT query, doc_id, score, row_number() OVER (PARTITION BY query ORDER BY score, doc_id) AS rank FROM sc JOIN need USING (query) WHERE n_terms = need) WHERE rank <= 20")
 def boolean_and(spark, sf_dir):
     """L4 T4 F27."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     listed = phrase_table(spark).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("phrase_no", "phrase"))).getField("phrase").alias("phrases"))
     return lexical.search(docs, listed)
 
@@ -207,7 +212,7 @@ def boolean_and(spark, sf_dir):
 def indexed_phrase(spark, sf_dir):
     """Phrase over an index that is written first and of which only the folders of the phrases' tokens are read."""
     at = tables.new_folder(spark, "lexical-index")
-    lexical.write_index(table(spark, sf_dir, "documents"), at)
+    lexical.write_index(documents(spark, sf_dir), at)
     index, _ = lexical.read_index(spark, at, phrase_table(spark))
     return lexical.phrase_hits(index, phrase_table(spark))
 
@@ -224,7 +229,7 @@ SELECT question, count(*) AS n_docs, min(doc_id) AS first_doc FROM q JOIN k ON l
 def general_search(spark, sf_dir):
     """The documents that have the first three words of each item."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), lexical.general_queries(F.array("text")).alias("queries"))
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     hits = lexical.searched(docs, asked, docs.count())
     return hits.groupBy("question").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
@@ -503,7 +508,7 @@ f AS (SELECT question, doc_id, seq, sentence, len(list_intersect(sw, qw)) AS com
 
 def all_sentences(spark, sf_dir):
     """The sentences of all documents, and all items of the benchmark as questions."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(evidence.sentences(F.col("text"))).alias("seq", "sentence"))
+    d = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(evidence.sentences(F.col("text"))).alias("seq", "sentence")).filter("sentence is not null")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), evidence.words(F.col("text")).alias("words"))
     return d.withColumn("words", evidence.words(F.col("sentence"))), q
 
