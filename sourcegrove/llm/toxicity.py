@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon of word beginnings, matched by Aho-Corasick after folding, normalised by length.
 
 Folding lowers letters, maps look-alike letters of other scripts and digits or signs that stand for letters, and drops
-zero-width characters. The lexicon and its weights are learned from labelled rows; hits inside exception phrases don't count.
+zero-width characters. The lexicon and its weights are learned from labelled rows; hits inside exception phrases don't count. Exception
+phrases are fixed ones, and pairs of words around a hit that stand in enough clean rows of the sample and in no toxic one.
 """
 
 from __future__ import annotations
@@ -103,6 +104,13 @@ class Lexicon:
                 best[start] = last + 1, weight
         return [(a, b, w) for a, (b, w) in sorted(best.items()) if not any(x <= a and b <= y for x, y in spans)]
 
+    def phrases(self, text: str) -> set[str]:
+        """The pairs of neighbouring words, one space apart, of which one begins with a hit."""
+        folded = fold(text)
+        starts = {a for a, _, _ in self.hits(folded)}
+        spans = [m.span() for m in _WORD.finditer(folded)] if starts else []
+        return {folded[a:d] for (a, b), (c, d) in zip(spans, spans[1:], strict=False) if folded[b:c] == " " and (a in starts or c in starts)}
+
     def feature(self, text: str) -> tuple[float, int]:
         """The hits' weights summed and divided by the root of the length in hundreds of words (plus one); the number of hits."""
         found = self.hits(fold(text))
@@ -173,6 +181,15 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if x >= LEAST_WEIGHT and not any(weights.get(w[:k], 0.0) >= x - 0.7 for k in LENGTHS if k < len(w)):
             weights[w] = x
     lexicon = Lexicon(weights)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in sorted(lexicon.phrases(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["p", "y"])
+
+    harmless = once.mapInArrow(met, "p string, y int").groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.max("y").alias("y")).filter((F.col("n") >= SUPPORT) & (F.col("y") == 0))
+    lexicon.exceptions += tuple(sorted(r.p for r in harmless.select("p").collect()))  # bounded by the sample
+    lexicon.automaton = None
     # The curve: logistic regression on one number of each sample row.
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -475,3 +476,56 @@ def test_toxicity(spark):
 def test_exception_phrases():
     x = toxicity.Lexicon({"clown": 5.0, "tras": 3.0}, 1.0, -3.0, ("clown fish",))
     assert [h[:2] for h in x.hits("a clown fish and a clown, trashy; subclown")] == [(19, 24), (26, 30)]
+
+
+# ------------------------------------------------------------------ held-out figures on the tables
+
+
+@pytest.fixture(scope="session")
+def tables_dir():
+    path = "/root/testdata/sf0.1"
+    if not os.path.isdir(path):
+        pytest.skip("the driver's tables are not here")
+    return path
+
+
+def test_language_accuracy_on_held_out_rows(spark, tables_dir):
+    docs_ = queries.table(spark, tables_dir, "documents").select("doc_id", "lang")
+    got = queries.op9_language_id(spark, tables_dir).join(docs_, "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
+    assert n > 3000 and right >= 0.995 * n
+
+
+def test_toxicity_on_held_out_rows(spark, tables_dir):
+    labels = queries.table(spark, tables_dir, "labels").select("doc_id", "toxic")
+    got = queries.op10_toxicity(spark, tables_dir).join(labels, "doc_id").filter("held_out").groupBy("predicted", "toxic").count().collect()
+    n = {(r.predicted, r.toxic): r["count"] for r in got}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[0, 1]) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((1, 0), 0))
+
+
+def test_harmless_phrases_are_learned(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{prose(rng, 12)} {'you moron' if i % 3 == 0 else 'moron river'} {prose(rng, 12)} {rng.random()}" if i % 3 < 2 else prose(rng, 30), int(i % 3 == 0)) for i in range(300)]
+    rows += [(1000 + i, f"{prose(rng, 20)} moron {prose(rng, 9)}", 1) for i in range(300)]  # the word alone is telling
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    if any("moron".startswith(w) for w in lexicon.weights):
+        assert "moron river" in lexicon.exceptions and "you moron" not in lexicon.exceptions
+        assert lexicon.feature("the moron river is long") == (0.0, 0) and lexicon.feature("you moron")[1] == 1
+
+
+def test_learning_every_language(spark):
+    """More languages than codeword tables hold, one of them with a single row."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(40):
+        own = rng.sample(letters, 6)
+        rows += [(k * 10 + i, " ".join("".join(rng.choices(own, k=5)) for _ in range(40)), f"l{k:03}") for i in range(4 if k else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    coder = language_id.learn(df)
+    assert coder.languages == sorted({r[2] for r in rows})
+    codes = language_id.codewords(3000)
+    assert len({tuple(c) for c in codes.tolist()}) == 3000
+    got = language_id.language_id(df, coder).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.9 * len(got)
