@@ -379,18 +379,25 @@ def link_choice(spark, sf_dir):
 
 # ---------------------------------------------------------------- references and crawl
 
-REFERENCE_LINES = [
-    (1, '[2]\t3GPP TS 22.003: "Circuit Teleservices supported by a Public Land Mobile Network (PLMN)".'),
-    (2, '[33]\tIETF RFC 4960: "Stream Control Transmission Protocol".'),
-    (3, '[47]\tATIS-0700041: "WEA 3.0: Device-Based Geo-Fencing".'),
-    (4, '[25]\tGSMA AD.26: "Coding of Cell Broadcast Functions".'),
-    (5, '[12]\tITU-T Recommendation X.210: "Information technology".'),
-    (6, "[1]\tVoid"),
-    (7, '[32] ETSI TS 102 900: "Emergency Communications".'),
-    (8, "no reference"),
-    (9, "[5] IEEE 802.11 wireless"),
-    (10, "[6] O-RAN.WG4-CUS and MEF 10"),
-]
+#: A reference line for each document, in one of ten forms; {n} is a number of three digits, {f} one of four.
+REFERENCE_FORMS = [
+    '[{i}]\t3GPP TS 22.{n}: "Circuit Teleservices supported by a Public Land Mobile Network (PLMN)".', '[{i}]\tIETF RFC {f}: "Stream Control Transmission Protocol".', '[{i}]\tATIS-0700{n}: "WEA 3.0: Device-Based Geo-Fencing".', '[{i}]\tGSMA AD.{n}: "Coding of Cell Broadcast Functions".',
+    '[{i}]\tITU-T Recommendation X.{n}: "Information technology".', "[{i}]\tVoid", '[{i}] ETSI TS 102 {n}: "Emergency Communications".', "no reference {i}", "[{i}] IEEE 802.{n} wireless", "[{i}] O-RAN.WG4-CUS{n} and MEF 10",
+]
+
+
+def form_sql(form: str) -> str:
+    out = quoted(form).replace("\t", "' || chr(9) || '")
+    for name, value in (("i", "doc_id % 97"), ("n", "(100 + doc_id % 900)"), ("f", "(1000 + doc_id % 9000)")):
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return out
+
+
+def form_column(form: str):
+    out = F.lit(form)
+    for name, value in (("i", F.col("doc_id") % 97), ("n", 100 + F.col("doc_id") % 900), ("f", 1000 + F.col("doc_id") % 9000)):
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
 
 
 def _reference_case(group: int) -> str:
@@ -401,9 +408,9 @@ def _reference_case(group: int) -> str:
 
 
 @query(
-    r"WITH x AS (SELECT id, trim(line) AS raw, regexp_extract(trim(line), '^\[(\d+)\]\s*(.+)$', 1) AS num, trim(regexp_extract(trim(line), '^\[(\d+)\]\s*(.+)$', 2)) AS body FROM "
-    + values_sql(REFERENCE_LINES, "id, line")
-    + "), y AS (SELECT id, raw AS raw_text, CASE "
+    r"WITH x AS (SELECT id, trim(line) AS raw, regexp_extract(trim(line), '^\[(\d+)\]\s*(.+)$', 1) AS num, trim(regexp_extract(trim(line), '^\[(\d+)\]\s*(.+)$', 2)) AS body FROM (SELECT doc_id AS id, CASE doc_id % 10 "
+    + " ".join(f"WHEN {k} THEN {form_sql(x)}" for k, x in enumerate(REFERENCE_FORMS))
+    + " END AS line FROM documents)), y AS (SELECT id, raw AS raw_text, CASE "
     + _reference_case(0)
     + " END AS org, CASE "
     + _reference_case(1)
@@ -411,7 +418,10 @@ def _reference_case(group: int) -> str:
 )
 def reference_parse(spark, sf_dir):
     """R1 R1a R1b R2."""
-    return references.parse_references(values(spark, REFERENCE_LINES, "id int, text string"))
+    line = F.when(F.col("doc_id") % 10 == 0, form_column(REFERENCE_FORMS[0]))
+    for k, x in enumerate(REFERENCE_FORMS[1:], 1):
+        line = line.when(F.col("doc_id") % 10 == k, form_column(x))
+    return references.parse_references(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), line.alias("text")))
 
 
 @query("SELECT org, code, 'pending' AS status, 'https://www.rfc-editor.org/rfc/rfc' || code || '.html' AS source_url, NULL::VARCHAR AS version FROM (VALUES ('IETF', '4960'), ('IETF', '9000')) t(org, code) UNION ALL SELECT * FROM (VALUES ('3GPP', 'TS 23.501', 'pending', 'https://www.3gpp.org/ftp/Specs/archive/23_series/23.501/23501-k00.zip', '23501-k00.zip'), ('3GPP', 'TS 99.999', 'unresolved', NULL, NULL), ('ETSI', 'TS 102 900', 'pending', 'https://www.etsi.org/deliver/etsi_ts/102900_102999/102900/01.04.01_60/ts_102900v010401p.pdf', NULL), ('ITU-T', 'X.210', 'blocked', 'https://www.itu.int/rec/T-REC-X.210/en', NULL), ('GSMA', 'AD.26', 'blocked', NULL, NULL)) t")
@@ -426,6 +436,24 @@ def resolve_urls(spark, sf_dir):
     return references.resolve(values(spark, refs, "org string, code string"), values(spark, listing, "folder_url string, pos int, link string"))
 
 
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'unresolved' ELSE 'pending' END WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'unresolved' WHEN doc_id % 3 = 1 THEN 'blocked' ELSE 'pending' END ELSE CASE WHEN doc_id % 3 = 2 THEN 'pending' ELSE 'blocked' END END AS status,
+CASE doc_id % 4 WHEN 0 THEN 'https://www.rfc-editor.org/rfc/rfc' || (1000 + doc_id) || '.html' WHEN 1 THEN CASE WHEN doc_id % 3 <> 0 THEN 'https://www.3gpp.org/ftp/Specs/archive/23_series/23.' || (1000 + doc_id) || '/b.zip' END
+  WHEN 2 THEN CASE WHEN doc_id % 3 = 2 THEN 'https://www.itu.int/rec/T-REC-X.' || (1000 + doc_id) || '/t.pdf' WHEN doc_id % 3 = 1 THEN 'https://www.itu.int/rec/T-REC-X.' || (1000 + doc_id) || '/en' END ELSE CASE WHEN doc_id % 3 = 2 THEN 'https://x/' || doc_id || '.PDF' WHEN doc_id % 3 = 1 THEN 'https://x/first' END END AS source_url FROM documents"""
+)
+def resolved_documents(spark, sf_dir):
+    """R3 R3a R3b R3d R3e A11 A12: a reference for each document, and the listings of their folders."""
+    n = F.col("doc_id")
+    org = F.when(n % 4 == 0, "IETF").when(n % 4 == 1, "3GPP").when(n % 4 == 2, "ITU-T").otherwise("GSMA")
+    code = F.when(n % 4 == 0, (1000 + n).cast("string")).when(n % 4 == 1, F.concat(F.lit("TS 23."), 1000 + n)).when(n % 4 == 2, F.concat(F.lit("X."), 1000 + n)).otherwise(F.concat(F.lit("AD."), n))
+    folder = F.when(n % 4 == 1, F.concat(F.lit("https://www.3gpp.org/ftp/Specs/archive/23_series/23."), 1000 + n, F.lit("/"))).when(n % 4 == 2, F.concat(F.lit("https://www.itu.int/rec/T-REC-X."), 1000 + n, F.lit("/en"))).when(n % 4 == 3, F.concat(F.lit("search:GSMA AD."), n))
+    links = F.when(n % 4 == 1, F.array(F.lit("a.zip"), F.lit("b.zip"), F.lit("z.txt"))).when(n % 4 == 2, F.when(n % 3 == 2, F.array(F.lit("/about"), F.lit("t.pdf"))).otherwise(F.array(F.lit("/about"))))
+    links = F.coalesce(links, F.when(n % 3 == 2, F.array(F.lit("https://x/first"), F.concat(F.lit("https://x/"), n, F.lit(".PDF")))).otherwise(F.array(F.lit("https://x/first"))))
+    d = table(spark, sf_dir, "documents").select("doc_id", org.alias("org"), code.alias("code"), folder.alias("folder_url"), links.alias("links"))
+    listing = d.filter("folder_url is not null and doc_id % 3 <> 0").select("folder_url", F.posexplode("links").alias("pos", "link"))
+    return references.resolve(d.select("doc_id", "org", "code"), listing).select("doc_id", "status", "source_url")
+
+
 @query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM documents), c AS (SELECT doc_id AS a, unnest([2 * doc_id + 1, 2 * doc_id + 2]) AS b FROM documents), r(code, level) AS (SELECT 0::BIGINT, 0 UNION SELECT b, level + 1 FROM r JOIN c ON r.code = c.a, n WHERE b < n) SELECT 'D' AS org, code::VARCHAR AS code, min(level) AS level FROM r GROUP BY ALL")
 def crawl_closure(spark, sf_dir):
     """The full closure from document 0 where document a cites 2a + 1 and 2a + 2, as far as they are there."""
@@ -571,17 +599,21 @@ def answer_confidence(spark, sf_dir):
     return evidence.confidence(evidence.folded_scores(m).withColumn("answer_type", kind))
 
 
-GUARD = [
-    (1, "Hangi kodlar döner?", "200 ve 409 kodları döner.", "only 200 is there"), (2, "NB-IoT nedir?", "NR (Narrowband IoT) kullanılır.", "NR is new radio"), (3, "Hangi sistem?", "Bu sistem 5GS olur.", "The 5G System is used."),
-    (4, "Hangi sistem?", "Bilinmeyen bir yapı.", "The 5G System is used."), (5, "AMF ne yapar?", "AMF standart RFC 9000 dokümanıdır.", "AMF RFC 9000"), (6, "x", " ", None),
-]
-
-
-@query("SELECT * FROM (VALUES (1, false, '409', ''), (2, false, 'NR (Narrowband IoT)', ''), (3, true, '', '5G System'), (4, false, '', '5G System'), (5, false, '', ''), (6, false, '', '')) t(id, valid, claims, terms)")
+@query(
+    """WITH d AS (SELECT doc_id, (100 + doc_id % 400)::VARCHAR AS code, (100 + doc_id % 3 * 7)::VARCHAR AS other, 'QX' || doc_id % 11 AS name, 'QX' || doc_id % 7 AS seen FROM documents),
+c AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN list_filter([name, code, other], lambda x: x <> code AND x <> seen) WHEN 1 THEN CASE WHEN name = seen THEN [] ELSE [name] END ELSE [] END AS claims FROM d)
+SELECT doc_id, CASE doc_id % 5 WHEN 4 THEN false WHEN 3 THEN doc_id % 2 = 0 WHEN 2 THEN false ELSE len(claims) = 0 END AS valid, array_to_string(claims, ',') AS claims, CASE WHEN doc_id % 5 = 3 THEN '5G System' ELSE '' END AS terms FROM c"""
+)
 def answer_guard(spark, sf_dir):
-    """Q12 Q13."""
-    g = values(spark, GUARD, "id int, question string, reply string, evidence string")
-    return g.select("id", guard.validated(F.col("question"), F.col("reply"), F.col("evidence")).alias("v")).select("id", "v.valid", F.array_join("v.unsupported_claims", ",").alias("claims"), F.array_join("v.evidence_terms", ",").alias("terms"))
+    """Q12 Q13: a reply for each document: codes and names that its evidence has or not, a document as answer, a system's name, and none."""
+    n = F.col("doc_id")
+    code, other = (100 + n % 400).cast("string"), (100 + n % 3 * 7).cast("string")
+    name, seen = F.concat(F.lit("QX"), n % 11), F.concat(F.lit("QX"), n % 7)
+    question = F.when(n % 5 == 3, "Hangi sistem?").when(n % 5 == 2, "amf ne yapar?").otherwise("neler var?")
+    reply = F.when(n % 5 == 0, F.concat(name, F.lit(" ile "), code, F.lit(" ve "), other, F.lit(" olur."))).when(n % 5 == 1, F.concat(name, F.lit(" olur."))).when(n % 5 == 2, "amf standart RFC 9000 budur.").when(n % 5 == 3, F.when(n % 2 == 0, "Bu 5GS olur.").otherwise("bilinmeyen bir şey.")).otherwise(" ")
+    evidence_ = F.concat(F.when(n % 5 == 3, "the 5G System is used. ").otherwise(""), seen, F.lit(" "), code, F.lit(" RFC 9000"))
+    d = table(spark, sf_dir, "documents").select("doc_id", guard.validated(question, reply, evidence_).alias("v"))
+    return d.select("doc_id", "v.valid", F.array_join("v.unsupported_claims", ",").alias("claims"), F.array_join("v.evidence_terms", ",").alias("terms"))
 
 
 @query(
@@ -711,36 +743,55 @@ def meeting_contributions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", gates.is_meeting_contribution(F.col("text")).alias("contribution"))
 
 
-IDENTITIES = [(1, "RFC 9000", "Scope", "This document defines X"), (2, "3GPP TS 23.501", "References", "x"), (3, "etsi tr 102.900", "Overview of scope", "The present document  describes"), (4, "other", None, None)]
-
-
-@query("SELECT * FROM (VALUES (1, 'IETF', '9000', 20.0::DOUBLE), (2, '3GPP', 'TS 23.501', -10.0), (3, 'ETSI', 'TR 102.900', 27.0), (4, NULL, NULL, 0.0)) t(id, org, code, quality)")
+@query(
+    """WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'RFC ' || doc_id WHEN 1 THEN '3gpp TS 23.' || (100 + doc_id % 900) WHEN 2 THEN 'ETSI tr  102.' || doc_id WHEN 3 THEN ' rfc   7 ' ELSE 'RFC x' END AS answer,
+  CASE doc_id % 4 WHEN 0 THEN 'Scope and overview' WHEN 1 THEN 'Normative References' WHEN 2 THEN 'Introduction to scope' END AS title, lower(CASE WHEN doc_id % 3 = 0 THEN 'The present document  Describes ' ELSE '' END || coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 3) THEN 'IETF' WHEN doc_id % 5 = 1 THEN '3GPP' WHEN doc_id % 5 = 2 THEN 'ETSI' END AS org, CASE doc_id % 5 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN 'TS 23.' || (100 + doc_id % 900) WHEN 2 THEN 'TR 102.' || doc_id WHEN 3 THEN '7' END AS code,
+  (CASE WHEN doc_id % 4 IN (0, 2) THEN 17 WHEN doc_id % 4 = 1 THEN -10 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 10 ELSE 0 END)::DOUBLE AS quality FROM d"""
+)
 def document_sources(spark, sf_dir):
-    """Q8g Q8h T5 J12."""
-    rows = values(spark, IDENTITIES, "id int, answer string, title string, text string")
-    return rows.select("id", gates.document_identity(F.col("answer")).alias("d"), gates.source_quality(F.col("title"), F.col("text")).alias("quality")).select("id", "d.org", "d.code", "quality")
+    """Q8g Q8h: what document an answer is, and how well a clause introduces one, for an answer and clause for each document."""
+    n = F.col("doc_id")
+    answer = F.when(n % 5 == 0, F.concat(F.lit("RFC "), n)).when(n % 5 == 1, F.concat(F.lit("3gpp TS 23."), 100 + n % 900)).when(n % 5 == 2, F.concat(F.lit("ETSI tr  102."), n)).when(n % 5 == 3, " rfc   7 ").otherwise("RFC x")
+    title = F.when(n % 4 == 0, "Scope and overview").when(n % 4 == 1, "Normative References").when(n % 4 == 2, "Introduction to scope")
+    text = F.concat(F.when(n % 3 == 0, "The present document  Describes ").otherwise(""), F.coalesce("text", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", gates.document_identity(answer).alias("d"), gates.source_quality(title, text).alias("quality"))
+    return d.select("doc_id", "d.org", "d.code", "quality")
 
 
-ANSWERS = [
-    (1, "Cell Broadcast hangi sistemde kullanılır?", "SİSTEM", "5G system", "high"), (2, "Hangi sistem?", "SİSTEM", "5G system", "high"), (3, "E.164 kaç basamak?", "DEĞER / LİMİT", "15", "high"),
-    (4, "QUIC hangi RFC?", "STANDART / DOKÜMAN", "RFC 9000", "high"), (5, "x", "PROTOKOL", "QUIC", "medium"), (6, "E.164 15 mi, kaç?", "DEĞER / LİMİT", "15", "high"),
-]
+KINDS = ["PROSEDÜR", "MESAJ", "STANDART / DOKÜMAN", "PROTOKOL", "DEĞER / LİMİT", "GENEL TEKNİK BİLGİ"]
+REPLY_SQL = " ".join(f"WHEN {k} THEN " + quoted(rules.ANSWER_SENTENCES[x]).replace("%s", "' || a || '") for k, x in enumerate(KINDS) if x in rules.ANSWER_SENTENCES)
 
 
-@query("SELECT * FROM (VALUES (1, 'Cell Broadcast 5G System içinde kullanılır.', false), (2, 'İlgili sistem 5G System''dır.', false), (3, 'Kaynakta belirtilen değer 15''dır.', false), (4, 'İlgili standart veya doküman RFC 9000''dır.', false), (5, NULL, false), (6, 'Kaynakta belirtilen değer 15''dır.', true)) t(id, reply, second_search)")
+@query(
+    f"""WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(source, '') || '  ' || doc_id % 40, '\\s+', ' ', 'g')) AS a, doc_id % 3 = 0 AS sure FROM documents),
+r AS (SELECT doc_id, a, sure, CASE WHEN sure THEN CASE doc_id % 6 {REPLY_SQL} END END AS reply FROM d)
+SELECT doc_id, reply, sure AND reply IS NOT NULL AS now, CASE WHEN doc_id % 6 = 4 THEN reply IS NULL OR NOT sure ELSE false END AS second_search FROM r"""
+)
 def answer_rendering(spark, sf_dir):
-    """Q10 F15 F16 F22 F23 Q2d."""
-    rows = values(spark, ANSWERS, "id int, question string, kind string, answer string, confidence string")
-    reply = gates.rendered(F.col("question"), F.col("kind"), F.col("answer"), F.col("confidence"))
-    return rows.select("id", reply.alias("reply"), gates.needs_second_search(F.col("question"), F.col("kind"), F.col("confidence"), F.col("answer"), reply.isNotNull()).alias("second_search"))
+    """Q10 F15 F16 F23 Q2d: the sentence of a sure answer of each type, whether it can be given at once, and whether a second search is needed."""
+    n = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (n % 6 + 1).cast("int"))
+    level = F.when(n % 3 == 0, "high").otherwise("medium")
+    d = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.concat(F.coalesce("source", F.lit("")), F.lit("  "), n % 40).alias("answer"), level.alias("level"), F.lit("neye bakılır?").alias("q"))
+    d = d.withColumn("reply", gates.rendered(F.col("q"), F.col("kind"), F.col("answer"), F.col("level")))
+    again = gates.needs_second_search(F.col("q"), F.col("kind"), F.col("level"), F.col("answer"), F.col("reply").isNotNull())
+    return d.select("doc_id", "reply", gates.can_answer_now(F.col("level"), F.col("reply").isNotNull(), F.coalesce("reply", F.lit(""))).alias("now"), again.alias("second_search"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false)) t(id, wins)")
+@query(
+    """WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'AMF' WHEN 1 THEN 'SMF' WHEN 2 THEN '' ELSE 'NRF' END AS nf, CASE WHEN doc_id % 5 = 0 THEN 'TR 1' ELSE 'TS 1' END AS c1, CASE doc_id % 3 WHEN 0 THEN 'SMF CLAUSE' WHEN 1 THEN 'AMF' ELSE 'GENERAL' END AS t1,
+  CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 7 END AS b1, doc_id % 6 AS b2, doc_id % 13 = 0 AS no1, doc_id % 17 = 0 AS no2 FROM documents)
+SELECT doc_id, CASE WHEN no2 THEN false WHEN no1 THEN true WHEN c1 = 'TR 1' THEN true WHEN nf <> '' AND NOT contains(t1, nf) AND (contains(t1, 'AMF') AND nf <> 'AMF' OR contains(t1, 'SMF') AND nf <> 'SMF') THEN true ELSE coalesce(b2 >= b1, true) END AS wins FROM d"""
+)
 def evidence_arbitration(spark, sf_dir):
-    """F17 F18 A5."""
-    rows = [(1, "q", ("TR 1", "t", 9.0), ("TS 2", "t", 1.0)), (2, "AMF?", ("TS 1", "SMF clause", 9.0), ("TS 2", "AMF", 1.0)), (3, "q", ("TS 1", "t", 9.0), ("TS 2", "t", 1.0)), (4, "q", ("TS 1", "t", None), ("TS 2", "t", 1.0)), (5, "q", ("TS 1", "t", 1.0), None)]
-    hit = "struct<code:string,clause_title:string,best:double>"
-    return values(spark, rows, f"id int, question string, normal {hit}, second {hit}").select("id", gates.second_wins(F.col("question"), F.col("normal"), F.col("second")).alias("wins"))
+    """The first and the second search's best hit of a question for each document."""
+    n, hit = F.col("doc_id"), "struct<code:string,clause_title:string,best:double>"
+    question = F.concat(F.lit("what does "), F.when(n % 4 == 0, "AMF").when(n % 4 == 1, "smf").when(n % 4 == 2, "it").otherwise("NRF"), F.lit(" do"))
+    first = F.struct(F.when(n % 5 == 0, "TR 1").otherwise("TS 1").alias("code"), F.when(n % 3 == 0, "SMF clause").when(n % 3 == 1, "AMF").otherwise("General").alias("clause_title"), F.when(n % 11 != 0, (n % 7).cast("double")).alias("best")).cast(hit)
+    second = F.struct(F.lit("TS 2").alias("code"), F.lit("x").alias("clause_title"), (n % 6).cast("double").alias("best")).cast(hit)
+    d = table(spark, sf_dir, "documents").select("doc_id", question.alias("q"), F.when(n % 13 != 0, first).alias("a"), F.when(n % 17 != 0, second).alias("b"))
+    return d.select("doc_id", gates.second_wins(F.col("q"), F.col("a"), F.col("b")).alias("wins"))
 
 
 @query("SELECT 1 AS id, 'N1|reference point' AS queries UNION ALL SELECT 2, 'reference point between|AMF|SMF;reference point|AMF|SMF;AMF|SMF|reference point' UNION ALL SELECT 3, 'Reference point between|AMF;Reference points|AMF;(R)AN|AMF;NG-RAN|AMF;N2|AMF' UNION ALL SELECT 4, NULL")
@@ -893,6 +944,26 @@ def upserted_rows(spark, sf_dir):
     return ingest.upserted(d.withColumns({"no": F.lit(0), "text": F.lit("old")}), new, "doc_id", "no").select("doc_id", "text")
 
 
+@query("SELECT doc_id, n_chars FROM documents")
+def resumed_store(spark, sf_dir):
+    """A store of half the documents is opened again and gets the other half."""
+    d, at = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), tables.new_folder(spark, "store")
+    ingest.append_missing(spark, d.filter("doc_id % 2 = 0"), at, "doc_id")
+    ingest.append_missing(spark, d, at, "doc_id", resume=True)
+    return spark.read.parquet(at)
+
+
+@query(
+    """WITH q AS (SELECT doc_id, doc_id % 20 AS page, 'see ts 23.' || (100 + doc_id % 40) || CASE WHEN doc_id % 3 = 0 THEN ' and TS23.10' ELSE '' END AS t FROM documents), c AS (SELECT DISTINCT doc_id % 20 AS page, 'TS 23.' || (100 + doc_id % 60) AS code FROM documents)
+SELECT doc_id, list_sort(list(code)) AS named FROM q JOIN c USING (page) WHERE contains(replace(lower(t), ' ', ''), replace(lower(code), ' ', '')) GROUP BY doc_id"""
+)
+def named_references(spark, sf_dir):
+    """Which of its page's references a question for each document names."""
+    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
+    asked = d.select("doc_id", (n % 20).alias("page"), F.concat(F.lit("see ts 23."), 100 + n % 40, F.when(n % 3 == 0, " and TS23.10").otherwise("")).alias("text"))
+    return contexts.named_in(asked, d.select((n % 20).alias("page"), F.concat(F.lit("TS 23."), 100 + n % 60).alias("code"))).select("doc_id", "named")
+
+
 KEYS = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id", "events": "event_id"}
 
 
