@@ -321,3 +321,7 @@ TITLE_QUALITY = [(["scope"], 10.0), (["introduction", "overview"], 7.0), (["refe
 USED_WORDS = ["kullan", "çalış", "yer al"]
 # Fixed values of the answer guard: the short and long forms in which a reply may name a system.
 SYSTEM_SUFFIX, SYSTEM_FORM, FIFTH_SYSTEM, FIFTH_SHORT = " system", " sistemi", "5g system", "5gs"
+
+# Fixed values of the guidance for a prompt.
+GUIDANCE = "BEKLENEN CEVAP TÜRÜ: %s\nCOMPOSER GÜVENİ: %s\nKAYNAKTAN ÇIKARILAN ANA CEVAP: %s"
+GUIDANCE_NO_ANSWER, GUIDANCE_FACTS, GUIDANCE_FACT = "BELİRSİZ", "DOĞRUDAN DESTEKLEYİCİ KAYNAK CÜMLELERİ:", "- [%s | %s] %s"

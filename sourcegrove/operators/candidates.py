@@ -411,3 +411,11 @@ def composed(hits: DataFrame) -> DataFrame:
     kinds = hits.groupBy("question").agg(F.first("answer_type").alias("answer_type"))
     out = kinds.join(evidence.confidence(all_of_them), "question", "left").join(best, "question", "left").join(facts, "question", "left")
     return out.select("question", "answer_type", F.coalesce("primary_answer", F.lit("")).alias("primary_answer"), F.coalesce("confidence", F.lit("low")).alias("confidence"), "margin", "candidates", "facts")
+
+
+def guidance(composed_rows: DataFrame) -> DataFrame:
+    """Q15: (question, guidance): the composed answer as lines for a prompt: type, confidence, answer, and the facts with their places."""
+    answer = F.when(F.col("primary_answer") != "", F.col("primary_answer")).otherwise(rules.GUIDANCE_NO_ANSWER)
+    facts = F.transform(F.coalesce("facts", F.array().cast("array<struct<rank:int,sentence:string,score:double,code:string,clause:string>>")), lambda f: F.format_string(rules.GUIDANCE_FACT, f["code"], f["clause"], f["sentence"]))
+    head = F.format_string(rules.GUIDANCE, "answer_type", "confidence", answer)
+    return composed_rows.select("question", F.when(F.size(facts) > 0, F.concat_ws("\n", head, F.lit(rules.GUIDANCE_FACTS), F.array_join(facts, "\n"))).otherwise(head).alias("guidance"))

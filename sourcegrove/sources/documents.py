@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
@@ -90,6 +91,54 @@ def html_text(html: str) -> str:
     return "\n".join(p.out)
 
 
+# The parts of a PDF file that carry text: streams, text objects, and what stands in them.
+_STREAM = re.compile(rb"<<(?:(?!stream\b).)*?>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
+_TEXT_OBJECT = re.compile(rb"\bBT\b(.*?)\bET\b", re.S)
+_TEXT_PART = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]+>|\bT[dDm*]\B|\bT[dDm]\b|T\*|['\"](?=\s)|(?<=[\s\])>])-?\d+(?:\.\d+)?(?=[\s(<\]])", re.S)
+_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
+_ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+#: A gap in an array of strings, in thousandths of the font size, that counts as a space.
+PDF_GAP = 200
+
+
+def pdf_string(raw: bytes) -> str:
+    """A literal or hexadecimal string: UTF-16 with a mark, else Latin-1."""
+    if raw[:1] == b"<":
+        digits = re.sub(rb"\s", b"", raw[1:-1])
+        value = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        value = _ESCAPE.sub(lambda m: _ESCAPED.get(m[1]) or (bytes([int(m[1], 8) & 255]) if m[1].isdigit() else b"" if m[1].strip() == b"" else m[1]), raw[1:-1])
+    return value.decode("utf-16", "replace") if value[:2] in (b"\xfe\xff", b"\xff\xfe") else value.decode("latin-1")
+
+
+def pdf_text(raw: bytes) -> str:
+    """The text layer of a PDF file, a line for each move of the text position; empty for what is no PDF.
+
+    Reads plain and deflated content streams in file order and strings in plain encodings. Fonts with glyph numbers of their own, encrypted
+    files and object streams need a PDF library, which isn't here.
+    """
+    lines: list[str] = []
+    for m in _STREAM.finditer(raw or b""):
+        body = m[1]
+        if b"FlateDecode" in raw[m.start() : m.start(1)]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        for block in _TEXT_OBJECT.findall(body):
+            line = ""
+            for part in _TEXT_PART.findall(block):
+                if part[:1] in b"(<":
+                    line += pdf_string(part)
+                elif part[:1] in b"T'\"":
+                    lines.append(line)
+                    line = ""
+                elif float(part) <= -PDF_GAP and line and not line.endswith(" "):
+                    line += " "
+            lines.append(line)
+    return "\n".join(x for x in (" ".join(x.split()) for x in lines) if x)
+
+
 def kind_of(content_type: Column, url: Column) -> Column:
     """Which reader a response needs."""
     t, u = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.coalesce(url, F.lit("")))
@@ -99,7 +148,7 @@ def kind_of(content_type: Column, url: Column) -> Column:
 
 
 def read_documents(files: DataFrame, content: str = "content", kind: str = "kind", code: str | None = None) -> DataFrame:
-    """Files with text in place of content. PDF needs a library that isn't here: its text is null."""
+    """Files with text in place of content (PDF: its plain text layer, see `pdf_text`); null for other kinds."""
     keys = [c for c in files.columns if c != content]
     rows = files.select(*keys, F.col(kind).alias("__kind"), (F.col(code) if code else F.lit(None).cast("string")).alias("__code"), content)
     n = len(keys)
@@ -109,7 +158,7 @@ def read_documents(files: DataFrame, content: str = "content", kind: str = "kind
             out = []
             for k, c, raw in zip(*(batch.column(n + i).to_pylist() for i in range(3)), strict=True):
                 raw = raw or b""
-                out.append(docx_text(raw) if k == "docx" else zip_text(raw, c) if k == "zip" else html_text(raw.decode("utf-8", "replace")) if k == "html" else None)
+                out.append(docx_text(raw) if k == "docx" else zip_text(raw, c) if k == "zip" else html_text(raw.decode("utf-8", "replace")) if k == "html" else pdf_text(raw) if k == "pdf" else None)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], pa.array(out, pa.string())], [*keys, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])

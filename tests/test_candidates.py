@@ -327,6 +327,14 @@ def test_document_answers(spark):
     assert r.a == 12.0 and r.d == ["3GPP TS 23.003", "RFC 3966"]
 
 
+def test_guidance(spark):
+    rows = [(1, "SİSTEM", "5G System", "high", [(1, "It is.", 2.0, "TS 1", "4")]), (2, "MESAJ", "", "low", None)]
+    df = spark.createDataFrame(rows, "question int, answer_type string, primary_answer string, confidence string, facts array<struct<rank:int,sentence:string,score:double,code:string,clause:string>>")
+    got = {r.question: r.guidance.split("\n") for r in candidates.guidance(df).collect()}
+    assert got[1] == ["BEKLENEN CEVAP TÜRÜ: SİSTEM", "COMPOSER GÜVENİ: high", "KAYNAKTAN ÇIKARILAN ANA CEVAP: 5G System", "DOĞRUDAN DESTEKLEYİCİ KAYNAK CÜMLELERİ:", "- [TS 1 | 4] It is."]
+    assert got[2][2] == "KAYNAKTAN ÇIKARILAN ANA CEVAP: BELİRSİZ" and len(got[2]) == 3
+
+
 def test_confidence(spark):
     kinds = {1: "SİSTEM", 2: "PROTOKOL", 3: candidates.DOCUMENT, 4: "PROTOKOL", 5: "SİSTEM"}
     rows = [(1, "a", 9.0, 1, False, 1), (1, "b", 8.0, 1, True, 2), (2, "a", 9.0, 1, False, 1), (3, "a", 9.0, 3, True, 1), (3, "b", 9.0, 1, True, 2), (4, "a", 5.0, 1, True, 1), (5, "a", 3.9, 1, True, 1)]

@@ -196,6 +196,16 @@ def test_resume_and_stream(spark, tmp_path):
         pass
 
 
+def test_pdf_text_layer():
+    import zlib
+
+    page = b"BT /F1 12 Tf 72 700 Td (Scope \\(one\\)) Tj 0 -14 Td [(Pro) 20 (tocol) -300 (stack)] TJ T* <48656C6C6F> Tj ET BT (caf\\351) Tj ET"
+    deflated = zlib.compress(b"BT 1 0 0 1 72 700 Tm (second page) Tj ET")
+    raw = b"%PDF-1.4\n1 0 obj\n<< /Length 1 >>\nstream\n" + page + b"\nendstream\nendobj\n2 0 obj\n<< /Filter /FlateDecode /Length 2 >>\nstream\n" + deflated + b"\nendstream\nendobj\n"
+    assert sources.pdf_text(raw) == "Scope (one)\nProtocol stack\nHello\ncafé\nsecond page"
+    assert sources.pdf_text(b"no pdf") == sources.pdf_text(b"") == ""
+
+
 def test_docx_zip_html(spark):
     def docx(*paragraphs):
         f = io.BytesIO()
@@ -215,7 +225,7 @@ def test_docx_zip_html(spark):
     assert sources.zip_text(f.getvalue()) == "one\ncell\n\ntwo\ncell"
     assert sources.html_text("<p>a &amp; b<script>x</script><!-- c --> <b>c</b>") == "a & b\nc"
     files = spark.createDataFrame([(1, "docx", docx("q")), (2, "html", b"<i>h</i>"), (3, "docx", None), (4, "pdf", b"x")], "id int, kind string, content binary")
-    assert {r.id: r.text for r in sources.read_documents(files).collect()} == {1: "q\ncell", 2: "h", 3: "", 4: None}
+    assert {r.id: r.text for r in sources.read_documents(files).collect()} == {1: "q\ncell", 2: "h", 3: "", 4: ""}
 
 
 def test_guard(spark):
