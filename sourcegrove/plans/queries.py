@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import html
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -377,6 +382,40 @@ def link_choice(spark, sf_dir):
     return links.groupBy("page_id").agg(F.min_by("link", "pos").alias("first_link"), F.max("link").alias("last_link"))
 
 
+def packed_file(kind: str, text: str) -> bytes:
+    """A file of one paragraph: DOCX, a ZIP with one, HTML or PDF."""
+    if kind == "html":
+        return f"<html><body><script>x</script><p>{html.escape(text)}</p></body></html>".encode()
+    if kind == "pdf":
+        return b"%PDF-1.4\n1 0 obj\n<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(b"BT 1 0 0 1 72 700 Tm <" + b"\xfe\xff".hex().encode() + text.encode("utf-16-be").hex().encode() + b"> Tj ET") + b"\nendstream\nendobj\n"
+    body = f'<w:document xmlns:w="{sources.W[1:-1]}"><w:body><w:p><w:r><w:t>{html.escape(text)}</w:t></w:r></w:p></w:body></w:document>'
+
+    def zipped(name: str, content: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, content)
+        return out.getvalue()
+
+    docx = zipped("word/document.xml", body.encode())
+    return docx if kind == "docx" else zipped("23501-k00.docx", docx)
+
+
+@query(r"SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'docx' WHEN 1 THEN 'zip' WHEN 2 THEN 'html' ELSE 'pdf' END AS kind, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM benchmark")
+def file_texts(spark, sf_dir):
+    """Every item written as a file of one of four kinds and read again, the kind told by its address."""
+    names = ["docx", "zip", "html", "pdf"]
+
+    def packed(batches):
+        for b in batches:
+            kinds = [names[i % 4] for i in b.column(0).to_pylist()]
+            raw = [packed_file(k, t or "") for k, t in zip(kinds, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f"http://x/{i}.{k}" if k != "html" else f"http://x/{i}" for i, k in zip(b.column(0).to_pylist(), kinds, strict=True)]), pa.array(raw, pa.binary())], ["item_id", "url", "content"])
+
+    files = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text").mapInArrow(packed, "item_id long, url string, content binary")
+    files = files.withColumn("kind", sources.kind_of(F.lit("text/html"), F.col("url"))).drop("url")
+    return sources.read_documents(files).select("item_id", "kind", squeezed(F.col("text")).alias("text"))
+
+
 # ---------------------------------------------------------------- references and crawl
 
 #: A reference line for each document, in one of ten forms; {n} is a number of three digits, {f} one of four.
