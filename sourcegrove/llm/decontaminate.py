@@ -30,7 +30,7 @@ K1, B = 1.2, 0.75
 #: Least share of an item's own score; least shares of the question's and the answer's n-grams; words of an n-gram.
 THRESHOLD, QUESTION, ANSWER, GRAM = 0.6, 0.6, 0.6, 4
 #: Items of a block of the index; items, and words of items, of one index that is sent to the executors.
-BLOCK, SHARD, SHARD_WORDS = 8, 50_000, 2_500_000
+BLOCK, SHARD, SHARD_WORDS = 4, 50_000, 2_500_000
 
 _WORD = re.compile(r"\w+")
 
