@@ -114,6 +114,19 @@ def anchors(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return h[at].view(np.int64), at, first, last, *digests([raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
 
 
+def once(found: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], list[bytes | None]]:
+    """Anchors of one text (see `anchors`) with each different span once, at its first place, and the further places of each."""
+    _, _, first, _, s1, s2 = found
+    order = np.lexsort((first, s2, s1))
+    new = np.ones(len(order), bool)
+    new[1:] = (s1[order[1:]] != s1[order[:-1]]) | (s2[order[1:]] != s2[order[:-1]])
+    if new.all():
+        return found, [None] * len(order)
+    starts = np.append(np.flatnonzero(new), len(order))
+    again = [first[order[a + 1 : b]].astype("<i4").tobytes() or None for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+    return tuple(c[order[new]] for c in found), again
+
+
 class Suffixes:
     """The suffixes of a text told apart by up to `depth` bytes: ranks at growing depths, by doubling (or tripling, where ranks are short)."""
 
@@ -240,12 +253,14 @@ def placed(parts: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Runs of strings of a text that stand elsewhere, and those that stand at an earlier place, from its pieces."""
     out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     for p in parts:
-        x, whole = p["x"], np.array([[p["x"], p["x"] + p["n"]]])
         for k, (runs, all_of_it) in enumerate(((p["found"], p["many"]), (p["later"], p["many"] and not p["first"]))):
             if all_of_it:
-                out[k].append(whole)
+                out[k].append(np.array([[p["x"], p["x"] + p["n"]]]))
             elif runs:
-                out[k].append(np.frombuffer(runs, "<i4").reshape(-1, 2) + x)
+                out[k].append(np.frombuffer(runs, "<i4").reshape(-1, 2) + p["x"])
+            if p["more"]:  # of a kind with several places, all behind the first one here
+                again = np.frombuffer(p["more"], "<i4").astype(np.int64)
+                out[k].append(np.stack([again, again + p["n"]], 1))
     return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros((0, 2), np.int64) for x in out)
 
 
@@ -275,12 +290,15 @@ def parts_of(texts: DataFrame, pieces: DataFrame, length: int, bucket_bytes: int
     """(i1, i2, parts) of texts (i1, i2, u) with a repeated string: their pieces with the marks of their kinds.
 
     pieces: (i1, i2, x, n, o, g, s1, s2), and p1, p2, p3 where the texts are themselves cut from others at those places: n + 1 strings
-    from x on, the anchor at o in the first, group g, digest (s1, s2).
+    from x on, the anchor at o in the first, group g, digest (s1, s2). Where they are not, also more: the further places of an equal piece
+    in the same text, packed, so that a line that fills a text is one row.
     """
     deep = "p1" in pieces.columns
     place = [F.col(c) for c in (("p1", "p2", "p3") if deep else ("i1", "i2", "x"))]
     one = F.min(F.struct(*[c.cast("long").alias(f"p{k}") for k, c in enumerate(place, 1)], *(["i1", "i2", "x"] if deep else []), "n", "o"))
-    kinds = pieces.groupBy("g", "s1", "s2").agg(F.count(F.lit(1)).alias("m"), one.alias("one"))
+    if deep:
+        pieces = pieces.withColumn("more", F.lit(None).cast("binary"))
+    kinds = pieces.groupBy("g", "s1", "s2").agg(F.sum(1 + F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("long")).alias("m"), one.alias("one"))
     group = Window.partitionBy("g")
     ids = ["one.i1", "one.i2", "one.x"] if deep else [F.col("one.p1").alias("i1"), F.col("one.p2").cast(pieces.schema["i2"].dataType).alias("i2"), F.col("one.p3").cast("int").alias("x")]
     kinds = kinds.select("g", "s1", "s2", "m", "one.p1", "one.p2", "one.p3", *ids, "one.n", "one.o", F.sum("m").over(group).alias("all"), F.count(F.lit(1)).over(group).alias("kinds"), F.sum(F.col("one.n") + length).over(group).alias("bytes"))
@@ -324,7 +342,7 @@ def parts_of(texts: DataFrame, pieces: DataFrame, length: int, bucket_bytes: int
     known = kinds.select("s1", "s2", "m", "p1", "p2", "p3").join(marks, ["s1", "s2"], "left").filter("m > 1 or found is not null")
     known = known.select("s1", "s2", (F.col("m") > 1).alias("many"), "found", "later", F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
     first = (place[0] == F.col("q1")) & (place[1] == F.col("q2")) & (place[2] == F.col("q3"))
-    return pieces.join(known, ["s1", "s2"]).groupBy("i1", "i2").agg(F.collect_list(F.struct("x", "n", "many", first.alias("first"), "found", "later")).alias("parts"))  # no more than a text's own anchors
+    return pieces.join(known, ["s1", "s2"]).groupBy("i1", "i2").agg(F.collect_list(F.struct("x", "n", "more", "many", first.alias("first"), "found", "later")).alias("parts"))  # no more than a text's own anchors
 
 
 def text_parts(rows: DataFrame, length: int, gram: int, bucket_bytes: int, group_bytes: int, classes: tuple[int, ...]) -> DataFrame:
@@ -335,19 +353,22 @@ def text_parts(rows: DataFrame, length: int, gram: int, bucket_bytes: int, group
             for first, buf, offsets in byte_blocks(batch.column(2)):
                 out: list[tuple[np.ndarray, ...]] = []
                 owner: list[np.ndarray] = []
+                more: list[bytes | None] = []
                 for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), first):
                     if b - a >= length:
-                        out.append(anchors(buf[a:b], length, gram))
-                        owner.append(np.full(len(out[-1][0]), r, np.int64))
+                        found, again = once(anchors(buf[a:b], length, gram))
+                        out.append(found)
+                        owner.append(np.full(len(found[0]), r, np.int64))
+                        more += again
                 if out:
                     h, at, x, y, s1, s2 = (np.concatenate(c) for c in zip(*out, strict=True))
                     own = pa.array(np.concatenate(owner))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c.astype(np.int32)) for c in (x, y - x, at - x)], *map(pa.array, (h, s1, s2))],
-                        ["i1", "i2", "x", "n", "o", "g", "s1", "s2"],
+                        [batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c.astype(np.int32)) for c in (x, y - x, at - x)], *map(pa.array, (h, s1, s2)), pa.array(more, pa.binary())],
+                        ["i1", "i2", "x", "n", "o", "g", "s1", "s2", "more"],
                     )
 
-    seen = stage.written(rows.mapInArrow(anchored, "i1 long, i2 int, x int, n int, o int, g long, s1 long, s2 long"), "suffix-anchors")
+    seen = stage.written(rows.mapInArrow(anchored, "i1 long, i2 int, x int, n int, o int, g long, s1 long, s2 long, more binary"), "suffix-anchors")
     texts = rows.select("i1", "i2", F.encode("t", "UTF-8").alias("u"))
     return parts_of(texts, seen, length, bucket_bytes, group_bytes, classes)
 
@@ -355,14 +376,15 @@ def text_parts(rows: DataFrame, length: int, gram: int, bucket_bytes: int, group
 def suffix_dedup(
     docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep_first: bool = False, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES, group_bytes: int = GROUP_BYTES, classes: tuple[int, ...] = CLASSES
 ) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256, n_later of every row; with_text adds kept (the bytes that remain).
+    """key, n_bytes, n_removed, n_spans, kept_sha256, n_later, n_chars of every row; with_text adds kept (the bytes that remain).
 
     Removed is each byte covered by a string of `length` bytes that also starts anywhere else, in this text or another, overlaps
     included; the first place goes as well as the later ones. With keep_first the first place in reading order (smaller key, then smaller
-    offset) stays, and only later copies are removed; n_later is the number of bytes that this removes, either way. Null and
-    empty texts: zeros and the digest of no bytes. Rows that repeat a key are texts of their own where their texts differ; rows that are
-    equal in both count as so many places. Rows with a null key are compared with nothing and keep their bytes. An
-    empty table gives an empty result; other columns are not looked at. classes must end with 1.
+    offset) stays, and only later copies are removed; n_later is the number of bytes that this removes, either way. n_chars counts the
+    characters that remain (all of the text's where nothing is removed). Null and empty texts: zeros and the digest of no bytes. Rows that
+    repeat a key are texts of their own where their texts differ; rows that are equal in both count as so many places. Rows with a null
+    key are compared with nothing and keep their bytes. An empty table gives an empty result; other columns are not looked at.
+    classes must end with 1.
     """
     rows = docs.select(F.col(key).cast("long").alias("i1"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).select("i1", F.hash("t").alias("i2"), "t")
     parts = text_parts(rows.filter("i1 is not null"), length, gram, bucket_bytes, group_bytes, classes)
@@ -381,11 +403,11 @@ def suffix_dedup(
                     gone, spans = int((cut[:, 1] - cut[:, 0]).sum()), len(cut)
                     ends = [0, *cut.ravel().tolist(), n]
                     raw = b"".join([raw[ends[i] : ends[i + 1]] for i in range(0, len(ends), 2)])
-                out.append((n, gone, spans, hashlib.sha256(raw).hexdigest(), late, raw))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary()]
-            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 6 if with_text else 5]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "kept"][: len(arrays) + 1])
+                out.append((n, gone, spans, hashlib.sha256(raw).hexdigest(), late, len(raw.decode("utf-8", "ignore")), raw))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+            arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)][: 7 if with_text else 6]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["k", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_later", "n_chars", "kept"][: len(arrays) + 1])
 
-    schema = f"k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_later long{more}"
+    schema = f"k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_later long, n_chars long{more}"
     return rows.join(parts, ["i1", "i2"], "left").select(F.col("i1").alias("k"), "t", "parts").mapInArrow(removed, schema).withColumnRenamed("k", key)
