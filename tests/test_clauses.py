@@ -1,4 +1,7 @@
+import duckdb
+
 from sourcegrove.operators import clauses as C
+from sourcegrove.plans import queries
 
 SPEC = """3GPP TS 23.999
 Contents
@@ -40,6 +43,20 @@ def test_spec_without_contents():
     assert C.spec_clauses("1 Scope\nx\nA.1\tFirst\nbody\nB.2.1 Second.") == [("A.1", "First", "body"), ("B.2.1", "Second", "")]
 
 
+def test_first_body_line_like_an_entry():
+    text = "Contents\n1\tScope\t5\n4.1\tGeneral\t6\n1\tScope\nb words and 14 numbers 27\n4.1\tGeneral\nlast"
+    assert C.spec_clauses(text) == [("1", "Scope", "b words and 14 numbers 27"), ("4.1", "General", "last")]
+
+
+def test_made_clauses_of_odd_texts_equal_their_sql(spark, tmp_path):
+    texts = [None, "", "x 5", "call +1 (853) 555-7168 x 4880761348116108", "x\x0by", "x\x0b", "\x85z\x85", "p\u2028q", "nb\xa0", "f\x0cg", "tail\x1c", "r\r\ny", "\u2003em", "a\u20284.1 General"]
+    spark.createDataFrame([(i, texts[i // 2]) for i in range(2 * len(texts))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.clause_split(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == set(con.execute(queries.ORACLE_SQL["clause_split"]).fetchall())
+
+
 def test_scores():
     assert C.alike("Session handling", "session  handling.") == 1.0
     assert C.alike("", "x") == 0.0 and C.alike("abc", "xyz") < 0.3
