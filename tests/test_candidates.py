@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sourcegrove.functions import rules
 from sourcegrove.operators import candidates, evidence
+from sourcegrove.plans import queries
 
 CASES = [
     ("SİSTEM", "The 5G System and the Cell Broadcast system work.", ["5G System", "Cell Broadcast system"]),
@@ -341,3 +342,14 @@ def test_confidence(spark):
     df = spark.createDataFrame([(*r, kinds[r[0]]) for r in rows], "question int, candidate string, score double, occurrences int, strong boolean, rank int, answer_type string")
     got = {r.question: (r.primary_answer, r.confidence) for r in evidence.confidence(df).collect()}
     assert got == {1: ("a", "high"), 2: ("", "low"), 3: ("a", "high"), 4: ("a", "medium"), 5: ("", "low")}
+
+
+def test_sentences_are_made_once_and_the_best_of_each_hit_suffice(spark, sf_dir):
+    text = spark.range(1).select(F.lit("The AMF. It works.").alias("t"), F.array(F.lit("amf")).alias("a"))
+    plan = text.select(candidates.windows(F.col("t"), F.col("a")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") <= 2  # the expression and its name
+    hits = queries.evidence_hits(spark, sf_dir)
+    assert hits.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows = [evidence.supporting_facts(f(hits)).select("question", "rank", "seq", "sentence", "score").collect() for f in (candidates.scored_sentences, candidates.best_sentences)]
+    assert len(rows[0]) > 90 and sorted(rows[0]) == sorted(rows[1])
+    assert candidates.best_sentences(hits).groupBy("seq", "question").count().count() <= 3 * hits.count()
