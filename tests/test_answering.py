@@ -118,3 +118,21 @@ def test_report(spark):
         pass
     got = {r.stage: r.seconds for r in report.rows(spark).collect()}
     assert set(got) == {"a", "total"} and got["total"] == got["a"] >= 0
+
+
+def test_equal_questions_for_one_document_are_scored_once(spark, tmp_path):
+    columns = "chunk_id long, org string, code string, clause string, clause_title string, text string, source_url string, status string"
+    chunks = spark.createDataFrame([(i, "IETF", "9114", str(i), "Scope", f"text {i}", None, "indexed") for i in range(10)], columns)
+    hits = spark.createDataFrame([(q, 1, 99, "3GPP", "TS 1", "1", "x", "y", None) for q in range(30)], "question long, rank int, chunk_id long, org string, code string, clause string, clause_title string, text string, source_url string")
+    answers = spark.createDataFrame([(q, "which rfc", "RFC 9114") for q in range(30)], "question long, q string, answer string")
+    log = str(tmp_path / "scored")
+
+    def scorer(queries, texts):
+        with open(log, "a") as f:
+            f.writelines(f"{t}\n" for t in texts)
+        return [float(t.rpartition(" ")[2]) for t in texts]
+
+    got = answering.answer_sources(answers, hits, chunks, scorer, most=4, pool=8).orderBy("question", "position").collect()
+    assert [(r.question, r.position, r.route, r.chunk_id) for r in got] == [(q, p, 0, 8 - p) for q in range(30) for p in range(1, 5)]
+    with open(log) as f:
+        assert len(set(lines := f.read().splitlines())) == 8 and len(lines) < 30
