@@ -69,8 +69,10 @@ def matched(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", text: str
     if wanted.limit(MOST_TOKENS + 1).count() <= MOST_TOKENS:
         wanted = F.broadcast(wanted)  # checked: MOST_TOKENS short rows
     each = docs.select(F.col(key), tokens(F.col(text)).alias("w")).select(key, F.size("w").alias("len"), F.posexplode_outer("w").alias("pos", "token"))  # outer: a plain one would be tested for tokens by finding them twice
-    starts = each.join(wanted, "token").groupBy(query, "phrase_no", key, (F.col("pos") - F.col("at")).alias("start"), "size", "len").agg(F.count(F.lit(1)).alias("n"))
-    return starts.filter("n = size").groupBy(query, "phrase_no", key, "len").agg(F.count(F.lit(1)).alias("tf")).select(query, "phrase_no", key, "tf", "len")
+    start = F.when(F.col("size") > 1, F.col("pos") - F.col("at")).alias("start")  # places of a lone token are only counted, where they are read
+    starts = each.join(wanted, "token").groupBy(query, "phrase_no", key, start, "size", "len").agg(F.count(F.lit(1)).alias("n"))
+    tf = F.sum(F.when(F.col("size") > 1, 1).otherwise(F.col("n"))).cast("long")
+    return starts.filter("size = 1 or n = size").groupBy(query, "phrase_no", key, "len").agg(tf.alias("tf")).select(query, "phrase_no", key, "tf", "len")
 
 
 def phrase_hits(index: DataFrame, phrases: DataFrame, key: str = "doc_id", query: str = "query") -> DataFrame:

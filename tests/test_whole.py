@@ -4,7 +4,7 @@ import inspect
 
 import numpy as np
 
-from sourcegrove.operators import evidence, references, vector
+from sourcegrove.operators import evidence, lexical, references, vector
 from sourcegrove.plans import queries
 
 
@@ -45,3 +45,14 @@ def test_crawl_ends_only_on_an_empty_frontier(spark, sf_dir):
     assert references.crawl(seeds, cites, 13).count() == 13
     n = queries.table(spark, sf_dir, "documents").count()
     assert {int(r.code): r.level for r in queries.crawl_closure(spark, sf_dir).collect()} == {i: (i + 1).bit_length() - 1 for i in range(n)}
+
+
+def test_places_of_a_lone_token_are_counted_at_the_scan(spark):
+    docs = spark.createDataFrame([(1, "a b a c a"), (2, "b a b"), (3, "c"), (4, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, 0, "a"), (0, 1, "A b"), (1, 0, "b")], "query long, phrase_no int, phrase string")
+    found = lexical.matched(docs, asked)
+    assert {tuple(r) for r in found.collect()} == {(0, 0, 1, 3, 5), (0, 0, 2, 1, 3), (0, 1, 1, 1, 5), (0, 1, 2, 1, 3), (1, 0, 1, 1, 5), (1, 0, 2, 2, 3)}
+    first = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x][1]
+    assert "start" in first or "_groupingexpression" in first  # a row a document and lone token, not one a place
+    starts = [x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if "AS start" in x]
+    assert any("CASE WHEN (size" in x for x in starts)
