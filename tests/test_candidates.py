@@ -353,3 +353,28 @@ def test_sentences_are_made_once_and_the_best_of_each_hit_suffice(spark, sf_dir)
     rows = [evidence.supporting_facts(f(hits)).select("question", "rank", "seq", "sentence", "score").collect() for f in (candidates.scored_sentences, candidates.best_sentences)]
     assert len(rows[0]) > 90 and sorted(rows[0]) == sorted(rows[1])
     assert candidates.best_sentences(hits).groupBy("seq", "question").count().count() <= 3 * hits.count()
+
+
+def test_rendered_answers_make_no_facts(spark, sf_dir, monkeypatch):
+    hits = queries.evidence_hits(spark, sf_dir)
+    columns = ["question", "answer_type", "primary_answer", "confidence", "margin"]
+    want = {tuple(r) for r in candidates.composed(hits).select(*columns).collect()}
+    monkeypatch.setattr(candidates, "best_sentences", None)  # an error where facts are made
+    assert {tuple(r) for r in candidates.answers(hits).select(*columns).collect()} == want
+    got = queries.rendered_answers(spark, sf_dir).collect()
+    assert len(got) == len(want) == len({r.question for r in got}) and any(r.reply for r in got)
+
+
+def test_slow_patterns_and_references_only_see_where_they_can_match(spark):
+    draw = random.Random(5)
+    parts = ["Session", "management", "Function", "function", "(SMF)", "( AMF)", "(amf)", "FUNCTION (UPF)", "9", "\n", "x/y-1", "İ", "TS 23.501", "ts23.5", "RFC 0091", 'rfc 12', "RFC", "defined in", "specified by", '"A title"', ",", ": \"Other title\"", "3GPP TR  38.1"]
+    made = ["", "Session Function (SMF) " + "word " * 50, "word " * 50, *[draw.choice(["", " "]).join(draw.choices(parts, k=12)) for _ in range(1500)]]
+    slow = rules.CANDIDATE_PATTERNS[candidates.FUNCTION][0]
+    cited = [rules.DOCUMENT_RELATION, rules.DOCUMENT_IDENTIFIER, rules.RFC_TITLE, rules.SPEC_TITLE]
+    x, every = F.col("x"), lambda text, p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    df = spark.createDataFrame([(t,) for t in made], "x string")
+    df = df.select("x", candidates.up_to_ends(x, slow).alias("head"), x.rlike(rules.CITED).alias("cites"), F.concat(*[every(x, p) for p in cited]).alias("cited"), every(x, slow).alias("slow"), every(candidates.up_to_ends(x, slow), slow).alias("slow_head"))
+    rows = df.collect()
+    assert all(r.slow == r.slow_head and (r.cites or not r.cited) for r in rows)
+    assert sum(bool(r.slow) for r in rows) > 100 and sum(bool(r.cited) for r in rows) > 100 and not all(r.cites for r in rows)
+    assert [r["head"] for r in rows[:3]] == ["", "Session Function (SMF)", ""]
