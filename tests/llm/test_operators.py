@@ -372,6 +372,25 @@ def test_suffix_dedup(spark, seed, group_bytes):
     assert suffix_dedup.suffix_dedup(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_of_passages_of_over_50_words(spark):
+    """With production parameters: a passage in two texts goes from both where its bytes are 400 or more, however many words it has; texts without one stay."""
+    rng = random.Random(6)
+    texts, sizes = [], []
+    for words in (51, 51, 60, 70, 80, 90):
+        passage = " ".join(rng.choice(["a", "über", "words", "straightforward"]) + str(rng.randrange(100)) for _ in range(words))
+        sizes += [len(passage.encode())] * 2
+        texts += [f"{prose(rng, 30, 1000)} <{passage}> {prose(rng, 30, 1000)}", f"{prose(rng, 20, 1000)} [{passage}] {prose(rng, 90, 1000)}"]
+    short = " ".join(["words"] * 55)  # 55 words, 329 bytes
+    texts += [f"{prose(rng, 20, 1000)} <{short}> {prose(rng, 20, 1000)}", f"{prose(rng, 25, 1000)} [{short}] {prose(rng, 30, 1000)}", *[prose(rng, 200, 1000) for _ in range(6)]]
+    sizes += [len(short)] * 2 + [0] * 6
+    assert min(sizes[:2]) > 0 and sum(n >= 400 for n in sizes) >= 8
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs(spark, texts)).collect()}
+    for i, (text, size, want) in enumerate(zip(texts, sizes, plain_removal(texts, 400), strict=True)):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_later) == want, i
+        assert (r.n_removed >= size if size >= 400 else r.n_removed == 0) and (r.n_chars < len(text)) == (r.n_removed > 0), i
+
+
 def test_suffix_dedup_keeps_the_first_place(spark):
     rng = random.Random(4)
     common = prose(rng, 30, 1000)
