@@ -391,6 +391,21 @@ def test_suffix_dedup_of_passages_of_over_50_words(spark):
         assert (r.n_removed >= size if size >= 400 else r.n_removed == 0) and (r.n_chars < len(text)) == (r.n_removed > 0), i
 
 
+@pytest.mark.parametrize("group_bytes", [None, 5000])
+def test_suffix_dedup_of_a_table_equals_a_full_count(spark, sf_dir, group_bytes):
+    """The query's rows with production parameters, and those of groups split around their anchors, against a count of all 400-byte strings."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = queries.op8_suffix_dedup(spark, sf_dir) if group_bytes is None else suffix_dedup.suffix_dedup(table, group_bytes=group_bytes)
+    got = {r.doc_id: r for r in found.collect()}
+    texts = {r.doc_id: r.text for r in table.collect()}
+    assert len(got) == len(texts) and any(0 < r.n_removed < r.n_bytes for r in got.values()) and any(not r.n_removed for r in got.values())
+    order = sorted(texts)
+    for i, want in zip(order, plain_removal([texts[i] for i in order], 400), strict=True):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_later) == want, i
+        assert (r.n_chars < len(texts[i] or "")) == (r.n_removed > 0), i
+
+
 def test_suffix_dedup_keeps_the_first_place(spark):
     rng = random.Random(4)
     common = prose(rng, 30, 1000)
